@@ -57,6 +57,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """value, marked so that the optimizer neither copies it into later filters and projections nor moves a filter on it below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased; every other character stays."""
     return F.translate(text, UPPER, LOWER)
