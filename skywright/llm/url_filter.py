@@ -23,7 +23,7 @@ from .common import ascii_lower, let, once
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 #: Words that, alone between dots and hyphens of a host, label a URL as blocked when no labelled URLs are given.
-SEED_WORDS = ["ads", "bets", "casino", "cheap", "free", "loans", "pills", "porn", "spam", "track", "viagra", "win"]
+SEED_WORDS = ["adult", "ads", "bets", "casino", "cheap", "free", "loans", "pills", "porn", "spam", "track", "viagra", "win"]
 
 FEATURES = ["url_chars", "host_chars", "host_labels", "path_chars", "depth", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "n_params", "n_hyphens", "n_escapes", "longest_label", "suffix_rate"]
 
