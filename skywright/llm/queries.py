@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, license_scan, pii, quality_rules, url_filter
+from . import bpe, decontam, license_scan, pii, quality_classifier, quality_rules, url_filter
 from .common import table
 
 
@@ -38,6 +38,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def _bucket(n: int):
+    """crc32 of the id as text, mod n: the folds of the learned queries."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.learn(docs, table(spark, sf_dir, "labels").where(_bucket(5) != 0))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", (_bucket(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -45,6 +57,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_pii": op7_pii,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
