@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, license_scan, pii, quality_classifier, quality_rules, url_filter
+from . import bpe, decontam, language_id, license_scan, pii, quality_classifier, quality_rules, url_filter
 from .common import table
 
 
@@ -50,6 +50,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_bucket(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(_bucket(4) != 2))
+    found = language_id.identify(docs, model, with_runs=False)
+    return found.select("doc_id", (_bucket(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -58,6 +65,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_pii": op7_pii,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {
