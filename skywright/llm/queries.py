@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, license_scan, pii, quality_classifier, quality_rules, url_filter
+from . import bpe, decontam, language_id, license_scan, near_dedup, pii, quality_classifier, quality_rules, url_filter
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_bucket(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -66,6 +70,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
