@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, license_scan, near_dedup, pii, quality_classifier, quality_rules, url_filter
+from . import bpe, decontam, language_id, license_scan, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 from .common import table
 
 
@@ -21,6 +21,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that other documents hold too."""
+    found = suffix_dedup.passages(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_repeated", spans.alias("spans"), "partners")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -64,6 +71,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
