@@ -78,3 +78,15 @@ def chunks(texts: list, most_chars: int = 1 << 20):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+#: Ids that are sent to all executors at most; they are counted first, and more of them go through a shuffle.
+MOST_IDS = 200_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less the rows whose id is in ids (one column); rows with a null id stay."""
+    ids = materialize(ids.toDF("__gone").where(F.col("__gone").isNotNull()).distinct(), "gone")
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == ids["__gone"], "left_anti")
