@@ -1,4 +1,505 @@
-"""Registered queries of the reference's operators and their oracle SQL."""
+"""Registered queries of the reference's operators over the driver's tables, and the same in DuckDB SQL.
+
+Stand-ins: lineitem rows are box annotations of orders (images); events are frames named by their number; embeddings are images whose 64
+values stand for pixels; pages and documents are map images and posts. Every query reads its whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skywright.functions import exprs
+from skywright.operators import frames, labels, ordered, verify, vision
+from skywright.sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Annotations and images.
+
+
+def _annotations(spark, d) -> DataFrame:
+    box = F.array(F.col("l_extendedprice") / 100, F.col("l_quantity") * 2, F.col("l_discount") * 1000 - 10, F.col("l_tax") * 1000)
+    box = F.when(F.col("l_linenumber") == 7, None).when((F.col("l_linenumber") == 6) & (F.col("l_returnflag") == "R"), F.slice(box, 1, 3)).otherwise(box)
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") % 3 + 1).alias("category_id"), box.alias("damage_bbox"))
+
+
+def _images(spark, d) -> DataFrame:
+    o = _t(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("img_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("file_name"), (F.col("o_orderkey") % 400 + 600).cast("int").alias("width"), (F.col("o_custkey") % 300 + 480).cast("int").alias("height"))
+
+
+_YOLO = """
+WITH a AS (SELECT l_orderkey AS image_id, l_linenumber % 3 + 1 AS category_id, l_extendedprice / 100 AS x, l_quantity * 2 AS y, l_discount * 1000 - 10 AS bw, l_tax * 1000 AS bh
+  FROM lineitem WHERE NOT (l_linenumber = 7 OR (l_linenumber = 6 AND l_returnflag = 'R'))),
+i AS (SELECT o_orderkey AS id, o_orderkey % 400 + 600 AS width, o_custkey % 300 + 480 AS height FROM orders),
+y AS (SELECT image_id, CAST(category_id - 1 AS INTEGER) AS class_id, (x + bw / 2) / width AS xc, (y + bh / 2) / height AS yc, bw / width AS w, bh / height AS h, width, height
+  FROM a JOIN i ON a.image_id = i.id WHERE bw > 0 AND bh > 0)
+"""
+
+
+def _yolo(spark, d) -> DataFrame:
+    return labels.to_yolo(_annotations(spark, d), _images(spark, d))
+
+
+@query("coco_to_yolo", _YOLO + "SELECT image_id, class_id, CAST(floor(xc * 1e6) AS BIGINT) AS xc_u, CAST(floor(yc * 1e6) AS BIGINT) AS yc_u, CAST(floor(w * 1e6) AS BIGINT) AS w_u, CAST(floor(h * 1e6) AS BIGINT) AS h_u FROM y")
+def coco_to_yolo(spark, d):
+    u = lambda c: F.floor(F.col(c) * F.lit(1e6)).cast("bigint").alias(f"{c}_u")
+    return _yolo(spark, d).select("image_id", "class_id", u("xc"), u("yc"), u("w"), u("h"))
+
+
+@query("yolo_lines", _YOLO + "SELECT image_id, printf('%d %.6f %.6f %.6f %.6f', class_id, xc, yc, w, h) AS line FROM y")
+def yolo_lines(spark, d):
+    return labels.label_lines(_yolo(spark, d)).select("image_id", "line")
+
+
+@query("yolo_images_left", _YOLO + "SELECT i.id AS image_id, CAST(count(y.image_id) AS BIGINT) AS n_boxes FROM i LEFT JOIN y ON i.id = y.image_id GROUP BY i.id")
+def yolo_images_left(spark, d):
+    return labels.boxes_per_image(_yolo(spark, d), _images(spark, d))
+
+
+@query("yolo_label_files", _YOLO + ", f AS (SELECT image_id, string_agg(line || chr(10), '' ORDER BY line) AS text FROM (SELECT image_id, printf('%d %.6f %.6f %.6f %.6f', class_id, xc, yc, w, h) AS line FROM y) GROUP BY image_id) SELECT 'img_' || i.id AS stem, coalesce(text, '') AS text FROM i LEFT JOIN f ON i.id = f.image_id")
+def yolo_label_files(spark, d):
+    return labels.label_files(labels.label_lines(_yolo(spark, d)), _images(spark, d))
+
+
+@query("converted_count", _YOLO + "SELECT count(*) AS converted FROM y")
+def converted_count(spark, d):
+    return _yolo(spark, d).agg(F.count("*").alias("converted"))
+
+
+@query("yolo_to_pixels", _YOLO + """SELECT image_id, class_id, CAST(trunc(xc * width - w * width / 2) AS INTEGER) AS x1, CAST(trunc(yc * height - h * height / 2) AS INTEGER) AS y1,
+  CAST(trunc(xc * width + w * width / 2) AS INTEGER) AS x2, CAST(trunc(yc * height + h * height / 2) AS INTEGER) AS y2 FROM y""")
+def yolo_to_pixels(spark, d):
+    y = _yolo(spark, d).join(_images(spark, d).select(F.col("id").alias("image_id"), "width", "height"), "image_id")
+    return y.select("image_id", "class_id", *exprs.pixel_corners(*map(F.col, ("xc", "yc", "w", "h", "width", "height"))))
+
+
+@query("class_hist", _YOLO + "SELECT class_id, count(*) AS n FROM y GROUP BY class_id")
+def class_hist(spark, d):
+    return labels.class_histogram(_yolo(spark, d), ["class_id"])
+
+
+@query("coco_sizes", "SELECT (SELECT count(*) FROM orders) AS images, (SELECT count(*) FROM lineitem) AS annotations, (SELECT count(DISTINCT p_type) FROM part) AS categories")
+def coco_sizes(spark, d):
+    n = lambda t, c, e: _t(spark, d, t).agg(e.alias(c))
+    return n("orders", "images", F.count("*")).crossJoin(n("lineitem", "annotations", F.count("*"))).crossJoin(n("part", "categories", F.count_distinct("p_type")))  # three single rows
+
+
+# Messages.
+
+_EXT = "CASE event_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPG' WHEN 2 THEN '.png' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.TIF' ELSE '.tiff' END"
+_DIR = "CASE event_id % 5 WHEN 0 THEN '/data/Pre_event' WHEN 1 THEN '/data/POST' WHEN 2 THEN '/data/pre_and_post' WHEN 3 THEN '/data/other' ELSE '/data/pos/t' END"
+_FILES = f"WITH f AS (SELECT event_id, {_DIR} || '/pre_' || event_id || {_EXT} AS path, 'pre_' || event_id || {_EXT} AS name FROM events) "
+
+
+def _files(spark, d) -> DataFrame:
+    path = F.concat(F.expr(_DIR), F.lit("/pre_"), F.col("event_id").cast("string"), F.expr(_EXT))
+    return _t(spark, d, "events").select("event_id", path.alias("path"), exprs.base_name(path).alias("name"))
+
+
+def _now():
+    return F.lit(0.0)  # the sending time is left out of what is compared
+
+_DRONE = "SELECT name AS frame_id, path AS image_path, 'drone' AS source FROM f WHERE lower(name) LIKE '%.jpg'"
+_GIS = "SELECT name AS map_id, path AS image_path, 'gis' AS source FROM f WHERE regexp_matches(lower(name), '[.](jpg|jpeg|png)$')"
+_TYPE = "CASE WHEN lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) LIKE '%pre%' THEN 'pre' WHEN lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) LIKE '%post%' THEN 'post' ELSE 'unknown' END"
+_SAT = f"SELECT name AS image_id, path AS image_path, {_TYPE} AS image_type, 'satellite' AS source FROM f WHERE regexp_matches(lower(name), '[.]tiff?$')"
+_SOCIAL = "SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END, '') AS text, source AS hazard, 'twitter' AS source FROM documents"
+
+
+def _drone(spark, d):
+    return _files(spark, d).where(exprs.is_drone_image(F.col("name"))).select(*exprs.drone_message(F.col("path"), _now()))
+
+
+def _gis(spark, d):
+    return _files(spark, d).where(exprs.is_gis_image(F.col("name"))).select(*exprs.gis_message(F.col("path"), _now()))
+
+
+def _satellite(spark, d):
+    return _files(spark, d).where(exprs.is_satellite_image(F.col("name"))).select(*exprs.satellite_message(F.col("path"), _now()))
+
+
+def _social(spark, d):
+    text = F.when(F.col("doc_id") % 7 != 0, F.col("text"))
+    return _t(spark, d, "documents").select(*exprs.social_message(F.col("doc_id"), text, F.col("source"), _now()))
+
+
+@query("msg_drone", _FILES + _DRONE)
+def msg_drone(spark, d):
+    return _drone(spark, d).drop("timestamp")
+
+
+@query("msg_gis", _FILES + _GIS)
+def msg_gis(spark, d):
+    return _gis(spark, d).drop("timestamp")
+
+
+@query("msg_satellite", _FILES + _SAT)
+def msg_satellite(spark, d):
+    return _satellite(spark, d).drop("timestamp")
+
+
+@query("msg_social", _SOCIAL)
+def msg_social(spark, d):
+    return _social(spark, d).drop("timestamp")
+
+
+@query("union_topics", f"{_FILES} SELECT topic, count(*) AS n, count(DISTINCT k) AS n_keys FROM (SELECT 'drone-video' AS topic, frame_id AS k FROM ({_DRONE}) UNION ALL SELECT 'gis-data', map_id FROM ({_GIS}) UNION ALL SELECT 'satellite-imagery', image_id FROM ({_SAT}) UNION ALL SELECT 'social-posts', id FROM ({_SOCIAL})) GROUP BY topic")
+def union_topics(spark, d):
+    key = {"drone": "$.frame_id", "gis": "$.map_id", "satellite": "$.image_id", "social": "$.id"}
+    parts = [sinks.to_topic(f(spark, d), k).withColumn("k", F.get_json_object("value", key[k])) for k, f in (("drone", _drone), ("gis", _gis), ("satellite", _satellite), ("social", _social))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("k").alias("n_keys"))
+
+
+@query("wire_nulls", "SELECT doc_id, '{\"id\":\"' || doc_id || '\",\"hazard\":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '\"' || source || '\"' END || '}' AS value FROM documents")
+def wire_nulls(spark, d):
+    return _t(spark, d, "documents").select("doc_id", exprs.wire(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("hazard")).alias("value"))
+
+
+def _extension_query(name: str, keep, sql: str) -> None:
+    @query(name, f"{_FILES} SELECT event_id, name FROM f WHERE {sql}")
+    def run(spark, d):
+        return _files(spark, d).where(keep(F.col("name"))).select("event_id", "name")
+
+
+_extension_query("ext_filter_drone", exprs.is_drone_image, "lower(name) LIKE '%.jpg'")
+_extension_query("ext_filter_gis", exprs.is_gis_image, "regexp_matches(lower(name), '[.](jpg|jpeg|png)$')")
+_extension_query("ext_filter_satellite", exprs.is_satellite_image, "regexp_matches(lower(name), '[.]tiff?$')")
+_extension_query("ext_filter_strict", exprs.is_frame_strict, "name LIKE '%.jpg'")
+
+
+@query("sorted_frames", f"{_FILES} SELECT name, row_number() OVER (ORDER BY name) AS place FROM f WHERE name LIKE '%.jpg'")
+def sorted_frames(spark, d):
+    from pyspark.sql import Window
+
+    # Ranks in groups of the name's first digit after the prefix, plus the rows of the groups before.
+    f = _files(spark, d).where(exprs.is_frame_strict(F.col("name"))).withColumn("g", F.substring("name", 1, 6))
+    n = f.groupBy("g").agg(F.count("*").alias("n"))
+    before = n.select("g", F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return f.join(before, "g").select("name", (F.row_number().over(Window.partitionBy("g").orderBy("name")) + F.col("before")).cast("bigint").alias("place"))
+
+
+@query("prepost_label", f"{_FILES} SELECT event_id, {_TYPE} AS image_type FROM f")
+def prepost_label(spark, d):
+    return _files(spark, d).select("event_id", exprs.image_type(F.col("path")).alias("image_type"))
+
+
+@query("jsonl_project", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def jsonl_project(spark, d):
+    return _t(spark, d, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
+
+
+@query("stems", f"{_FILES} SELECT event_id, regexp_replace(name, '[.][^.]*$', '') AS stem, regexp_replace(name, '[.][^.]*$', '') || '.txt' AS label FROM f")
+def stems(spark, d):
+    return _files(spark, d).select("event_id", exprs.stem(F.col("name")).alias("stem"), exprs.label_file(F.col("name")).alias("label"))
+
+
+# Ordered operators over embeddings: 64 values as pixels, streams by label, order by vec_id.
+
+_BITS = "[CASE WHEN v > 0 THEN 1 ELSE 0 END FOR v IN embedding]"
+
+
+def _frames(spark, d) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    q = F.transform("embedding", lambda v: F.floor(v.cast("double") * 255).cast("int"))
+    e = e.select("vec_id", "label", exprs.sign_hash(F.col("embedding")).alias("hash"), q.alias("pixels"), F.array_max("embedding").cast("double").alias("peak"))
+    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    squares = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x)
+    return e.withColumn("var_num", F.size("pixels") * squares - total * total)
+
+
+def _dedup_sql(bits: int) -> str:
+    return f"""
+b AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, {_BITS} AS h FROM embeddings),
+r AS (SELECT label, vec_id, rn, FALSE AS dup, [h] AS win FROM b WHERE rn = 1
+  UNION ALL SELECT label, vec_id, rn, dup, CASE WHEN dup THEN win ELSE list_slice(list_append(win, h), greatest(1, len(win) + 2 - 20), len(win) + 1) END
+  FROM (SELECT b.label, b.vec_id, b.rn, b.h, r.win, coalesce(list_bool_or([list_sum([CASE WHEN x[i] <> b.h[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= {bits} FOR x IN r.win]), FALSE) AS dup FROM r JOIN b ON b.label = r.label AND b.rn = r.rn + 1))
+"""
+
+
+def _dedup(spark, d, bits):
+    return ordered.dedup_window(_frames(spark, d).select("label", "vec_id", "hash"), ["label"], ["vec_id"], bits=bits)
+
+
+@query("dedup_window20", "WITH RECURSIVE " + _dedup_sql(5) + "SELECT label, vec_id, dup AS is_duplicate FROM r")
+def dedup_window20(spark, d):
+    return _dedup(spark, d, 5).select("label", "vec_id", "is_duplicate")
+
+
+@query("dedup_window20_loose", "WITH RECURSIVE " + _dedup_sql(22) + "SELECT label, vec_id, dup AS is_duplicate FROM r")
+def dedup_window20_loose(spark, d):
+    return _dedup(spark, d, 22).select("label", "vec_id", "is_duplicate")
+
+
+_Q = "[CAST(floor(CAST(v AS DOUBLE) * 255) AS BIGINT) FOR v IN embedding]"
+_CHANGED = "list_sum([CASE WHEN abs(p[i] - q[i]) > 25 THEN 1 ELSE 0 END FOR i IN range(1, 65)])"
+
+
+@query("motion_lag", f"""WITH q AS (SELECT label, vec_id, {_Q} AS q, lag({_Q}) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
+SELECT label, vec_id, CAST(CASE WHEN p IS NULL THEN 100 ELSE {_CHANGED} END AS BIGINT) AS motion_score, p IS NULL OR {_CHANGED} > 34 AS has_motion FROM q""")
+def motion_lag(spark, d):
+    f = _frames(spark, d).select("label", "vec_id", "pixels")
+    return ordered.with_motion(f, ["label"], ["vec_id"], "pixels", least=34).select("label", "vec_id", "motion_score", "has_motion")
+
+
+@query("blur_variance", f"SELECT vec_id, CAST(64 * list_sum([v * v FOR v IN q]) - list_sum(q) * list_sum(q) AS BIGINT) AS var_num, (64 * list_sum([v * v FOR v IN q]) - list_sum(q) * list_sum(q)) / 4096.0 < 1000 AS blurry FROM (SELECT vec_id, {_Q} AS q FROM embeddings)")
+def blur_variance(spark, d):
+    return _frames(spark, d).select("vec_id", "var_num", frames.is_blurry(F.col("var_num") / 4096, 1000).alias("blurry"))
+
+
+@query("valid_size", "SELECT doc_id, n_chars >= 100 AS valid FROM documents")
+def valid_size(spark, d):
+    return _t(spark, d, "documents").select("doc_id", frames.valid_size(F.col("n_chars"), F.col("n_chars")).alias("valid"))
+
+
+# Batches.
+
+_RN = "(SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events)"
+
+
+@query("batch4", f"SELECT event_type, CAST((rn - 1) // 4 AS BIGINT) AS batch_id, list(event_id ORDER BY rn) AS members FROM {_RN} GROUP BY ALL HAVING count(*) = 4")
+def batch4(spark, d):
+    return ordered.batches(_t(spark, d, "events"), ["event_type"], ["event_id"], {"members": "event_id"}).select("event_type", "batch_id", "members")
+
+
+@query("batch4_status", f"SELECT event_id, CAST((rn - 1) // 4 AS BIGINT) AS batch_id, CASE WHEN rn % 4 = 0 THEN 'batch_ready' ELSE 'waiting_for_batch' END AS status FROM {_RN}")
+def batch4_status(spark, d):
+    return ordered.numbered_batches(_t(spark, d, "events"), ["event_type"], ["event_id"]).select("event_id", "batch_id", ordered.batch_status().alias("status"))
+
+
+@query("batch4_flush", "SELECT conv_id, CAST((rn - 1) // 4 AS BIGINT) AS batch_id, count(*) AS n, list(turn ORDER BY rn) AS turns, list(role ORDER BY rn) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) GROUP BY ALL")
+def batch4_flush(spark, d):
+    return ordered.batches(_t(spark, d, "conversations"), ["conv_id"], ["turn", "role", "text"], {"turns": "turn", "roles": "role"}, keep_partial=True)
+
+
+@query("sampler_interval", """WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT event_type, event_id, rn, us AS last, TRUE AS accepted FROM e WHERE rn = 1
+  UNION ALL SELECT e.event_type, e.event_id, e.rn, CASE WHEN e.us - r.last >= 3600000000 THEN e.us ELSE r.last END, e.us - r.last >= 3600000000 FROM r JOIN e ON e.event_type = r.event_type AND e.rn = r.rn + 1)
+SELECT event_type, event_id, accepted FROM r""")
+def sampler_interval(spark, d):
+    e = _t(spark, d, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return ordered.sample_interval(e, ["event_type"], ["us", "event_id"], "us", 3_600_000_000).select("event_type", "event_id", "accepted")
+
+
+# Splits.
+
+_SPLIT = """WITH n AS (SELECT doc_id, 'doc_' || doc_id || '.jpg' AS name FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || name), name) AS rk, count(*) OVER () AS n FROM n),
+s AS (SELECT doc_id, CASE WHEN rk <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rk <= floor(n * 0.7::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r) """
+
+
+def _split(spark, d) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("name"))
+    return ordered.exact_split(docs, "name").select("doc_id", "split")
+
+
+def _split_labels(spark, d) -> DataFrame:
+    return labels.matched_labels(_split(spark, d), _t(spark, d, "labels"), "doc_id")
+
+
+@query("split_70_20_10", _SPLIT + "SELECT doc_id, split FROM s")
+def split_70_20_10(spark, d):
+    return _split(spark, d)
+
+
+@query("split_sizes", _SPLIT + "SELECT split, count(*) AS n FROM s GROUP BY split")
+def split_sizes(spark, d):
+    return _split(spark, d).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("split_label_join", _SPLIT + "SELECT s.doc_id, split, l.doc_id IS NOT NULL AS has_label FROM s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def split_label_join(spark, d):
+    return _split_labels(spark, d).select("doc_id", "split", "has_label")
+
+
+@query("split_semi", _SPLIT + "SELECT doc_id, split FROM s WHERE doc_id IN (SELECT doc_id FROM labels)")
+def split_semi(spark, d):
+    return _split(spark, d).join(_t(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("split_anti", _SPLIT + "SELECT doc_id, split FROM s WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def split_anti(spark, d):
+    return _split(spark, d).join(_t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+# The whole frame pipeline.
+
+_CHAIN = (
+    "WITH RECURSIVE "
+    + _dedup_sql(20)
+    + f""", f AS (SELECT label, vec_id, {_Q} AS q, list_max(embedding)::DOUBLE >= 0.28::DOUBLE AS ok FROM embeddings),
+alive AS (SELECT f.label, f.vec_id, q, lag(q) OVER (PARTITION BY f.label ORDER BY f.vec_id) AS p FROM f JOIN r USING (vec_id) WHERE NOT dup AND ok),
+m AS (SELECT label, vec_id, CASE WHEN p IS NULL THEN 100 ELSE {_CHANGED} END AS score, p IS NULL OR {_CHANGED} > 34 AS moves, (64 * list_sum([v * v FOR v IN q]) - list_sum(q) * list_sum(q)) / 4096.0 < 1000 AS blurry FROM alive),
+g AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM m WHERE moves AND NOT blurry),
+o AS (SELECT f.label, f.vec_id, dup, ok, score, moves, blurry, g.rn AS rn FROM f JOIN r USING (vec_id) LEFT JOIN m USING (vec_id) LEFT JOIN g USING (vec_id)),
+"""
+)
+_FIRST = "WHEN dup THEN 'duplicate' WHEN NOT ok THEN 'invalid_image' WHEN NOT moves THEN 'no_motion'"
+_INTENDED = _CHAIN + f"""z AS (SELECT label, vec_id, CASE WHEN rn IS NULL THEN 'skipped' WHEN rn % 4 = 0 THEN 'batch_ready' ELSE 'waiting_for_batch' END AS status,
+  CASE {_FIRST} WHEN blurry THEN 'blurry' END AS reason, CAST(CASE WHEN moves = FALSE THEN score END AS BIGINT) AS motion_score, CAST((rn - 1) // 4 AS BIGINT) AS batch_id FROM o) """
+_STRICT = _CHAIN + f"z AS (SELECT label, vec_id, 'skipped' AS status, CASE {_FIRST} ELSE 'duplicate' END AS reason, CAST(CASE WHEN moves = FALSE THEN score END AS BIGINT) AS motion_score FROM o) "
+
+
+def _pipeline(spark, d, mode) -> DataFrame:
+    return frames.run_pipeline(_frames(spark, d), ["label"], ["vec_id"], "vec_id", mode, valid=F.col("peak") >= 0.28, variance=F.col("var_num") / 4096, bits=20, least_motion=34, sharpness=1000)
+
+
+@query("pipeline_intended", _INTENDED + "SELECT * FROM z")
+def pipeline_intended(spark, d):
+    return _pipeline(spark, d, "intended")
+
+
+@query("pipeline_strict", _STRICT + "SELECT * FROM z")
+def pipeline_strict(spark, d):
+    return _pipeline(spark, d, "strict").drop("batch_id")
+
+
+@query("reason_report", _INTENDED + "SELECT coalesce(reason, status) AS outcome, count(*) AS n FROM z GROUP BY 1")
+def reason_report(spark, d):
+    return frames.reason_report(_pipeline(spark, d, "intended"))
+
+
+@query("reduction_pct", _INTENDED + "SELECT count(*) AS total, count(*) FILTER (status <> 'skipped') AS processed, CAST(floor((1 - CAST(count(*) FILTER (status <> 'skipped') AS DOUBLE) / count(*)) * 10000) AS BIGINT) AS reduction_bp FROM z")
+def reduction_pct(spark, d):
+    return frames.reduction(_pipeline(spark, d, "intended"))
+
+
+# Detections: boxes from lineitem, by image l_orderkey.
+
+_BOXES = """WITH b AS (SELECT l_orderkey AS image, l_partkey, l_suppkey, l_linenumber, l_linenumber % 3 AS class_id, l_extendedprice AS confidence,
+  l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 40.0::DOUBLE AS x2, l_discount * 100 + 30.0::DOUBLE AS y2 FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, l_partkey, l_suppkey, l_linenumber, x1, y1) AS rank FROM b) """
+
+
+def _boxes(spark, d) -> DataFrame:
+    q, y = F.col("l_quantity"), F.col("l_discount") * 100
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("class_id"), F.col("l_extendedprice").alias("confidence"), q.alias("x1"), y.alias("y1"), F.array(q, y, q + 40.0, y + 30.0).alias("bbox"))
+
+
+_TIE = ["l_partkey", "l_suppkey", "l_linenumber", "x1", "y1"]
+
+
+@query("topk_maxdet", _BOXES + "SELECT image, l_partkey, l_suppkey, l_linenumber, CAST(rank AS BIGINT) AS rank FROM n WHERE rank <= 3")
+def topk_maxdet(spark, d):
+    return labels.top_detections(_boxes(spark, d), "image", "confidence", _TIE, 3).select("image", "l_partkey", "l_suppkey", "l_linenumber", "rank")
+
+
+@query("detections_nested", _BOXES + "SELECT image, list(CAST(class_id AS INTEGER) ORDER BY rank) AS classes, list(confidence ORDER BY rank) AS confidences, count(*) AS n FROM n GROUP BY image")
+def detections_nested(spark, d):
+    b = _boxes(spark, d).withColumn("down", -F.col("confidence"))
+    nested = vision.nested_detections(b, "image", ["down", *_TIE])
+    return nested.select("image", F.transform("detections", lambda x: x["class_id"]).alias("classes"), F.transform("detections", lambda x: x["confidence"]).alias("confidences"), F.size("detections").cast("bigint").alias("n"))
+
+
+@query("zip_meta", "WITH c AS (SELECT conv_id, list(turn ORDER BY turn, role, text) AS a, list(role ORDER BY turn, role, text) AS r FROM conversations GROUP BY conv_id), z AS (SELECT conv_id, a, r[2:] AS r FROM c), i AS (SELECT conv_id, a, r, unnest(range(1, least(len(a), len(r)) + 1)) AS i FROM z) SELECT conv_id, a[i] AS detections, r[i] AS metadata FROM i")
+def zip_meta(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    c = c.select("conv_id", F.transform("m", lambda x: x["turn"]).alias("a"), F.slice(F.transform("m", lambda x: x["role"]), 2, F.size("m")).alias("r"))
+    return vision.with_metadata(c, "a", "r").select("conv_id", "detections", "metadata")
+
+
+_AREA = "(x2 - x1) * (y2 - y1)"
+
+
+@query("nms_iou", "WITH RECURSIVE " + _BOXES.removeprefix("WITH ") + """,
+r AS (SELECT image, rank, l_partkey, l_suppkey, l_linenumber, TRUE AS kept, [{'c': class_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS k FROM n WHERE rank = 1
+  UNION ALL SELECT image, rank, l_partkey, l_suppkey, l_linenumber, kept, CASE WHEN kept THEN list_append(k, me) ELSE k END FROM (
+    SELECT n.image, n.rank, n.l_partkey, n.l_suppkey, n.l_linenumber, r.k, {'c': n.class_id, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2} AS me,
+      NOT coalesce(list_bool_or([z.c = n.class_id AND
+        greatest(least(z.x2, n.x2) - greatest(z.x1, n.x1), 0) * greatest(least(z.y2, n.y2) - greatest(z.y1, n.y1), 0)
+        / ((z.x2 - z.x1) * (z.y2 - z.y1) + (n.x2 - n.x1) * (n.y2 - n.y1) - greatest(least(z.x2, n.x2) - greatest(z.x1, n.x1), 0) * greatest(least(z.y2, n.y2) - greatest(z.y1, n.y1), 0)) > 0.7::DOUBLE FOR z IN r.k]), FALSE) AS kept
+    FROM r JOIN n ON n.image = r.image AND n.rank = r.rank + 1))
+SELECT image, l_partkey, l_suppkey, l_linenumber, kept FROM r""")
+def nms_iou(spark, d):
+    b = _boxes(spark, d).withColumn("down", -F.col("confidence"))
+    return vision.suppress(b, "image", ["down", *_TIE]).select("image", "l_partkey", "l_suppkey", "l_linenumber", "kept")
+
+
+# Reports.
+
+_CHECKS = {"V1": "orders", "V2": "lineitem", "V3": "documents", "V4": "pages", "V5": "labels", "V6": "nation"}
+
+
+@query("verify_report", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS check_id, '{t}' AS name, (SELECT count(*) FROM {t}) > 30 AS ok, (SELECT count(*) FROM {t}) || ' rows' AS details, {str(c != 'V6').upper()} AS gating" for c, t in _CHECKS.items()) + ")")
+def verify_report(spark, d):
+    return _checks(spark, d)
+
+
+def _checks(spark, d) -> DataFrame:
+    out = None
+    for c, t in _CHECKS.items():
+        row = _t(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(c).alias("check_id"), F.lit(t).alias("name"), (F.col("n") > 30).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("details"), F.lit(c != "V6").alias("gating"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("verify_all", "SELECT " + " AND ".join(f"(SELECT count(*) FROM {t}) > 30" for c, t in _CHECKS.items() if c != "V6") + " AS complete, CAST(" + " + ".join(f"CASE WHEN (SELECT count(*) FROM {t}) > 30 THEN 0 ELSE 1 END" for c, t in _CHECKS.items() if c != "V6") + " AS BIGINT) AS n_failed")
+def verify_all(spark, d):
+    return verify.all_good(_checks(spark, d))
+
+
+@query("metric_last", "SELECT count(*) AS n, arg_max(value, event_id) AS last_value FROM events")
+def metric_last(spark, d):
+    return ordered.last_row(_t(spark, d, "events"), "value", "event_id")
+
+
+# Streams: run to their end over the events file, with the batch twin's SQL where it has one.
+
+
+def _event_stream(spark, d) -> DataFrame:
+    """The stream source takes folders or patterns; a pattern fits a table of one file and of many."""
+    from skywright.streaming import frames as live
+
+    schema = _t(spark, d, "events").schema
+    return live.replay(spark, schema, f"{d}/events.parque[t]")
+
+
+@query("stream_sampler", ORACLES["sampler_interval"])
+def stream_sampler(spark, d):
+    from skywright.streaming import frames as live
+
+    s = _event_stream(spark, d).select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+    return live.run_to_end(live.sample(s, "event_type", "event_id", "us", 3_600_000_000.0))
+
+
+@query("stream_batch4", ORACLES["batch4"])
+def stream_batch4(spark, d):
+    from skywright.streaming import frames as live
+
+    return live.run_to_end(live.batches(_event_stream(spark, d).select("event_type", "event_id"), "event_type", "event_id", "event_id"))
+
+
+@query("stream_dedup", ORACLES["dedup_window20_loose"])
+def stream_dedup(spark, d):
+    from skywright.streaming import frames as live
+
+    e = live.replay(spark, _t(spark, d, "embeddings").schema, f"{d}/embeddings.parque[t]").select("label", "vec_id", exprs.sign_hash(F.col("embedding")).alias("hash"))
+    return live.run_to_end(live.dedup(e, "label", "vec_id", bits=22))
+
+
+@query("stream_messages", _FILES + _DRONE)
+def stream_messages(spark, d):
+    from skywright.streaming import frames as live
+
+    path = F.concat(F.expr(_DIR), F.lit("/pre_"), F.col("event_id").cast("string"), F.expr(_EXT))
+    s = _event_stream(spark, d).select(path.alias("path")).where(exprs.is_drone_image(exprs.base_name(F.col("path"))))
+    return live.run_to_end(live.message_stream(s, "drone").drop("timestamp"))
