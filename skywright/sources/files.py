@@ -17,7 +17,7 @@ def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def listing(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """path and length of the files of folders; contents are not read. Missing folders are empty."""
+    """path and length of the files of folders; contents are not read. Missing folders are empty; files without a byte, which hold no image, are left out."""
     found = _existing(spark, [paths] if isinstance(paths, str) else paths)
     if not found:
         return spark.createDataFrame([], "path string, length bigint")
