@@ -83,21 +83,25 @@ def base_spans(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), lambda t: F.struct(*[found(t, k).alias(k) for k in KINDS]))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 5, min_contexts: int = 3, remove: float = 0.97, generalise: float = 0.9) -> DataFrame:
-    """The kept columns, `base` (struct of spans by kind) and `terms` (spans with action), for every row."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 5, min_contexts: int = 3, remove: float = 0.97, generalise: float = 0.9, base_as: str = "base", terms_as: str = "terms") -> DataFrame:
+    """The kept columns, `base` (struct of spans by kind) and `terms` (spans with action), for every row; both can have other names."""
     keep = [id_col] if keep is None else keep
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(*[F.col(c) for c in keep], F.col(id_col).alias("__id"), F.xxhash64(text).alias("__h"), once(base_spans(text)).alias("base"))
+    quoted = [F.col(f"`{c}`") for c in keep]
+    base = docs.select(*quoted, F.col(id_col).alias("__id"), F.xxhash64(text).alias("__h"), once(base_spans(text)).alias("__base"))
     contexts = materialize(_contexts(docs, id_col, text, window), "pii-contexts")
     flagged = _disclosive(docs, text, contexts, min_contexts, remove, generalise)
     flagged = materialize(flagged, "pii-terms")
     if flagged.count() <= MOST_BROADCAST:
         flagged = F.broadcast(flagged)
     spans = contexts.join(flagged, ["term", "entity"]).groupBy("__id", "__h", "start", "end", "term").agg(F.max("action").alias("action"))
-    spans = spans.groupBy(F.col("__id").alias("__id2"), F.col("__h").alias("__h2")).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "action"))).alias("terms"))  # one document's own terms
+    spans = spans.groupBy(F.col("__id").alias("__id2"), F.col("__h").alias("__h2")).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "action"))).alias("__terms"))  # one document's own terms
+    spans = materialize(spans, "pii-spans")
+    if spans.count() <= MOST_BROADCAST:
+        spans = F.broadcast(spans)
     out = base.join(spans, base["__id"].eqNullSafe(F.col("__id2")) & (base["__h"] == F.col("__h2")), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,action:string>>")
-    return out.select(*[F.col(c) for c in keep], "base", F.coalesce("terms", none).alias("terms"))
+    return out.select(*quoted, F.col("__base").alias(base_as), F.coalesce("__terms", none).alias(terms_as))
 
 
 def _contexts(docs: DataFrame, id_col: str, text: Column, window: int, reach: int = 200) -> DataFrame:
@@ -125,23 +129,26 @@ def _contexts(docs: DataFrame, id_col: str, text: Column, window: int, reach: in
 
 def _disclosive(docs: DataFrame, text: Column, contexts: DataFrame, min_contexts: int, remove: float, generalise: float) -> DataFrame:
     """term, entity, action of the pairs above the thresholds."""
-    pairs = contexts.select("term", "entity", "context").distinct().groupBy("term", "entity").count().withColumnRenamed("count", "n_tc").where(F.col("n_tc") >= min_contexts)
-    pairs = materialize(pairs, "pii-pairs")
+    n_docs = docs.count()
+    ic = F.greatest(-F.log(F.col("n_c") / F.lit(float(max(n_docs, 1)))), F.lit(1e-9))
+    share = lambda n: 1 + F.log(F.least(F.col("n_tc") / F.col(n), F.lit(1.0))) / ic
+    pairs = contexts.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= min_contexts)
     n_entity = contexts.select("entity", "__h").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    # The documents that hold a term near any entity are a lower bound of n(t): pairs that fail with it fail for certain.
+    n_near = contexts.select("term", "__h").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = pairs.join(n_entity, "entity").join(n_near, "term").where(share("n_near") >= generalise)
+    pairs = materialize(pairs.select("term", "entity", "n_tc", "n_c"), "pii-pairs")
     terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term"))
     n_terms = terms.count()
     if n_terms == 0:
         return pairs.select("term", "entity", F.lit("remove").alias("action"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term"))
     if n_terms <= MOST_BROADCAST:
         n_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         n_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n_docs = docs.count()
-    scored = pairs.join(n_term, "term").join(n_entity, "entity")
-    share = F.least(F.col("n_tc") / F.col("n_t"), F.lit(1.0))
-    r = 1 + F.log(share) / F.greatest(-F.log(F.col("n_c") / F.lit(float(n_docs))), F.lit(1e-9))
-    return scored.where(r >= generalise).select("term", "entity", F.when(r >= remove, "remove").otherwise("generalise").alias("action"))
+    scored = pairs.join(n_term, "term")
+    return scored.where(share("n_t") >= generalise).select("term", "entity", F.when(share("n_t") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
 def listed(with_terms: bool) -> Column:
