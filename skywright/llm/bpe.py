@@ -5,8 +5,8 @@ round looks up all neighbouring pairs by binary search over the sorted pair keys
 word with a segmented minimum, and merges it. A word that was seen before comes from a bounded memo of the worker.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and decodes to the empty string; the literal special
-strings in a text become their own ids, as the tokenizer's file says; repeated rows give repeated results; columns other than id
-and text are ignored.
+strings in a text become their own ids, as the tokenizer's file says; code points younger than Python's Unicode tables count as
+unassigned; repeated rows give repeated results; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +17,21 @@ import re
 import unicodedata
 
 import numpy as np
-import regex
 
 _NONE = np.iinfo(np.int64).max
 
 
+#: Unicode's white space.
+_WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def _ranges(kind: str) -> str:
+    """The inside of a character class with all code points of a general category, by Python's own Unicode tables."""
+    member = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
+    edges = np.flatnonzero(np.diff(np.array([False, *member, False], np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
 def _byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,9 +71,12 @@ class WordBPE:
         np.minimum.at(least, right, rank)
         self.safe = least[made] > rank
         split = [x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split.replace("\\s", "\\p{White_Space}") + "|\n").findall
+        classes = {"\\p{L}": _ranges("L"), "\\p{N}": _ranges("N"), "\\s": _WHITE}
+        for name, ranges in classes.items():
+            split = split.replace(name, ranges)
+        self.words = re.compile(split + "|\n").findall
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.gaps = regex.compile("\\P{White_Space}+").findall
+        self.gaps = re.compile(f"[^{_WHITE}]+").findall
         self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *self.special]
         self.memo_words = memo_words
         self._reset()
