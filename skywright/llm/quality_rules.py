@@ -90,7 +90,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
             part("n_words", "n_lines").alias("words_per_line"),
         )
 
-    return docs.select(*[F.col(c) for c in keep], once(let(raw, features)).alias("__stats"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], once(let(raw, features)).alias("__stats"))
 
 
 def base_failed(stats: Column) -> Column:
@@ -217,6 +217,6 @@ def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text", keep: li
     keep = docs.columns if keep is None else keep
     s = F.col("__stats")
     return statistics(docs, text_col, keep).select(
-        *[F.col(c) for c in keep], *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        *[F.col(f"`{c}`") for c in keep], *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed(s).alias("base_failed"), rules.verdict(s).alias("rule"),
     ).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
