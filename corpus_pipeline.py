@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywright.llm import bpe, decontam, near_dedup, pii, quality_rules
-from skywright.llm.common import materialize, table, without_ids
+from skywright.llm.common import materialize, once, table, without_ids
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and disclosing terms in the text; n_chars is the new length."""
-    found = pii.find(docs, keep=docs.columns)
-    text = pii.sanitised(F.coalesce(F.col("text"), F.lit("")), F.col("base"), F.col("terms"))
-    found = found.withColumn("text", F.when(F.col("text").isNotNull(), text))
+    found = pii.find(docs, keep=docs.columns, base_as="__base", terms_as="__terms")
+    text = once(F.when(F.col("text").isNotNull(), pii.sanitised(F.col("text"), F.col("__base"), F.col("__terms"))))
+    found = found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")], text.alias("text"))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
