@@ -25,7 +25,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages of 50 words or more that other documents hold too."""
     found = suffix_dedup.passages(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_repeated", spans.alias("spans"), "partners")
+    return found.select("doc_id", "n_words", "n_repeated", spans.alias("spans"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,35 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: All windows of 50 words of all documents, and those that two documents hold.
+_OP3 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS x FROM i),
+r AS (SELECT x FROM x GROUP BY x HAVING count(DISTINCT doc_id) > 1),
+p AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM (SELECT DISTINCT doc_id, i FROM x SEMI JOIN r USING (x))),
+g AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
+s AS (SELECT doc_id, min(i) - 1 AS a, max(i) + 49 AS b FROM g GROUP BY doc_id, g)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(sum(b - a) AS BIGINT) AS n_repeated, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM s JOIN d USING (doc_id) GROUP BY doc_id, len(w)"""
+
+#: All windows of all items against all windows of the same lengths of all documents.
+_OP5 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+v AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM v),
+e AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win)),
+h AS (SELECT doc_id, i, e.n, item_id FROM e JOIN win ON win.n = e.n AND win.x = array_to_string(w[i:i + e.n - 1], ' ')),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": _OP3,
     "op4_license_scan": license_scan.oracle(),
+    "op5_decontamination": _OP5,
 }
