@@ -1,14 +1,18 @@
 """Repeated passages by a distributed sparse suffix array.
 
-Suffixes are retained where a text's content selects them: at the least hashed k-gram of every `k + w - 1 = min_words` words, so any
-passage of that length keeps a suffix at the same place in all its copies. The retained suffixes are sorted by range over the whole corpus,
-by their k-gram and then by the hashed words that follow, 16 and 32 at a time, so suffixes with the longest common beginnings are neighbours; a very
-frequent passage is many sort keys (its suffixes differ in what follows, at last in their document) and spreads over partitions.
-Each suffix is compared with its neighbours of other documents, in this order and, among equal k-grams, in the order of the words before.
+Suffixes are retained where a text's content selects them: at the least hashed k-gram of every `min_words` words, so any passage of that
+length keeps a suffix at the same place in all its copies. The retained suffixes are sorted by range over the whole corpus, by
+their k-gram and then by the hashed words that follow, so suffixes with long common beginnings are neighbours; the suffixes of a very
+frequent k-gram are dealt by what they agree on, over many partitions. In its partition each suffix is compared with the first one of another
+document among those that agree on a whole passage around the k-gram, placed in five ways (all of it to the right, to the left, and three
+ways between); where none agrees, with its nearest neighbours on both sides in the order of the words after and in that of the words before.
 Matches extend to the left and to the right, word by word in the texts, and count from `min_words` on.
 
 Equal word sequences are one text from the start: its documents repeat each other as a whole.
 
+What is found is always a true repeat. A repeat can be missed only if it is shorter than `min_words` + 9 and more than REACH other
+texts with the same k-gram stand nearer on both sides in both orders: large families of texts that mix parts of each other.
+
 Defined cases: a null text, or one of fewer words, has no passage; repeats inside one document alone do not count; rows that repeat id and
 text are one document; overlapping passages of a document are one span; documents without passages are not in the result; other columns
 are ignored.
@@ -20,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, prepare
+from .common import chunks, materialize, prepare, release
 from .decontam import _join, normalise
 from .near_dedup import MOST_BROADCAST, _mixed
 
@@ -35,30 +39,47 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_P), n, 1 << 64))
 
 
-def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words, n a power of two."""
-    size = 1
-    while size < n:
-        h = h[:-size] * _power(size) + h[size:]
-        size *= 2
-    return h
+#: Columns of a retained suffix beside its k-gram and place: the words after (16, then all of a passage), before, and the ways between.
+MARKS = ["r16", "r34", "l16", "l34", "q8", "q17", "q26"]
+
+
+#: The ways to agree on a whole passage around the k-gram, by what must be equal.
+WAYS = [["r34", "r16"], ["l34", "l16"], ["q8"], ["q17"], ["q26"]]
+#: Suffixes of one k-gram, or that agree in one way, above which they are dealt to several partitions.
+HOT = 1000
+#: Documents before and after that a suffix is compared with if none agrees with it on a whole passage.
+REACH = 4
 
 
 def selected(h: np.ndarray, min_words: int = MIN_WORDS, k: int = K) -> tuple[np.ndarray, ...]:
-    """(places, k-gram hashes, next 16, the 32 after them, 16 before, 16 before those) of a text's retained suffixes; h: word hashes."""
+    """(places, k-gram hashes, *MARKS) of a text's retained suffixes; h: word hashes. Names go by the usual 34 words beside the k-gram."""
     n = len(h)
     if n < min_words:
-        none = np.empty(0, np.int32)
-        return none, np.empty(0, np.uint64), none, none, none, none
-    padded = np.concatenate([np.zeros(32, np.uint64), h, np.zeros(64, np.uint64)])
-    g = _grams(padded, k)
-    own = _mixed(g[32 : 32 + n - k + 1])
-    w = min_words - k + 1
-    least = np.lib.stride_tricks.sliding_window_view(own, w).argmin(1)
+        return (np.empty(0, np.int32), np.empty(0, np.uint64), *[np.empty(0, np.int32)] * len(MARKS))
+    rest = min_words - k
+    padded = np.concatenate([np.zeros(rest, np.uint64), h, np.zeros(rest + k, np.uint64)])
+    sums = {1: padded}
+    while 2 * max(sums) <= max(rest, k):
+        m = max(sums)
+        sums[2 * m] = sums[m][:-m] * _power(m) + sums[m][m:]
+
+    def run(at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of `length` words from places in the padded text on."""
+        out = np.zeros(len(at), np.uint64)
+        for m in sorted(sums, reverse=True):
+            while length >= m:
+                out, at, length = out * _power(m) + sums[m][at], at + m, length - m
+        return out
+
+    own = _mixed(run(np.arange(rest, rest + n - k + 1), k))
+    least = np.lib.stride_tricks.sliding_window_view(own, rest + 1).argmin(1)
     at = np.unique(least + np.arange(len(least)))
+    q = at + rest
     short = lambda x: (_mixed(x) >> np.uint64(33)).astype(np.int32)
-    q = at + 32
-    return at.astype(np.int32), own[at], short(g[q + 16]), short(g[q + 32] * _power(16) + g[q + 48]), short(g[q - 16]), short(g[q - 32])
+    part = min(16, rest)
+    marks = [run(q + k, part), run(q + k, rest), run(q - part, part), run(q - rest, rest)]
+    marks += [run(q - a, a) * _P + run(q + k, rest - a) for a in (rest // 4, rest // 2, rest - rest // 4)]
+    return (at.astype(np.int32), own[at], *map(short, marks))
 
 
 def suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -67,7 +88,7 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     import xxhash
 
     prepare(docs.sparkSession)
-    part = [("h", pa.int64()), ("r1", pa.int32()), ("r2", pa.int32()), ("l1", pa.int32()), ("l2", pa.int32()), ("pos", pa.int32())]
+    names = ["pos", "h", *MARKS]
 
     def run(batches):
         memo: dict[bytes, int] = {}
@@ -86,75 +107,122 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
                     n.append(len(ws))
                     cols.append(selected(np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)), min_words))
                     cuts.append(cuts[-1] + len(cols[-1][0]))
-                pos, h, r1, r2, l1, l2 = (np.concatenate(x) for x in zip(*cols, strict=True))
-                flat = pa.StructArray.from_arrays([pa.array(x) for x in (h.view(np.int64), r1, r2, l1, l2, pos)], [x for x, _ in part])
+                pos, h, *marks = (np.concatenate(x) for x in zip(*cols, strict=True))
+                flat = pa.StructArray.from_arrays([pa.array(x) for x in (pos, h.view(np.int64), *marks)], names)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(np.array(cuts, np.int32), flat)], ["id", "node", "n_words", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, node binary, n_words bigint, kept array<struct<h:bigint,r1:int,r2:int,l1:int,l2:int,pos:int>>")
-
-
-def neighbours(h: np.ndarray, doc: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: each suffix with the next and the last one of another document, within its k-gram, in the given order."""
-    h, doc = h[order], doc[order]
-    n = len(h)
-    if n < 2:
-        return order[:0], order[:0]
-    gram = np.append(True, h[1:] != h[:-1])
-    block = gram | np.append(True, doc[1:] != doc[:-1])
-    starts = np.flatnonzero(block)
-    which = np.cumsum(block) - 1
-    nxt = np.append(starts, n)[which + 1]
-    prev = starts[which] - 1
-    on = np.flatnonzero((nxt < n) & (h[np.minimum(nxt, n - 1)] == h))
-    back = np.flatnonzero((prev >= 0) & (h[np.maximum(prev, 0)] == h) & ~block)
-    return np.concatenate([order[on], order[back]]), np.concatenate([order[nxt[on]], order[prev[back]]])
-
-
-def candidate_pairs(kept: DataFrame, kind: str) -> DataFrame:
-    """Pairs of suffixes (a, pa, b, pb) to extend, from rows of id and the suffix columns."""
+    fields = ",".join(["pos:int", "h:bigint", *[f"{m}:int" for m in MARKS]])
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, node binary, n_words bigint, kept array<struct<{fields}>>")
+
+
+def _runs(keys: list[np.ndarray]) -> np.ndarray:
+    """Where a new run of equal keys begins, of sorted rows."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def leaders(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place, place of the first row of another document with the same keys); rows of one document alone have none."""
+    order = np.lexsort((doc, *reversed(keys)))
+    d, new = doc[order], _runs([k[order] for k in keys])
+    which, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    block = np.flatnonzero(new | _runs([d]))
+    second = np.append(block, len(d))[np.searchsorted(block, first, side="right")]  # first row of the run's second document, or of the next run
+    ends = np.append(first[1:], len(d))
+    to = np.where(d == d[first[which]], second[which], first[which])
+    ok = second[which] < ends[which]
+    return order[ok], order[to[ok]]
+
+
+def neighbours(h: np.ndarray, doc: np.ndarray, order: np.ndarray, some: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: each of the rows marked in `some` with the first suffixes of the `reach` documents before and after, in the order given, within its k-gram."""
+    h, doc, some = h[order], doc[order], some[order]
+    block = _runs([h, doc])
+    starts, which = np.flatnonzero(block), np.cumsum(block) - 1
+    mine = np.flatnonzero(some)
+    at, to = [], []
+    for step in (*range(-reach, 0), *range(1, reach + 1)):
+        other = which[mine] + step
+        ok = (other >= 0) & (other < len(starts))
+        i, j = mine[ok], starts[other[ok]]
+        good = h[i] == h[j]
+        at.append(order[i[good]])
+        to.append(order[j[good]])
+    return np.concatenate(at), np.concatenate(to)
+
+
+def compared(h: np.ndarray, doc: np.ndarray, marks: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places to extend, of a partition's sorted suffixes."""
+    some = np.flatnonzero(np.append(h[1:] == h[:-1], False) | np.append(False, h[1:] == h[:-1]))
+    h, doc, marks = h[some], doc[some], {m: v[some] for m, v in marks.items()}
+    at, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(some):
+        for keys in WAYS:
+            a, b = leaders([h, *[marks[k] for k in keys]], doc)
+            at.append(a)
+            to.append(b)
+        alone = np.ones(len(some), bool)
+        alone[np.concatenate(at)] = False
+        for order in (np.lexsort((doc, marks["r34"], marks["r16"], h)), np.lexsort((doc, marks["l34"], marks["l16"], h))):
+            a, b = neighbours(h, doc, order, alone)
+            at.append(a)
+            to.append(b)
+    a, b = np.concatenate(at), np.concatenate(to)
+    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return some[pair[:, 0]], some[pair[:, 1]]
+
+
+def placed(kept: DataFrame) -> DataFrame:
+    """kept with `s`, so that rows of equal (h, s) can be dealt together.
+
+    s is 0 for all suffixes of a k-gram, unless it is very frequent. Then each of its suffixes comes once for each way of agreeing, with
+    those that agree; and a way in which very many agree is cut by document, as any other of them will do for a partner.
+    """
+    hot = materialize(kept.groupBy("h").count().where(F.col("count") > HOT).select("h"), "suffix-hot")
+    n = hot.count()
+    cold = kept.withColumn("s", F.lit(0).cast("bigint"))
+    if n == 0:
+        return cold
+    hot = F.broadcast(hot) if n <= MOST_BROADCAST else hot
+    ways = F.array(*[F.struct(F.lit(i).alias("way"), F.xxhash64(F.lit(i), *keys).alias("value")) for i, keys in enumerate(WAYS)])
+    rows = materialize(kept.join(hot, "h", "left_semi").select("*", F.explode(ways).alias("w")).select(*kept.columns, "w.value"), "suffix-frequent")
+    counts = materialize(rows.groupBy("h", "value").count().where(F.col("count") > HOT), "suffix-agreeing")
+    n = counts.count()
+    rows = rows.join(F.broadcast(counts) if n <= MOST_BROADCAST else counts, ["h", "value"], "left")
+    cut = F.pmod(F.xxhash64("id"), F.greatest(F.floor(F.col("count") / (HOT / 4)), F.lit(1)))
+    s = F.when(F.col("count").isNull(), 1 + F.pmod("value", F.lit(1 << 16))).otherwise(F.xxhash64("value", cut))
+    return cold.join(hot, "h", "left_anti").unionByName(rows.withColumn("s", s).select(*kept.columns, "s"))
+
+
+def candidate_pairs(kept: DataFrame, kind: str, count: int) -> DataFrame:
+    """Per two documents (a, b) the places (pa, pb) of suffixes to extend, from `count` rows of id and the suffix columns."""
     import pyarrow as pa
 
     spark = kept.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // SUFFIXES))
-    keys = ["h", "r1", "r2", "id", "pos"]
-    ordered = kept.select(*keys, "l1", "l2").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // SUFFIXES))
+    rows = placed(kept.select("id", "pos", "h", *MARKS))
+    ordered = rows.repartitionByRange(parts, "h", "s").sortWithinPartitions("h", "s", "r16", "r34", "id", "pos")
 
     def run(batches):
-        from pyspark import TaskContext
-
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        h, doc, pos = (t.column(c).to_numpy() for c in ("h", "id", "pos"))
-        l1, l2 = t.column("l1").to_numpy(), t.column("l2").to_numpy()
+        h, s, doc, pos = (t.column(c).to_numpy() for c in ("h", "s", "id", "pos"))
         code = doc if doc.dtype.kind in "iu" else np.unique(doc, return_inverse=True)[1]
-        a1, b1 = neighbours(h, code, np.arange(len(h)))
-        shared = np.append(h[1:] == h[:-1], False) | np.append(False, h[1:] == h[:-1])
-        some = np.flatnonzero(shared)
-        a2, b2 = neighbours(h, code, some[np.lexsort((code[some], l2[some], l1[some], h[some]))])
-        a, b = np.concatenate([a1, a2]), np.concatenate([b1, b2])
-        ends = np.array([0, len(h) - 1])
-        at = np.concatenate([a, ends])
-        to = np.concatenate([b, ends])
-        edge = np.concatenate([np.full(len(a), -1, np.int64), 2 * TaskContext.get().partitionId() + np.array([0, 1])])
+        a, b = compared(np.cumsum(_runs([h, s])), code, {m: t.column(m).to_numpy() for m in MARKS})
+        flip = code[a] > code[b]
+        a, b = np.where(flip, b, a), np.where(flip, a, b)
         ids = t.column("id").combine_chunks()
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(pos[at]), ids.take(pa.array(to)), pa.array(pos[to]), pa.array(edge), pa.array(h[at])], ["a", "pa", "b", "pb", "edge", "h"])
-
-    found = materialize(ordered.mapInArrow(run, f"a {kind}, pa int, b {kind}, pb int, edge bigint, h bigint"), "suffix-pairs")
-    # Neighbours across partition borders: two rows a partition, put in order.
-    from pyspark.sql import Window
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), pa.array(pos[a]), ids.take(pa.array(b)), pa.array(pos[b])], ["a", "pa", "b", "pb"])
 
-    over = Window.orderBy("edge")
-    ends = found.where("edge >= 0").select("a", "pa", "edge", "h", F.lag("a").over(over).alias("b"), F.lag("pa").over(over).alias("pb"), F.lag("h").over(over).alias("h2"))
-    ends = ends.where((F.col("edge") % 2 == 0) & (F.col("h") == F.col("h2")) & (F.col("a") != F.col("b"))).select("a", "pa", "b", "pb")
-    every = found.where("edge < 0").select("a", "pa", "b", "pb").unionByName(ends)
-    flip = F.col("a") > F.col("b")
-    pick = lambda x, y, n: F.when(flip, F.col(y)).otherwise(F.col(x)).alias(n)
-    every = every.select(pick("a", "b", "a"), pick("pa", "pb", "pa"), pick("b", "a", "b"), pick("pb", "pa", "pb"))
-    # One row for two documents and a diagonal, with the places on it: no more than one document's own suffixes.
-    return every.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("diagonal")).agg(F.collect_set("pa").alias("places"))
+    found = ordered.mapInArrow(run, f"a {kind}, pa int, b {kind}, pb int")
+    # No more places than one document's own suffixes have partners.
+    return materialize(found.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("places")), "suffix-doc-pairs")
 
 
 def extended(x: np.ndarray, y: np.ndarray, diagonal: int, places: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -178,38 +246,51 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     kind = docs.schema[id_col].dataType.simpleString()
     table = materialize(suffixes(docs, id_col, text_col, min_words), "suffixes")
-    nodes = table.where(F.col("n_words") >= min_words).select("id", "node", "n_words").distinct()
+    nodes = materialize(table.where(F.col("n_words") >= min_words).select("id", "node", "n_words").distinct(), "suffix-texts")
     firsts = materialize(nodes.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("copies")), "suffix-nodes")
-    same = nodes.join(firsts.where("copies > 1"), "node").select("id", "n_words", "first", "last")
-    same = materialize(same, "suffix-copies")
-    later = same.where(F.col("id") != F.col("first")).select("id")
+    same = materialize(nodes.join(firsts.where("copies > 1"), "node").select("id", "n_words", "first", "last"), "suffix-copies")
+    repeated = materialize(table.groupBy("id").count().where("count > 1").select("id"), "suffix-again")
+    kept = table.where(F.size("kept") > 0)
+    later = same.where(F.col("id") != F.col("first")).select("id").distinct()
     if later.count() <= MOST_BROADCAST:
         later = F.broadcast(later)
-    kept = materialize(table.where(F.size("kept") > 0).join(later, "id", "left_anti").dropDuplicates(["id"]).select("id", F.explode("kept").alias("s")).select("id", "s.*"), "suffix-kept")
-    pairs = materialize(candidate_pairs(kept, kind), "suffix-diagonals")
+    kept = kept.join(later, "id", "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["id"])
+    count = kept.agg(F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()[0]
+    pairs = candidate_pairs(kept.select("id", F.explode("kept").alias("s")).select("id", "s.*"), kind, count)
+    release(table)
 
     need = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "suffix-need")
     if need.count() <= MOST_BROADCAST:
         need = F.broadcast(need)
-    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi").dropDuplicates(["id"]), "suffix-texts")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi")
+    if not repeated.isEmpty():
+        texts = texts.dropDuplicates(["id"])
+    texts = materialize(texts, "suffix-texts")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        last = (None, None)
+        words = lambda t: np.array(list(map(hash, normalise(t).split())), np.int64)
+        last: tuple = (None, None)
         for batch in batches:
             x, y = [], []
-            for ta, tb, d, places in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            for ta, tb, places in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
                 if last[0] != ta:
-                    last = (ta, np.array(list(map(hash, normalise(ta).split())), np.int64))
-                got = extended(last[1], np.array(list(map(hash, normalise(tb).split())), np.int64), d, places, min_words)
-                x.append([{"start": s, "end": e} for s, e in got])
-                y.append([{"start": s - d, "end": e - d} for s, e in got])
+                    last = (ta, words(ta))
+                other, by = words(tb), {}
+                for p in places:
+                    by.setdefault(p["pa"] - p["pb"], []).append(p["pa"])
+                got = [(s, e, d) for d, ps in by.items() for s, e in extended(last[1], other, d, ps, min_words)]
+                x.append([{"start": s, "end": e} for s, e, _ in got])
+                y.append([{"start": s - d, "end": e - d} for s, e, d in got])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, span), pa.array(y, span)], ["a", "b", "x", "y"])
 
     spans = "array<struct<start:int,end:int>>"
-    found = both.select("a", "b", "ta", "tb", "diagonal", "places").mapInArrow(run, f"a {kind}, b {kind}, x {spans}, y {spans}")
+    found = both.select("a", "b", "ta", "tb", "places").mapInArrow(run, f"a {kind}, b {kind}, x {spans}, y {spans}")
     found = materialize(found.where(F.size("x") > 0), "suffix-matches")
+    release(texts, pairs)
     rows = found.select(F.col("a").alias("id"), F.col("b").alias("other"), F.explode("x").alias("s")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("other"), F.explode("y").alias("s")))
     rows = rows.select("id", "other", "s.start", "s.end")
     whole = same.select("id", F.when(F.col("id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"), F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
