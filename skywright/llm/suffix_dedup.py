@@ -1,17 +1,15 @@
 """Repeated passages by a distributed sparse suffix array.
 
 Suffixes are retained where a text's content selects them: at the least hashed k-gram of every `min_words` words, so any passage of that
-length keeps a suffix at the same place in all its copies. The retained suffixes are sorted by range over the whole corpus, by
-their k-gram and then by the hashed words that follow, so suffixes with long common beginnings are neighbours; the suffixes of a very
-frequent k-gram are dealt by what they agree on, over many partitions. In its partition each suffix is compared with the first one of another
-document among those that agree on a whole passage around the k-gram, placed in five ways (all of it to the right, to the left, and three
-ways between); where none agrees, with its nearest neighbours on both sides in the order of the words after and in that of the words before.
-Matches extend to the left and to the right, word by word in the texts, and count from `min_words` on.
+length keeps a suffix at the same place in all its copies. A suffix stands for the windows of `min_words` words that select it, in every
+placement around its k-gram; each window of a text belongs to one suffix. Suffixes are dealt by their k-gram; in its partition
+each window of a k-gram that several documents hold is compared with all equal windows, by sorting. The windows of a very frequent k-gram are
+dealt one by one, by what they hold, and windows that are very frequent themselves are counted in partial sums.
 
-Equal word sequences are one text from the start: its documents repeat each other as a whole.
+So a window is found if and only if another document holds it: no number of other texts with the same k-gram comes between. Windows are
+compared by two 64-bit hashes, of the k-gram and of all the words.
 
-What is found is always a true repeat. A repeat can be missed only if it is shorter than `min_words` + 9 and more than REACH other
-texts with the same k-gram stand nearer on both sides in both orders: large families of texts that mix parts of each other.
+Equal word sequences are one text from the start: its documents repeat each other as a whole.
 
 Defined cases: a null text, or one of fewer words, has no passage; repeats inside one document alone do not count; rows that repeat id and
 text are one document; overlapping passages of a document are one span; documents without passages are not in the result; other columns
@@ -31,64 +29,50 @@ from .near_dedup import MOST_BROADCAST, _mixed
 MIN_WORDS = 50
 K = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
-#: Suffixes a partition of the sorted order holds, about; each takes some 50 bytes in its task.
-SUFFIXES = 200_000
+#: Windows a partition holds, about; each takes some 100 bytes in its task.
+WINDOWS = 150_000
 
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_P), n, 1 << 64))
 
 
-#: Columns of a retained suffix beside its k-gram and place: the words after (16, then all of a passage), before, and the ways between.
-MARKS = ["r16", "r34", "l16", "l34", "q8", "q17", "q26"]
-
-
-#: The ways to agree on a whole passage around the k-gram, by what must be equal.
-WAYS = [["r34", "r16"], ["l34", "l16"], ["q8"], ["q17"], ["q26"]]
-#: Suffixes of one k-gram, or that agree in one way, above which they are dealt to several partitions.
+#: Suffixes of one k-gram above which its windows are dealt one by one, and rows of one window above which these are not dealt at all.
 HOT = 1000
-#: Documents before and after that a suffix is compared with if none agrees with it on a whole passage.
-REACH = 4
 
 
-def selected(h: np.ndarray, min_words: int = MIN_WORDS, k: int = K) -> tuple[np.ndarray, ...]:
-    """(places, k-gram hashes, *MARKS) of a text's retained suffixes; h: word hashes. Names go by the usual 34 words beside the k-gram."""
+def selected(h: np.ndarray, min_words: int = MIN_WORDS, k: int = K, windows: bool = True) -> tuple[np.ndarray, ...]:
+    """(first windows, k-gram hashes, numbers of windows) of a text's retained suffixes, and the hashes of all windows, if asked for; h: word hashes."""
     n = len(h)
     if n < min_words:
-        return (np.empty(0, np.int32), np.empty(0, np.uint64), *[np.empty(0, np.int32)] * len(MARKS))
-    rest = min_words - k
-    padded = np.concatenate([np.zeros(rest, np.uint64), h, np.zeros(rest + k, np.uint64)])
-    sums = {1: padded}
-    while 2 * max(sums) <= max(rest, k):
+        return np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    sums = {1: h}
+    while 2 * max(sums) <= min_words:
         m = max(sums)
         sums[2 * m] = sums[m][:-m] * _power(m) + sums[m][m:]
 
-    def run(at: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of `length` words from places in the padded text on."""
-        out = np.zeros(len(at), np.uint64)
+    def runs(length: int) -> np.ndarray:
+        """Hashes of `length` words from every place on."""
+        count, at = n - length + 1, 0
+        out = np.zeros(count, np.uint64)
         for m in sorted(sums, reverse=True):
-            while length >= m:
-                out, at, length = out * _power(m) + sums[m][at], at + m, length - m
-        return out
-
-    own = _mixed(run(np.arange(rest, rest + n - k + 1), k))
-    least = np.lib.stride_tricks.sliding_window_view(own, rest + 1).argmin(1)
-    at = np.unique(least + np.arange(len(least)))
-    q = at + rest
-    short = lambda x: (_mixed(x) >> np.uint64(33)).astype(np.int32)
-    part = min(16, rest)
-    marks = [run(q + k, part), run(q + k, rest), run(q - part, part), run(q - rest, rest)]
-    marks += [run(q - a, a) * _P + run(q + k, rest - a) for a in (rest // 4, rest // 2, rest - rest // 4)]
-    return (at.astype(np.int32), own[at], *map(short, marks))
-
-
-def suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """id, node (digest of the words), n_words and the retained suffixes of every row."""
+            while length - at >= m:
+                out, at = out * _power(m) + sums[m][at : at + count], at + m
+        return _mixed(out)
+
+    own = runs(k)
+    least = np.lib.stride_tricks.sliding_window_view(own, min_words - k + 1).argmin(1)
+    at = least + np.arange(len(least))
+    first = np.flatnonzero(_runs([at]))
+    return first.astype(np.int32), own[at[first]], np.diff(np.append(first, len(at))), runs(min_words) if windows else np.empty(0, np.uint64)
+
+
+def suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int, windows: bool) -> DataFrame:
+    """id, node (digest of the words), n_words and the retained suffixes of every row: first window, k-gram, and with `windows` 8 bytes of hash for each window."""
     import pyarrow as pa
     import xxhash
 
     prepare(docs.sparkSession)
-    names = ["pos", "h", *MARKS]
 
     def run(batches):
         memo: dict[bytes, int] = {}
@@ -105,15 +89,15 @@ def suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
                         memo[x] = xxhash.xxh64_intdigest(x) | 1
                     ids.append(xxhash.xxh128_digest(norm))
                     n.append(len(ws))
-                    cols.append(selected(np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)), min_words))
+                    cols.append(selected(np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)), min_words, windows=windows))
                     cuts.append(cuts[-1] + len(cols[-1][0]))
-                pos, h, *marks = (np.concatenate(x) for x in zip(*cols, strict=True))
-                flat = pa.StructArray.from_arrays([pa.array(x) for x in (pos, h.view(np.int64), *marks)], names)
+                first, h, count, hashes = (np.concatenate(x) for x in zip(*cols, strict=True))
+                flat = [pa.array(first), pa.array(h.view(np.int64)), *([_packed(hashes, count)] if windows else [])]
+                flat = pa.StructArray.from_arrays(flat, ["first", "h", "windows"][: len(flat)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(np.array(cuts, np.int32), flat)], ["id", "node", "n_words", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = ",".join(["pos:int", "h:bigint", *[f"{m}:int" for m in MARKS]])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, node binary, n_words bigint, kept array<struct<{fields}>>")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, node binary, n_words bigint, kept array<struct<first:int,h:bigint{',windows:binary' if windows else ''}>>")
 
 
 def _runs(keys: list[np.ndarray]) -> np.ndarray:
@@ -125,127 +109,109 @@ def _runs(keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def leaders(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (place, place of the first row of another document with the same keys); rows of one document alone have none."""
-    order = np.lexsort((doc, *reversed(keys)))
+def _packed(windows: np.ndarray, count: np.ndarray):
+    """Binary array with the next `count` hashes in each value."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(count) * 8]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(windows))])
+
+
+def _unpacked(packed) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of them in each value) of a binary array."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, np.int32)
+    data = packed.buffers()[2]
+    windows = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint64) if data is not None else np.empty(0, np.uint64)
+    return windows, np.diff(offsets) // 8
+
+
+def several(keys: list[np.ndarray], order: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row if a row of another document has its keys, and the smallest such document (for the smallest one the largest); `order` sorts by keys."""
+    if not len(order):
+        return np.empty(0, bool), np.empty(0, doc.dtype)
     d, new = doc[order], _runs([k[order] for k in keys])
     which, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    block = np.flatnonzero(new | _runs([d]))
-    second = np.append(block, len(d))[np.searchsorted(block, first, side="right")]  # first row of the run's second document, or of the next run
-    ends = np.append(first[1:], len(d))
-    to = np.where(d == d[first[which]], second[which], first[which])
-    ok = second[which] < ends[which]
-    return order[ok], order[to[ok]]
-
-
-def neighbours(h: np.ndarray, doc: np.ndarray, order: np.ndarray, some: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: each of the rows marked in `some` with the first suffixes of the `reach` documents before and after, in the order given, within its k-gram."""
-    h, doc, some = h[order], doc[order], some[order]
-    block = _runs([h, doc])
-    starts, which = np.flatnonzero(block), np.cumsum(block) - 1
-    mine = np.flatnonzero(some)
-    at, to = [], []
-    for step in (*range(-reach, 0), *range(1, reach + 1)):
-        other = which[mine] + step
-        ok = (other >= 0) & (other < len(starts))
-        i, j = mine[ok], starts[other[ok]]
-        good = h[i] == h[j]
-        at.append(order[i[good]])
-        to.append(order[j[good]])
-    return np.concatenate(at), np.concatenate(to)
-
-
-def compared(h: np.ndarray, doc: np.ndarray, marks: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of places to extend, of a partition's sorted suffixes."""
-    some = np.flatnonzero(np.append(h[1:] == h[:-1], False) | np.append(False, h[1:] == h[:-1]))
-    h, doc, marks = h[some], doc[some], {m: v[some] for m, v in marks.items()}
-    at, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if len(some):
-        for keys in WAYS:
-            a, b = leaders([h, *[marks[k] for k in keys]], doc)
-            at.append(a)
-            to.append(b)
-        alone = np.ones(len(some), bool)
-        alone[np.concatenate(at)] = False
-        for order in (np.lexsort((doc, marks["r34"], marks["r16"], h)), np.lexsort((doc, marks["l34"], marks["l16"], h))):
-            a, b = neighbours(h, doc, order, alone)
-            at.append(a)
-            to.append(b)
-    a, b = np.concatenate(at), np.concatenate(to)
-    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return some[pair[:, 0]], some[pair[:, 1]]
-
-
-def placed(kept: DataFrame) -> DataFrame:
-    """kept with `s`, so that rows of equal (h, s) can be dealt together.
-
-    s is 0 for all suffixes of a k-gram, unless it is very frequent. Then each of its suffixes comes once for each way of agreeing, with
-    those that agree; and a way in which very many agree is cut by document, as any other of them will do for a partner.
+    low, high = np.minimum.reduceat(d, first)[which], np.maximum.reduceat(d, first)[which]
+    ok, other = np.empty(len(d), bool), np.empty(len(d), doc.dtype)
+    ok[order], other[order] = low != high, np.where(d == low, high, low)
+    return ok, other
+
+
+def repeated(h: np.ndarray, doc: np.ndarray, first: np.ndarray, packed, min_words: int) -> tuple[np.ndarray, ...]:
+    """(documents, other documents, starts, ends) of the runs of repeated windows, of a partition's suffixes."""
+    import pyarrow as pa
+
+    some, _ = several([h], np.argsort(h), doc)
+    windows, count = _unpacked(packed.filter(pa.array(some)))
+    of = np.repeat(np.flatnonzero(some), count)
+    place = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    ok, other = several([windows, h[of]], np.argsort(windows), doc[of])
+    of, place, other = of[ok], place[ok], other[ok]
+    new = _runs([of, other, place - np.arange(len(place))])
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(of)) - 1 if len(of) else begin
+    return doc[of[begin]], other[begin], place[begin], place[last] + min_words
+
+
+def single(kept: DataFrame, kind: str) -> DataFrame:
+    """Every window of kept as a suffix of its own; h tells windows apart."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            windows, count = _unpacked(batch.column(3))
+            of = np.repeat(np.arange(batch.num_rows), count)
+            first = batch.column(1).to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            h = _mixed(windows * _P + batch.column(2).to_numpy().view(np.uint64)[of])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)), _packed(windows, np.ones(len(of), np.int64))], ["id", "first", "h", "windows"])
+
+    return kept.select("id", "first", "h", "windows").mapInArrow(run, f"id {kind}, first int, h bigint, windows binary")
+
+
+def matches(kept: DataFrame, hot: DataFrame, kind: str, count: int, min_words: int) -> DataFrame:
+    """id, other, start, end of the repeated windows (runs of them), from rows of id, first, h, windows, `count` windows in all; hot: very frequent k-grams.
+
+    Suffixes of one k-gram go to one partition, but the windows of a very frequent k-gram each to that of their own hash. A
+    window that is very frequent itself is counted, with the first and the last document, and told to its rows.
     """
-    hot = materialize(kept.groupBy("h").count().where(F.col("count") > HOT).select("h"), "suffix-hot")
-    n = hot.count()
-    cold = kept.withColumn("s", F.lit(0).cast("bigint"))
-    if n == 0:
-        return cold
-    hot = F.broadcast(hot) if n <= MOST_BROADCAST else hot
-    ways = F.array(*[F.struct(F.lit(i).alias("way"), F.xxhash64(F.lit(i), *keys).alias("value")) for i, keys in enumerate(WAYS)])
-    rows = materialize(kept.join(hot, "h", "left_semi").select("*", F.explode(ways).alias("w")).select(*kept.columns, "w.value"), "suffix-frequent")
-    counts = materialize(rows.groupBy("h", "value").count().where(F.col("count") > HOT), "suffix-agreeing")
-    n = counts.count()
-    rows = rows.join(F.broadcast(counts) if n <= MOST_BROADCAST else counts, ["h", "value"], "left")
-    cut = F.pmod(F.xxhash64("id"), F.greatest(F.floor(F.col("count") / (HOT / 4)), F.lit(1)))
-    s = F.when(F.col("count").isNull(), 1 + F.pmod("value", F.lit(1 << 16))).otherwise(F.xxhash64("value", cut))
-    return cold.join(hot, "h", "left_anti").unionByName(rows.withColumn("s", s).select(*kept.columns, "s"))
-
-
-def candidate_pairs(kept: DataFrame, kind: str, count: int) -> DataFrame:
-    """Per two documents (a, b) the places (pa, pb) of suffixes to extend, from `count` rows of id and the suffix columns."""
     import pyarrow as pa
 
     spark = kept.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // SUFFIXES))
-    rows = placed(kept.select("id", "pos", "h", *MARKS))
-    ordered = rows.repartitionByRange(parts, "h", "s").sortWithinPartitions("h", "s", "r16", "r34", "id", "pos")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // WINDOWS))
+    n, rows, frequent = hot.count(), kept, None
+    if n:
+        hot = F.broadcast(hot) if n <= MOST_BROADCAST else hot
+        one = materialize(single(kept.join(hot, "h", "left_semi"), kind), "suffix-windows")
+        counts = materialize(one.groupBy("h").agg(F.count("*").alias("count"), F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("count") > HOT), "suffix-frequent")
+        n = counts.count()
+        counts = F.broadcast(counts) if n <= MOST_BROADCAST else counts
+        rows = kept.join(hot, "h", "left_anti").select("id", "first", "h", "windows").unionByName(one.join(counts, "h", "left_anti"))
+        frequent = one.join(counts, "h").where("low <> high").select("id", F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"), F.col("first").alias("start"), (F.col("first") + min_words).alias("end"))
 
     def run(batches):
+        import pyarrow.compute as pc
+
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got)
-        h, s, doc, pos = (t.column(c).to_numpy() for c in ("h", "s", "id", "pos"))
-        code = doc if doc.dtype.kind in "iu" else np.unique(doc, return_inverse=True)[1]
-        a, b = compared(np.cumsum(_runs([h, s])), code, {m: t.column(m).to_numpy() for m in MARKS})
-        flip = code[a] > code[b]
-        a, b = np.where(flip, b, a), np.where(flip, a, b)
-        ids = t.column("id").combine_chunks()
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), pa.array(pos[a]), ids.take(pa.array(b)), pa.array(pos[b])], ["a", "pa", "b", "pb"])
-
-    found = ordered.mapInArrow(run, f"a {kind}, pa int, b {kind}, pb int")
-    # No more places than one document's own suffixes have partners.
-    return materialize(found.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("places")), "suffix-doc-pairs")
-
-
-def extended(x: np.ndarray, y: np.ndarray, diagonal: int, places: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Ranges in x of the matches on a diagonal (place in x less place in y) that hold one of the places and are long enough."""
-    low, high = max(0, diagonal), min(len(x), len(y) + diagonal)
-    same = x[low:high] == y[low - diagonal : high - diagonal]
-    cut = np.flatnonzero(~same) + low
-    out = set()
-    for p in places:
-        k = int(np.searchsorted(cut, p))
-        a = int(cut[k - 1]) + 1 if k else low
-        b = int(cut[k]) if k < len(cut) else high
-        if b - a >= min_words:
-            out.add((a, b))
-    return sorted(out)
+        t = pa.Table.from_batches(got).combine_chunks()
+        ids, first, h, packed = (t.column(c).chunk(0) for c in ("id", "first", "h", "windows"))
+        coded = ids.dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        names = coded.dictionary.take(pa.array(order))
+        doc, other, start, end = repeated(h.to_numpy(), rank[coded.indices.to_numpy()], first.to_numpy(), packed, min_words)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(doc)), names.take(pa.array(other)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["id", "other", "start", "end"])
+
+    found = rows.select("id", "first", "h", "windows").repartition(parts, "h").mapInArrow(run, f"id {kind}, other {kind}, start int, end int")
+    return materialize(found if frequent is None else found.unionByName(frequent), "suffix-matches")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, n_words, n_repeated, spans (word ranges) and partners (ids a passage was matched with) of every document with a passage."""
-    import pyarrow as pa
-
     kind = docs.schema[id_col].dataType.simpleString()
-    table = materialize(suffixes(docs, id_col, text_col, min_words), "suffixes")
+    table = materialize(suffixes(docs, id_col, text_col, min_words, False), "suffixes")
     nodes = materialize(table.where(F.col("n_words") >= min_words).select("id", "node", "n_words").distinct(), "suffix-texts")
     firsts = materialize(nodes.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("copies")), "suffix-nodes")
     same = materialize(nodes.join(firsts.where("copies > 1"), "node").select("id", "n_words", "first", "last"), "suffix-copies")
@@ -257,42 +223,24 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     kept = kept.join(later, "id", "left_anti")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(["id"])
-    count = kept.agg(F.coalesce(F.sum(F.size("kept")), F.lit(0))).first()[0]
-    pairs = candidate_pairs(kept.select("id", F.explode("kept").alias("s")).select("id", "s.*"), kind, count)
-    release(table)
-
-    need = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "suffix-need")
+    slim = kept.select("id", F.explode("kept.h").alias("h"))
+    shared = slim.groupBy("h").agg(F.count("*").alias("count"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    shared = materialize(shared.select("h", "count"), "suffix-shared")
+    grams = F.broadcast(shared.select("h")) if shared.count() <= MOST_BROADCAST else shared.select("h")
+    # Only the documents with a k-gram of another one are read again, for their windows.
+    need = materialize(slim.join(grams, "h", "left_semi").select("id").distinct(), "suffix-need")
     if need.count() <= MOST_BROADCAST:
         need = F.broadcast(need)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi")
     if not repeated.isEmpty():
         texts = texts.dropDuplicates(["id"])
-    texts = materialize(texts, "suffix-texts")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches):
-        words = lambda t: np.array(list(map(hash, normalise(t).split())), np.int64)
-        last: tuple = (None, None)
-        for batch in batches:
-            x, y = [], []
-            for ta, tb, places in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
-                if last[0] != ta:
-                    last = (ta, words(ta))
-                other, by = words(tb), {}
-                for p in places:
-                    by.setdefault(p["pa"] - p["pb"], []).append(p["pa"])
-                got = [(s, e, d) for d, ps in by.items() for s, e in extended(last[1], other, d, ps, min_words)]
-                x.append([{"start": s, "end": e} for s, e, _ in got])
-                y.append([{"start": s - d, "end": e - d} for s, e, d in got])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, span), pa.array(y, span)], ["a", "b", "x", "y"])
-
+    full = materialize(suffixes(texts, "id", "text", min_words, True), "suffix-full")
+    release(table)
+    count = full.agg(F.coalesce(F.sum(F.greatest(F.col("n_words") - min_words + 1, F.lit(0))), F.lit(0))).first()[0]
+    hot = materialize(shared.where(F.col("count") > HOT).select("h"), "suffix-hot")
+    rows = matches(full.select("id", F.explode("kept").alias("s")).select("id", "s.*"), hot, kind, count, min_words)
+    release(full)
     spans = "array<struct<start:int,end:int>>"
-    found = both.select("a", "b", "ta", "tb", "places").mapInArrow(run, f"a {kind}, b {kind}, x {spans}, y {spans}")
-    found = materialize(found.where(F.size("x") > 0), "suffix-matches")
-    release(texts, pairs)
-    rows = found.select(F.col("a").alias("id"), F.col("b").alias("other"), F.explode("x").alias("s")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("other"), F.explode("y").alias("s")))
-    rows = rows.select("id", "other", "s.start", "s.end")
     whole = same.select("id", F.when(F.col("id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"), F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
     merged = F.aggregate(F.sort_array(F.collect_set(F.struct("start", "end"))), F.array().cast(spans), _join)
     # A document's matches: at most a few for each of its own suffixes.

@@ -136,6 +136,24 @@ def test_repeated_passages(table):
     assert suffix_dedup.passages(pair.unionByName(pair)).count() == 0
 
 
+def spans_found(spark, rows):
+    got = suffix_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    return {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in got}
+
+
+def test_a_short_passage_in_very_many_documents(spark):
+    rng = random.Random(4)
+    passages, rows = [words(rng, n, 10**6) for n in (50, 52, 57)], []
+    for i in range(4500):
+        rows.append((i, " ".join([*words(rng, rng.randint(3, 20), 10**6), *passages[i % 3], *words(rng, rng.randint(3, 20), 10**6)])))
+    # One 16-word beginning in very many documents, with passages that only two of them hold.
+    start = words(rng, 16, 10**6)
+    for i in range(0, 1200, 2):
+        rest = words(rng, 34, 10**6)
+        rows += [(5000 + i + k, " ".join([*words(rng, 9, 10**6), *start, *rest, *words(rng, 9, 10**6)])) for k in range(2)]
+    assert spans_found(spark, rows) == passages_by_hand(rows)
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     more = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "", "en", "s", 0), (0, docs.where("doc_id = 0").first()["text"], "en", "s", 1)], docs.schema)
