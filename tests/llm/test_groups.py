@@ -154,6 +154,14 @@ def test_a_short_passage_in_very_many_documents(spark):
     assert spans_found(spark, rows) == passages_by_hand(rows)
 
 
+def test_repeats_in_families_that_mix_parts(spark):
+    rng = random.Random(8)
+    parts, rows = [words(rng, rng.randint(14, 30), 10**6) for _ in range(24)], []
+    for i in range(400):
+        rows.append((i, " ".join(sum([rng.choice(parts)[rng.randint(0, 3) :] for _ in range(8)], []))))
+    assert spans_found(spark, rows) == passages_by_hand(rows)
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     more = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "", "en", "s", 0), (0, docs.where("doc_id = 0").first()["text"], "en", "s", 1)], docs.schema)
