@@ -8,10 +8,11 @@ preserving alignment: with L the length of the longest common subsequence of bot
 
 found with matches limited to the band of diagonals that any alignment good enough must stay in. 1 - S is a metric.
 
-Equal word sequences are one node from the start. In each bucket of a band, every member is compared with the bucket's pivots: its most
-central members (those with most fellow members over all bands), one of each of `pivots` hash slots. So the number of comparisons grows with
-the rows of the buckets, not with their squares, and no bucket is cut: members of one family reach each other through its centre, in
-any of the bands. Classes are the connected components of the links.
+Equal word sequences are one node from the start. In each bucket of a band, every member is first compared with the bucket's pivots: its most
+central members (those with most fellow members over all bands), one of each of `pivots` hash slots; members of one family reach each other
+through its centre, in any of the bands. Then members of a bucket that are not in one component yet are compared with each other, in blocks
+of at most `BLOCK` members a side. So every two members of a bucket are compared or in one class, no bucket is cut, and only buckets of
+several classes take more comparisons than they have rows. Classes are the connected components of the links.
 
 Defined cases: a null text, or one without words, is a class of its own; a text of one to four words has one shingle, all its words;
 rows that repeat id and text are one document; the class id is the smallest id in the class; ties between pivots go to the larger id;
@@ -34,6 +35,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 3
 PIVOTS = 3
+#: Members of a bucket and component that one task pairs with others.
+BLOCK = 500
 #: Ids sent to all executors to select texts; counted first, more are joined with a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -213,6 +216,26 @@ def candidates(reps: DataFrame, pivots: int = PIVOTS, similarity: float = SIMILA
     return pairs.groupBy(F.col("p.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared")).select("a", "b")
 
 
+def rest(reps: DataFrame, labels: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of one bucket but of different components, without those done; labels: node, label of the linked reps."""
+    found = labels.select(F.col("node").alias("rep"), "label")
+    bands = reps.join(found, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"), F.explode("keys").alias("key"))
+    mixed = bands.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    live = materialize(bands.join(mixed, "key"), "near-mixed")
+    sizes = live.groupBy("key", "label").agg(F.count("*").alias("count"))
+    sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")), "near-parts")
+    live = live.join(sizes, ["key", "label"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    live = materialize(live.select("key", "label", "block", "rep", "n"), "near-blocks")
+    # Every two parts of a bucket hold a pair at least, so there are no more of these than pairs.
+    side = lambda x: sizes.select("key", F.col("label").alias(f"label_{x}"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"block_{x}"))
+    both = side("a").join(side("b"), "key").where("label_a < label_b")
+    of = lambda x: live.select("key", F.col("label").alias(f"label_{x}"), F.col("block").alias(f"block_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
+    pairs = both.join(of("a"), ["key", "label_a", "block_a"]).join(of("b"), ["key", "label_b", "block_b"])
+    pairs = pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough, with their similarity."""
     import pyarrow as pa
@@ -242,6 +265,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = materialize(reps, "near-reps")
     pairs = materialize(candidates(reps.select("rep", "n", "keys")), "near-pairs")
     links = materialize(verified(pairs, docs, id_col, text_col), "near-links")
+    more = materialize(rest(reps, components(links), pairs), "near-rest")
+    if not more.isEmpty():
+        links = links.unionByName(materialize(verified(more, docs, id_col, text_col), "near-more-links"))
     labels = components(links)
     of = reps.select("node", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("node", F.coalesce("label", "rep").alias("class"))
     of = materialize(of, "near-classes")

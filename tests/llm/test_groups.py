@@ -91,6 +91,26 @@ def test_near_duplicates_of_odd_tables(spark, table):
     assert sorted(map(str, (r["class_id"] for r in near_dedup.classes(none).collect()))) == ["3", "3", "None"]
 
 
+def test_near_duplicates_away_from_the_centre(spark):
+    rng = random.Random(3)
+    base, rows = words(rng, 150, 10**6), []
+    for i in range(150):  # versions of one text, most of them too far from each other and from the centre
+        w = list(base)
+        for _ in range(rng.randint(2, 4)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = {r["id"]: set(r["keys"]) for r in near_dedup.sketches(docs, "doc_id", "text").collect()}
+    mates = [(i, j) for i in keys for j in keys if i < j and keys[i] & keys[j]]
+    v, texts = Verifier(), dict(rows)
+    links = [(i, j) for i, j in mates if v.similar(texts[i], texts[j]) > 0]
+    top = {i: i for i in keys}
+    for _ in keys:
+        for i, j in links:
+            top[i] = top[j] = min(top[i], top[j])
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == top
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 60)] + [(5, 5)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
