@@ -1,17 +1,17 @@
 """Personal data: base patterns by position, and information-theoretic sanitisation of the terms around them.
 
 Base spans come from the text's pieces between matches, so every stage is built-in expressions over whole texts. Then each matched
-value is a protected entity c, and the words near it are terms t. Over all documents, with N of them, n(c) those with the entity,
-n(t) those with the term and n(t,c) the different contexts with both, the term discloses the share
+value is a protected entity c, and the words of its texts are terms t. Over all distinct texts, with N of them, n(c) those with the
+entity, n(t) those with the term and n(t,c) those with both, the term discloses the share
 
     r = PMI(t;c) / IC(c) = 1 + ln(n(t,c) / n(t)) / -ln(n(c) / N)
 
-of the entity's information: 1 if the term never stands without it. Terms seen with an entity in `min_contexts` different contexts
-are removed from `remove` on and generalised (to their kind of word) from `generalise` on, next to that entity. Pairs are counted
-in partial sums before any shuffle; n(t) is counted over every word of every document.
+of the entity's information: 1 if the term never stands without it. Terms seen with an entity in `min_contexts` different texts
+are removed from `remove` on and generalised (to their kind of word) from `generalise` on, wherever they stand in texts with that entity.
+Pairs are counted in partial sums before any shuffle; n(t) is counted over every word of every distinct text.
 
-Defined cases: a null text counts as empty, without spans; spans are half-open code point ranges; equal texts give equal contexts
-and count once in n(t,c); base spans of different kinds may overlap and all are listed, while sanitised text replaces their union;
+Defined cases: a null text counts as empty, without spans; spans are half-open code point ranges; equal texts
+count once in every number; terms are letters between base spans, three or more; base spans of different kinds may overlap and all are listed, while sanitised text replaces their union;
 rows that share id and text share their result; other columns are ignored.
 """
 
@@ -33,6 +33,7 @@ KINDS = {
 #: What a text must hold for a kind to be looked for at all.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = "term"
+TERMS = r"\p{L}{3,}"
 _BYTE_PART = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
@@ -40,14 +41,17 @@ SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 MOST_BROADCAST = 100_000
 
 
-def located(text: Column, pattern: str, at: Column | int = 0) -> Column:
-    """All leftmost non-overlapping matches as (start, end, value), counted from `at`."""
-    start = F.struct(F.lit(at).cast("bigint").alias("pos") if isinstance(at, int) else at.cast("bigint").alias("pos"), F.array().cast(SPANS).alias("out"))
+def located(text: Column, pattern: str, only=None) -> Column:
+    """All leftmost non-overlapping matches as (start, end, value), or those whose value `only` holds for."""
+    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(SPANS).alias("out"))
 
     def fold(pieces: Column, values: Column) -> Column:
         def step(a: Column, i: Column) -> Column:
             s = a["pos"] + F.length(F.get(pieces, i))
-            return let(F.struct(s.alias("s"), (s + F.length(F.get(values, i))).alias("e")), lambda x: F.struct(x["e"].alias("pos"), F.concat(a["out"], F.array(F.struct(x["s"].alias("start"), x["e"].alias("end"), F.get(values, i).alias("value")))).alias("out")))
+            v = F.get(values, i)
+            more = lambda x: F.concat(a["out"], F.array(F.struct(x["s"].alias("start"), x["e"].alias("end"), v.alias("value"))))
+            out = lambda x: more(x) if only is None else F.when(only(v), more(x)).otherwise(a["out"])
+            return let(F.struct(s.alias("s"), (s + F.length(v)).alias("e")), lambda x: F.struct(x["e"].alias("pos"), out(x).alias("out")))
 
         return F.aggregate(F.transform(values, lambda _, i: i), start, step, lambda a: a["out"])
 
@@ -83,19 +87,25 @@ def base_spans(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), lambda t: F.struct(*[found(t, k).alias(k) for k in KINDS]))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = 5, min_contexts: int = 3, remove: float = 0.97, generalise: float = 0.9, base_as: str = "base", terms_as: str = "terms") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_contexts: int = 3, remove: float = 0.97, generalise: float = 0.9, base_as: str = "base", terms_as: str = "terms") -> DataFrame:
     """The kept columns, `base` (struct of spans by kind) and `terms` (spans with action), for every row; both can have other names."""
     keep = [id_col] if keep is None else keep
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     quoted = [F.col(f"`{c}`") for c in keep]
     base = docs.select(*quoted, F.col(id_col).alias("__id"), F.xxhash64(text).alias("__h"), once(base_spans(text)).alias("__base"))
-    contexts = materialize(_contexts(docs, id_col, text, window), "pii-contexts")
-    flagged = _disclosive(docs, text, contexts, min_contexts, remove, generalise)
-    flagged = materialize(flagged, "pii-terms")
+    hits = materialize(_hits(docs, id_col, text), "pii-texts")
+    entities = materialize(hits.select("__h", F.explode("entities").alias("entity")).distinct(), "pii-entities")
+    flagged = materialize(_disclosive(docs, text, hits, entities, min_contexts, remove, generalise), "pii-terms")
     if flagged.count() <= MOST_BROADCAST:
         flagged = F.broadcast(flagged)
-    spans = contexts.join(flagged, ["term", "entity"]).groupBy("__id", "__h", "start", "end", "term").agg(F.max("action").alias("action"))
-    spans = spans.groupBy(F.col("__id").alias("__id2"), F.col("__h").alias("__h2")).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "action"))).alias("__terms"))  # one document's own terms
+    marks = entities.join(flagged, "entity").groupBy("__h", "term").agg(F.max("action").alias("action"))
+    marks = materialize(marks.groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks")), "pii-marks")  # one text's own terms
+    if marks.count() <= MOST_BROADCAST:
+        marks = F.broadcast(marks)
+    found = located(F.col("__t"), TERMS, lambda v: F.map_contains_key("marks", F.lower(v)))
+    found = F.transform(found, lambda x: let(F.lower(x["value"]), lambda v: F.struct(x["start"].alias("start"), x["end"].alias("end"), v.alias("value"), F.element_at("marks", v).alias("action"))))
+    spans = hits.join(marks, "__h").select(F.col("__id").alias("__id2"), F.col("__h").alias("__h2"), once(found).alias("__terms")).where(F.size("__terms") > 0)
+    spans = spans.groupBy("__id2", "__h2").agg(F.first("__terms").alias("__terms"))  # of rows that repeat id and text
     spans = materialize(spans, "pii-spans")
     if spans.count() <= MOST_BROADCAST:
         spans = F.broadcast(spans)
@@ -104,51 +114,59 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     return out.select(*quoted, F.col("__base").alias(base_as), F.coalesce("__terms", none).alias(terms_as))
 
 
-def _contexts(docs: DataFrame, id_col: str, text: Column, window: int, reach: int = 200) -> DataFrame:
-    """A row for each term near an entity: __id, __h, entity, term, its start and end, and a hash of the context."""
+def _hits(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """The texts with entities: __id, __h, __t (with blanks in place of the base spans) and their distinct entities."""
     hit = F.lit(False)
     for k in KINDS:
         hit = hit | F.col("__t").rlike(KINDS[k])
     some = docs.select(F.col(id_col).alias("__id"), once(text).alias("__t")).where(hit)
     some = some.select("__id", "__t", F.xxhash64("__t").alias("__h"), once(base_spans(F.col("__t"))).alias("base"))
-    named = lambda k: lambda x: F.struct(F.concat(F.lit(k + ":"), F.lower(x["value"])).alias("entity"), x["start"].alias("s"), x["end"].alias("e"))
+    named = lambda k: lambda x: F.struct(F.concat(F.lit(k + ":"), F.lower(x["value"])).alias("entity"), x["start"].cast("int").alias("s"), x["end"].cast("int").alias("e"))
     every = F.concat(*[F.transform(f"base.{k}", named(k)) for k in KINDS])
-    rows = some.select("__id", "__h", "__t", once(every).alias("every")).select("*", F.explode("every").alias("x"))
-    s, e = F.col("x.s").cast("int"), F.col("x.e").cast("int")
-    low = F.greatest(s - reach, F.lit(0))
-    before, after = F.substring("__t", low + 1, s - low), F.substring("__t", e + 1, F.lit(reach))
-    # A word that the reach cuts is no word: it is left out at either end.
-    near = lambda c, at: located(c, r"\p{L}{3,}", at)
-    left = F.slice(F.reverse(F.filter(near(before, low), lambda x: (x["start"] > low) | (low == 0))), 1, window)
-    right = F.slice(F.filter(near(after, e), lambda x: (x["end"] < e + reach)), 1, window)
-    rows = rows.select("__id", "__h", "every", "x.entity", once(F.concat(left, right)).alias("words"))
-    rows = rows.select("__id", "__h", "entity", "every", F.xxhash64(F.transform("words", lambda x: F.lower(x["value"]))).alias("context"), F.explode("words").alias("w"))
-    free = ~F.exists("every", lambda x: (x["s"] < F.col("w.end")) & (x["e"] > F.col("w.start")))
-    return rows.where(free).select("__id", "__h", "entity", F.lower("w.value").alias("term"), "w.start", "w.end", "context")
-
-
-def _disclosive(docs: DataFrame, text: Column, contexts: DataFrame, min_contexts: int, remove: float, generalise: float) -> DataFrame:
+    rows = some.select("__id", "__h", "__t", once(every).alias("every")).where(F.size("every") > 0)
+    blank = F.aggregate("every", F.col("__t"), lambda t, x: F.overlay(t, F.repeat(F.lit(" "), x["e"] - x["s"]), x["s"] + 1, x["e"] - x["s"]))
+    return rows.select("__id", "__h", once(blank).alias("__t"), F.array_distinct(F.transform("every", lambda x: x["entity"])).alias("entities"))
+
+
+def _disclosive(docs: DataFrame, text: Column, hits: DataFrame, entities: DataFrame, min_contexts: int, remove: float, generalise: float) -> DataFrame:
     """term, entity, action of the pairs above the thresholds."""
-    n_docs = docs.count()
+    copies = materialize(docs.select(F.xxhash64(text).alias("__h")).groupBy("__h").agg(F.count("*").alias("copies")), "pii-copies")
+    n_docs = copies.count()
+    copies = copies.where("copies > 1")
+    if copies.count() <= MOST_BROADCAST:
+        copies = F.broadcast(copies)
     ic = F.greatest(-F.log(F.col("n_c") / F.lit(float(max(n_docs, 1)))), F.lit(1e-9))
-    share = lambda n: 1 + F.log(F.least(F.col("n_tc") / F.col(n), F.lit(1.0))) / ic
-    pairs = contexts.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= min_contexts)
-    n_entity = contexts.select("entity", "__h").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    # The documents that hold a term near any entity are a lower bound of n(t): pairs that fail with it fail for certain.
-    n_near = contexts.select("term", "__h").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = pairs.join(n_entity, "entity").join(n_near, "term").where(share("n_near") >= generalise)
-    pairs = materialize(pairs.select("term", "entity", "n_tc", "n_c"), "pii-pairs")
+    share = lambda both, n: 1 + F.log(F.least(F.col(both) / F.col(n), F.lit(1.0))) / ic
+    live = entities.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_contexts)
+    live = materialize(entities.join(live, "entity").select("__h", "entity", "n_c"), "pii-live")
+    texts = live.select("__h").distinct()
+    if texts.count() <= MOST_BROADCAST:
+        texts = F.broadcast(texts)
+    # Distinct blanked texts first: copies have their words taken once.
+    near = hits.join(texts, "__h", "left_semi").select("__h", "__t").distinct()
+    near = near.select("__h", F.explode(F.array_distinct(F.transform(F.split("__t", r"[^\p{L}]+"), lambda w: F.lower(w)))).alias("term")).where(F.length("term") >= 3)
+    near = materialize(near, "pii-words")
+    # The texts that hold a term and an entity are a lower bound of n(t), and n(c) is an upper one of n(t,c): pairs that fail with these fail for certain.
+    most = live.agg(F.max(F.col("n_c") * F.exp((1 - generalise) * ic))).first()[0] or 0.0
+    n_near = near.groupBy("term").agg(F.count("*").alias("n_near")).where((F.col("n_near") >= min_contexts) & (F.col("n_near") <= most + 1e-6))
+    n_near = materialize(n_near, "pii-near")
+    if n_near.count() <= MOST_BROADCAST:
+        n_near = F.broadcast(n_near)
+    pairs = near.join(n_near, "term").join(live, "__h").where(share("n_c", "n_near") >= generalise)
+    pairs = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_tc"), F.first("n_near").alias("n_near"), F.first("n_c").alias("n_c"))
+    pairs = materialize(pairs.where((F.col("n_tc") >= min_contexts) & (share("n_tc", "n_near") >= generalise)), "pii-pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if n_terms == 0:
         return pairs.select("term", "entity", F.lit("remove").alias("action"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term"))
     if n_terms <= MOST_BROADCAST:
-        n_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        n_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(n_term, "term")
-    return scored.where(share("n_t") >= generalise).select("term", "entity", F.when(share("n_t") >= remove, "remove").otherwise("generalise").alias("action"))
+        terms = F.broadcast(terms)
+    # A text in k copies gives k rows for each of its words: counted by k, and divided by it.
+    words = docs.select(F.xxhash64(text).alias("__h"), once(text).alias("__t")).join(copies, "__h", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(F.array_distinct(F.split(F.lower("__t"), r"[^\p{L}]+"))).alias("term"))
+    n_term = words.join(terms, "term", "left_semi").groupBy("term", "copies").agg(F.count("*").alias("rows"))
+    n_term = n_term.groupBy("term").agg(F.sum(F.expr("rows div copies")).alias("n_all"))
+    scored = pairs.join(n_term, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_all", F.lit(0)), "n_near"))
+    return scored.where(share("n_tc", "n_t") >= generalise).select("term", "entity", F.when(share("n_tc", "n_t") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
 def listed(with_terms: bool) -> Column:

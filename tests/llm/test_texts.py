@@ -210,6 +210,21 @@ def test_pii_disclosing_terms(spark):
     assert got[201]["terms"] == [] and got[50]["clean"] == got[50]["text"]
 
 
+def pii_rows(copies):
+    common = "the quick brown fox jumps over a lazy dog while many people watch from afar and near".split()
+    fill = lambda k: " ".join(common[(k * 7 + j * 3) % len(common)] + "x" * (k // 17 % 9) for j in range(12))
+    rows = [(i, f"Page {'yz' * (i % 30 + 1)}{'w' * (i // 30)} " + fill(i)) for i in range(300)]
+    return rows + [(1000 + i, rows[7 * k][1] + " Zorblax bob@corp.example.com " + fill(k)) for i, k in enumerate([0, 1, 2] + [2] * copies)]
+
+
+def test_pii_copies_do_not_hide_terms(spark):
+    for copies in (0, 40):
+        found = pii.find(spark.createDataFrame(pii_rows(copies), "doc_id bigint, text string")).where("doc_id >= 1000").collect()
+        assert len(found) == 3 + copies
+        for r in found:
+            assert ("zorblax", "remove") in {(t["value"], t["action"]) for t in r["terms"]}
+
+
 def test_quality_classifier(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.learn(docs, labels)
