@@ -225,6 +225,19 @@ def test_pii_copies_do_not_hide_terms(spark):
             assert ("zorblax", "remove") in {(t["value"], t["action"]) for t in r["terms"]}
 
 
+def test_pii_terms_of_the_whole_text(spark):
+    far = " the quick brown fox jumps over a lazy dog while many people watch from afar and near" * 4
+    rows = [(i, f"Note {'n' * (i + 3)}" + far) for i in range(200)]
+    rows += [(500 + i, f"Vexquor report {'q' * (i + 3)}{far} mail bob@corp.example.com {'r' * (i + 3)}{far} regards VEXQUOR") for i in range(4)]
+    rows += [(600, rows[0][1] + " vexquorish")]
+    got = {r["doc_id"]: r["terms"] for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    for i in range(500, 504):
+        assert [texts[i][t["start"] : t["end"]] for t in got[i] if t["value"] == "vexquor"] == ["Vexquor", "VEXQUOR"]
+        assert {t["value"] for t in got[i]} == {"vexquor", "report", "mail", "regards"}
+    assert got[0] == [] and got[600] == []
+
+
 def test_quality_classifier(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.learn(docs, labels)
