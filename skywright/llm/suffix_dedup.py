@@ -1,19 +1,21 @@
 """Repeated passages by a distributed sparse suffix array.
 
 Suffixes are retained where a text's content selects them: at the least hashed k-gram of every `min_words` words, so any passage of that
-length keeps a suffix at the same place in all its copies. A suffix stands for the windows of `min_words` words that select it, in every
-placement around its k-gram; each window of a text belongs to one suffix. Suffixes are dealt by their k-gram; in its partition
-each window of a k-gram that several documents hold is compared with all equal windows, by sorting. The windows of a very frequent k-gram are
-dealt one by one, by what they hold, and windows that are very frequent themselves are counted in partial sums.
+length keeps a suffix at the same place in all its copies. Suffixes are dealt by their k-gram, and each stands for the windows of `min_words`
+words that select it: its text from up to `min_words` - k words before the k-gram on. In its partition the suffixes are sorted in every such
+placement (by the hash of the window's words), so that those that agree are neighbours; neighbours of different documents match, and
+matches in placements that follow each other are extended to the left and to the right into one passage.
 
 So a window is found if and only if another document holds it: no number of other texts with the same k-gram comes between. Windows are
-compared by two 64-bit hashes, of the k-gram and of all the words.
+compared by two 64-bit hashes, of the k-gram and of all the words. The suffixes of a very frequent k-gram are salted: each salt settles what
+it can, and what is left meets by its windows (see matches()).
 
 Equal word sequences are one text from the start: its documents repeat each other as a whole.
 
 Defined cases: a null text, or one of fewer words, has no passage; repeats inside one document alone do not count; rows that repeat id and
-text are one document; overlapping passages of a document are one span; documents without passages are not in the result; other columns
-are ignored.
+text are one document; overlapping or touching passages of a document are one span; documents without passages are not in the result; very
+long texts are read whole, one at a time, and their suffixes are dealt like others; of several partners with a window the smallest id (for the
+smallest the largest) is named; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_P), n, 1 << 64))
 
 
-#: Suffixes of one k-gram above which its windows are dealt one by one, and rows of one window above which these are not dealt at all.
-HOT = 1000
+#: Suffixes of one k-gram in one salt.
+HOT = 2000
 
 
 def selected(h: np.ndarray, min_words: int = MIN_WORDS, k: int = K, windows: bool = True) -> tuple[np.ndarray, ...]:
@@ -137,75 +139,120 @@ def several(keys: list[np.ndarray], order: np.ndarray, doc: np.ndarray) -> tuple
     return ok, other
 
 
-def repeated(h: np.ndarray, doc: np.ndarray, first: np.ndarray, packed, min_words: int) -> tuple[np.ndarray, ...]:
-    """(documents, other documents, starts, ends) of the runs of repeated windows, of a partition's suffixes."""
-    import pyarrow as pa
+def _places(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, place in its text) of every window of suffixes with `count` windows each from `first` on."""
+    of = np.repeat(np.arange(len(first)), count)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
 
-    some, _ = several([h], np.argsort(h), doc)
-    windows, count = _unpacked(packed.filter(pa.array(some)))
-    of = np.repeat(np.flatnonzero(some), count)
-    place = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    ok, other = several([windows, h[of]], np.argsort(windows), doc[of])
-    of, place, other = of[ok], place[ok], other[ok]
-    new = _runs([of, other, place - np.arange(len(place))])
-    begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(of)) - 1 if len(of) else begin
-    return doc[of[begin]], other[begin], place[begin], place[last] + min_words
-
-
-def single(kept: DataFrame, kind: str) -> DataFrame:
-    """Every window of kept as a suffix of its own; h tells windows apart."""
-    import pyarrow as pa
 
-    def run(batches):
-        for batch in batches:
-            windows, count = _unpacked(batch.column(3))
-            of = np.repeat(np.arange(batch.num_rows), count)
-            first = batch.column(1).to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            h = _mixed(windows * _P + batch.column(2).to_numpy().view(np.uint64)[of])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)), _packed(windows, np.ones(len(of), np.int64))], ["id", "first", "h", "windows"])
+def runs_of(doc: np.ndarray, other: np.ndarray, place: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(documents, other documents, starts, ends): repeated windows that follow each other, extended to the left and to the right as far as they go."""
+    begin = np.flatnonzero(_runs([doc, other, place - np.arange(len(place))]))
+    last = np.append(begin[1:], len(place)) - 1 if len(place) else begin
+    return doc[begin], other[begin], place[begin], place[last] + min_words
 
-    return kept.select("id", "first", "h", "windows").mapInArrow(run, f"id {kind}, first int, h bigint, windows binary")
 
+def repeated(h: np.ndarray, doc: np.ndarray, first: np.ndarray, packed, min_words: int, salts: np.ndarray | None = None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(runs of repeated windows, windows to compare elsewhere) of the suffixes of a partition.
 
-def matches(kept: DataFrame, hot: DataFrame, kind: str, count: int, min_words: int) -> DataFrame:
-    """id, other, start, end of the repeated windows (runs of them), from rows of id, first, h, windows, `count` windows in all; hot: very frequent k-grams.
+    Of a k-gram in one salt all rows are here. Of others, the windows that one document here holds go on (suffix, place, window,
+    False), and one of those that several hold, to stand for them (suffix, place, window, True).
+    """
+    import pyarrow as pa
 
-    Suffixes of one k-gram go to one partition, but the windows of a very frequent k-gram each to that of their own hash. A
-    window that is very frequent itself is counted, with the first and the last document, and told to its rows.
+    salts = np.ones(len(h), np.int64) if salts is None else salts
+    some, _ = several([h], np.argsort(h), doc)
+    some |= salts > 1
+    windows, count = _unpacked(packed.filter(pa.array(some)))
+    at = np.flatnonzero(some)
+    of, place = _places(first[at], count)
+    of = at[of]
+    order = np.argsort(windows)
+    ok, other = several([windows, h[of]], order, doc[of])
+    runs = runs_of(doc[of[ok]], other[ok], place[ok], min_words)
+    wide = salts[of] > 1
+    head = np.zeros(len(of), bool)
+    if wide.any():
+        head[order[_runs([windows[order], h[of][order]])]] = True
+    go = wide & (~ok | head)
+    return runs, (of[go], place[go], windows[go], ok[go])
+
+
+def matches(kept: DataFrame, shared: DataFrame, kind: str, count: int, min_words: int) -> DataFrame:
+    """id, other, start, end of the repeated windows (runs of them), from rows of id, first, h, windows, `count` windows in all; shared: h and count of k-grams.
+
+    Suffixes of one k-gram go to one partition, those of a very frequent one to several (salts). There a window that several documents
+    hold is settled, and only one row stands for it when the windows left are dealt again, by what they hold. So a window in any number
+    of documents makes a row for each salt at most.
     """
     import pyarrow as pa
 
     spark = kept.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // WINDOWS))
-    n, rows, frequent = hot.count(), kept, None
-    if n:
-        hot = F.broadcast(hot) if n <= MOST_BROADCAST else hot
-        one = materialize(single(kept.join(hot, "h", "left_semi"), kind), "suffix-windows")
-        counts = materialize(one.groupBy("h").agg(F.count("*").alias("count"), F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("count") > HOT), "suffix-frequent")
-        n = counts.count()
-        counts = F.broadcast(counts) if n <= MOST_BROADCAST else counts
-        rows = kept.join(hot, "h", "left_anti").select("id", "first", "h", "windows").unionByName(one.join(counts, "h", "left_anti"))
-        frequent = one.join(counts, "h").where("low <> high").select("id", F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"), F.col("first").alias("start"), (F.col("first") + min_words).alias("end"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = materialize(shared.where(F.col("count") > HOT).select("h", F.ceil(F.col("count") / HOT).cast("bigint").alias("salts")), "suffix-hot")
+    n = hot.count()
+    salted = kept.join(F.broadcast(hot) if n <= MOST_BROADCAST else hot, "h", "left").select("id", "first", "h", "windows", F.coalesce("salts", F.lit(1)).alias("salts"))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
 
-    def run(batches):
+    def loaded(batches):
         import pyarrow.compute as pc
 
         got = [b for b in batches if b.num_rows]
         if not got:
-            return
+            return None
         t = pa.Table.from_batches(got).combine_chunks()
-        ids, first, h, packed = (t.column(c).chunk(0) for c in ("id", "first", "h", "windows"))
-        coded = ids.dictionary_encode(null_encoding="encode")
+        coded = t.column("id").chunk(0).dictionary_encode(null_encoding="encode")
         order = pc.sort_indices(coded.dictionary).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        names = coded.dictionary.take(pa.array(order))
-        doc, other, start, end = repeated(h.to_numpy(), rank[coded.indices.to_numpy()], first.to_numpy(), packed, min_words)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(doc)), names.take(pa.array(other)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["id", "other", "start", "end"])
+        return t, rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+
+    names = ["id", "other", "start", "end", "h", "salts", "part", "settled", "places", "windows"]
 
-    found = rows.select("id", "first", "h", "windows").repartition(parts, "h").mapInArrow(run, f"id {kind}, other {kind}, start int, end int")
-    return materialize(found if frequent is None else found.unionByName(frequent), "suffix-matches")
+    def found(names_of, runs):
+        doc, other, start, end = runs
+        empty = [pa.nulls(len(doc), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([names_of.take(pa.array(doc)), names_of.take(pa.array(other)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *empty], names)
+
+    def near(batches):
+        if (got := loaded(batches)) is None:
+            return
+        t, doc, ids = got
+        h, first, salts = (t.column(c).to_numpy() for c in ("h", "first", "salts"))
+        runs, (of, place, windows, settled) = repeated(h, doc, first, t.column("windows").chunk(0), min_words, salts)
+        yield found(ids, runs)
+        if not len(of):
+            return
+        part = (windows % salts[of].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((place, settled, part, of))
+        of, place, windows, settled, part = of[order], place[order], windows[order], settled[order], part[order]
+        begin = np.flatnonzero(_runs([of, part, settled]))
+        size = np.diff(np.append(begin, len(of)))
+        row = of[begin]
+        places = pa.array([place[b : b + s].astype(np.int32).tobytes() for b, s in zip(begin, size, strict=True)], pa.binary())
+        none = [pa.nulls(len(row), ids.type), pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.int32())]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[row])), *none, pa.array(h[row]), pa.array(salts[row]), pa.array(part[begin]), pa.array(settled[begin]), places, _packed(windows, size)], names)
+
+    def far(batches):
+        if (got := loaded(batches)) is None:
+            return
+        t, doc, ids = got
+        windows, count = _unpacked(t.column("windows").chunk(0))
+        place = np.concatenate([np.frombuffer(x, np.int32) for x in t.column("places").to_pylist()])
+        of = np.repeat(np.arange(t.num_rows), count)
+        ok, other = several([windows, t.column("h").to_numpy()[of]], np.argsort(windows), doc[of])
+        ok &= ~t.column("settled").combine_chunks().to_numpy(zero_copy_only=False)[of]
+        yield found(ids, runs_of(doc[of[ok]], other[ok], place[ok], min_words))
+
+    schema = f"id {kind}, other {kind}, start int, end int, h bigint, salts bigint, part bigint, settled boolean, places binary, windows binary"
+    parts = max(least, -(-count // WINDOWS))
+    out = salted.repartition(parts, "h", "salt").select("id", "first", "h", "windows", "salts").mapInArrow(near, schema)
+    if not n:
+        return materialize(out.select("id", "other", "start", "end"), "suffix-matches")
+    out = materialize(out, "suffix-matches")
+    more = out.where(F.col("part").isNotNull()).repartition(parts, "h", "part").select("id", "h", "settled", "places", "windows").mapInArrow(far, schema)
+    more = materialize(more.select("id", "other", "start", "end"), "suffix-far-matches")
+    return out.where(F.col("part").isNull()).select("id", "other", "start", "end").unionByName(more)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -237,8 +284,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     full = materialize(suffixes(texts, "id", "text", min_words, True), "suffix-full")
     release(table)
     count = full.agg(F.coalesce(F.sum(F.greatest(F.col("n_words") - min_words + 1, F.lit(0))), F.lit(0))).first()[0]
-    hot = materialize(shared.where(F.col("count") > HOT).select("h"), "suffix-hot")
-    rows = matches(full.select("id", F.explode("kept").alias("s")).select("id", "s.*"), hot, kind, count, min_words)
+    rows = matches(full.select("id", F.explode("kept").alias("s")).select("id", "s.*"), shared, kind, count, min_words)
     release(full)
     spans = "array<struct<start:int,end:int>>"
     whole = same.select("id", F.when(F.col("id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"), F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
