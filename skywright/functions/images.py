@@ -18,6 +18,18 @@ def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, channels)
 
 
+def encode_png(image: np.ndarray) -> bytes:
+    """A PNG file of a gray or RGB byte image."""
+    import struct
+    import zlib
+
+    height, width = image.shape[:2]
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    rows = b"".join(b"\0" + image[y].tobytes() for y in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def gray(image: np.ndarray) -> np.ndarray:
     """Luma, rounded to bytes; one-channel images stay."""
     if image.ndim == 2 or image.shape[2] == 1:

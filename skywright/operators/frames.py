@@ -1,14 +1,16 @@
 """The frame pipeline: near-duplicate, size, motion, blur, batch; in two modes.
 
 `intended` (the default) looks for duplicates once. `strict` looks twice, as the original loop does: the second look finds the frame's own
-hash, so every frame that moves is a duplicate and no batch is ever ready. Each stateful stage sees only the survivors of the one before;
-the stages' results join back on the frame's key, so every frame has one status.
+hash, so every frame that moves is a duplicate and no batch is ever ready. Each stateful stage sees only the survivors of the one before:
+all of them are one fold over a stream in order, with one shuffle, so every frame has one status.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skywright.operators import ordered
 
@@ -33,22 +35,32 @@ def run_pipeline(
         raise ValueError(f"mode is 'intended' or 'strict', not {mode!r}")
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else valid_size(F.col("height"), F.col("width"))
     sharp = variance if variance is not None else F.col("laplacian_var")
-    seen = frames.select(*dict.fromkeys([*stream, *order, key]), F.col(hash_col).alias("__h"), F.col(pixels).alias("__p"), ok.alias("__ok"), sharp.alias("__v"))
-    folded = ordered.dedup_window(seen.select(*dict.fromkeys([*stream, *order, key]), "__h", "__ok"), stream, order, "__h", window, bits, "__dup")
-    marks = folded.select(*dict.fromkeys([*stream, key]), "__dup", "__ok")
-    alive = folded.where(~F.col("__dup") & F.col("__ok")).select(*stream, key).join(seen.select(*dict.fromkeys([*stream, *order, key]), "__p", "__v"), [*stream, key])
-    moved = ordered.with_motion(alive, stream, order, "__p", delta, least_motion).select(*dict.fromkeys([*stream, *order, key]), "motion_score", "has_motion", is_blurry(F.col("__v"), sharpness).alias("__blurry"))
-    out = marks.join(moved.select(*stream, key, "motion_score", "has_motion", "__blurry"), [*stream, key], "left")
-    first = F.when(F.col("__dup"), "duplicate").when(~F.col("__ok"), "invalid_image").when(~F.col("has_motion"), "no_motion")
-    score = F.when(F.col("has_motion") == F.lit(False), F.col("motion_score"))  # the only outcome that carries its score
-    if mode == "strict":
-        reason = first.otherwise("duplicate")
-        return out.select(*stream, key, F.lit("skipped").alias("status"), reason.alias("reason"), score.alias("motion_score"), F.lit(None).cast("bigint").alias("batch_id"))
-    good = ordered.numbered_batches(moved.where(F.col("has_motion") & ~F.col("__blurry")), stream, order, batch).select(*stream, key, "rn", "batch_id")
-    out = out.join(good, [*stream, key], "left")
-    reason = first.when(F.col("__blurry"), "blurry")
-    status = F.when(F.col("rn").isNull(), "skipped").otherwise(ordered.batch_status(batch))
-    return out.select(*stream, key, status.alias("status"), reason.alias("reason"), score.alias("motion_score"), "batch_id")
+    seen = frames.select(*dict.fromkeys([*stream, *order, key]), F.col(hash_col).alias("__h"), F.col(pixels).alias("__p"), ok.alias("__ok"), sharp.cast("double").alias("__v"))
+
+    def step(state: tuple, frame: tuple):
+        (kept, previous, n), (h, image, good, sharpness_of) = state, frame
+        if ordered.is_near(kept, h, bits):
+            return state, ("skipped", "duplicate", None, None)
+        kept = ordered.remembered(kept, h, window)
+        if not good:
+            return (kept, previous, n), ("skipped", "invalid_image", None, None)
+        score = None if previous is None else int((np.abs(image.astype(np.int64) - previous) > delta).sum())
+        previous = image.astype(np.int64)
+        if score is not None and score <= least_motion:
+            return (kept, previous, n), ("skipped", "no_motion", score, None)  # the only outcome that carries its score
+        if mode == "strict":
+            return (kept, previous, n), ("skipped", "duplicate", None, None)
+        if sharpness_of < sharpness:
+            return (kept, previous, n), ("skipped", "blurry", None, None)
+        return (kept, previous, n + 1), ("batch_ready" if (n + 1) % batch == 0 else "waiting_for_batch", None, None, n // batch)
+
+    def named(state: tuple, frame: tuple):
+        state, result = step(state, frame)
+        return state, dict(zip(("status", "reason", "motion_score", "batch_id"), result, strict=True))
+
+    kind = T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("motion_score", T.LongType()), T.StructField("batch_id", T.LongType())])
+    folded = ordered.ordered_fold(seen, stream, order, lambda: ([], None, 0), named, ["__h", "__p", "__ok", "__v"], "__r", kind)
+    return folded.select(*dict.fromkeys([*stream, key]), "__r.*")
 
 
 def metadata(path: Column, height: Column, width: Column, channels: Column, side: int = 640) -> Column:

@@ -16,7 +16,7 @@ def image_lookup(images: DataFrame, last_by: str | None = None) -> DataFrame:
 
 
 def to_yolo(annotations: DataFrame, images: DataFrame, strict: bool = False) -> DataFrame:
-    """image_id, file_name, class_id and the normalised box of every usable annotation.
+    """image_id, file_name, class_id, the normalised box and the image's width and height of every usable annotation.
 
     annotations: image_id, category_id, damage_bbox; images: one row an id. An annotation of an unknown image is dropped, or an error if strict.
     """
@@ -25,7 +25,7 @@ def to_yolo(annotations: DataFrame, images: DataFrame, strict: bool = False) ->
         known = annotations.join(images.select(F.col("id").alias("image_id"), F.lit(True).alias("__known")), "image_id", "left")
         usable = known.where(F.assert_true(F.col("__known").isNotNull(), F.lit("annotation of an unknown image")).isNull()).where(exprs.usable_box(F.col("damage_bbox"))).drop("__known")
     both = usable.join(images, usable["image_id"] == images["id"])
-    return both.select("image_id", "file_name", exprs.class_of(F.col("category_id")).alias("class_id"), *exprs.normalised_box(F.col("damage_bbox"), F.col("width"), F.col("height")))
+    return both.select("image_id", "file_name", exprs.class_of(F.col("category_id")).alias("class_id"), *exprs.normalised_box(F.col("damage_bbox"), F.col("width"), F.col("height")), "width", "height")
 
 
 def label_lines(rows: DataFrame) -> DataFrame:
@@ -73,6 +73,11 @@ def matched_labels(images: DataFrame, labels: DataFrame, key: str = "stem") -> D
     return images.join(have, key, "left").withColumn("has_label", F.col("__l").isNotNull()).drop("__l")
 
 
+def labelled_images(images: DataFrame, rows: DataFrame) -> DataFrame:
+    """Images (file_name and more) with the rows of the label file of the same stem; images without one are left out."""
+    return images.withColumn("stem", exprs.stem(F.col("file_name"))).join(rows, "stem")
+
+
 def class_histogram(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
 

@@ -22,41 +22,69 @@ BATCH = 4
 SPLIT_SEED, TRAIN, VAL = 42, 0.7, 0.2
 
 
-def ordered_fold(df: DataFrame, stream: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, object], tuple[object, object]], value: str, out: str, kind: T.DataType) -> DataFrame:
-    """df with a column `out`: step(state, row's value) -> (state, result), from start() for every stream, in order."""
+def _values(column) -> Iterator:
+    """Python values of an Arrow column; lists of numbers and byte strings as numpy arrays, without a copy where there are no nulls."""
+    import numpy as np
+    import pyarrow as pa
+
+    if pa.types.is_list(column.type):
+        if column.null_count:
+            return (None if x is None else np.asarray(x) for x in column.to_pylist())
+        flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+        return (flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+    if pa.types.is_binary(column.type):
+        return (None if x is None else np.frombuffer(x, np.uint8) for x in column.to_pylist())
+    return iter(column.to_pylist())
+
+
+def ordered_fold(df: DataFrame, stream: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, object], tuple[object, object]], value: str | list[str], out: str, kind: T.DataType) -> DataFrame:
+    """df with a column `out`: step(state, row's value) -> (state, result), from start() for every stream, in order.
+
+    With a list of columns as `value`, step gets a tuple, and the columns that are only values (neither stream nor order) are left out.
+    """
     import pyarrow as pa
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     names = df.columns
-    at, keys = names.index(value), [names.index(c) for c in stream]
+    values = [value] if isinstance(value, str) else value
+    kept = [c for c in names if isinstance(value, str) or c not in values or c in (*stream, *order)]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, kind)])
+    at, keys, stay = [names.index(c) for c in values], [names.index(c) for c in stream], [names.index(c) for c in kept]
 
     def run(batches: Iterator) -> Iterator:
+        from pyspark.sql.pandas.types import to_arrow_type
+
         now: object = object()
         state: object = None
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in keys]
             streams = list(zip(*columns, strict=True)) if keys else [()] * batch.num_rows
             got = []
-            for s, v in zip(streams, batch.column(at).to_pylist(), strict=True):
+            rows = batch.column(at[0]).to_pylist() if isinstance(value, str) else zip(*(_values(batch.column(k)) for k in at), strict=True)
+            for s, v in zip(streams, rows, strict=True):
                 if s != now:
                     now, state = s, start()
                 state, r = step(state, v)
                 got.append(r)
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, to_arrow_type(kind))], [*names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), pa.array(got, to_arrow_type(kind))], [*kept, out])
 
     dealt = df.repartition(*[F.col(c) for c in stream]) if stream else df.coalesce(1)
     return dealt.sortWithinPartitions(*stream, *order).mapInArrow(run, schema)
 
 
+def is_near(kept: list[int], h: int, bits: int) -> bool:
+    return any(((h ^ k) & 0xFFFFFFFFFFFFFFFF).bit_count() <= bits for k in kept)
+
+
+def remembered(kept: list[int], h: int, window: int) -> list[int]:
+    """The last `window` accepted hashes."""
+    return [*kept, h][-window:] if window > 0 else []
+
+
 def dedup_window(df: DataFrame, stream: list[str], order: list[str], hash_col: str = "hash", window: int = DEDUP_WINDOW, bits: int = DEDUP_BITS, out: str = "is_duplicate") -> DataFrame:
     """A row is a duplicate if its hash is within `bits` of one of the last `window` accepted hashes; duplicates are not remembered."""
 
     def step(kept: list, h: int):
-        if any((h ^ k).bit_count() <= bits if (h ^ k) >= 0 else ((h ^ k) & 0xFFFFFFFFFFFFFFFF).bit_count() <= bits for k in kept):
-            return kept, True
-        return [*kept[-(window - 1) :], h] if window > 1 else [h][:window], False
+        return (kept, True) if is_near(kept, h, bits) else (remembered(kept, h, window), False)
 
     return ordered_fold(df, stream, order, list, step, hash_col, out, T.BooleanType())
 
@@ -77,19 +105,59 @@ def with_motion(df: DataFrame, stream: list[str], order: list[str], pixels: str,
     return out.withColumn("has_motion", F.col("__previous").isNull() | (F.col("motion_score") > least)).drop("__previous")
 
 
-def numbered_batches(df: DataFrame, stream: list[str], order: list[str | Column], size: int = BATCH) -> DataFrame:
-    """rn (from 1) and batch_id (from 0) by count."""
-    w = Window.partitionBy(*stream).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w).cast("bigint")).withColumn("batch_id", F.floor((F.col("rn") - 1) / size).cast("bigint"))
+def cut_points(df: DataFrame, key: str, pieces: int, each: int = 100) -> list:
+    """At most pieces - 1 values of key that cut df into about equal pieces, from a sample by hash of about pieces * each different values."""
+    share = min(1.0, pieces * each / max(df.count(), 1))
+    some = df.select(key).where(F.col(key).isNotNull())
+    if share < 1:
+        some = some.where(F.xxhash64(key) < F.lit(int(share * 2.0**64) - 2**63))
+    got = sorted(r[0] for r in some.distinct().collect())
+    return sorted({got[len(got) * k // pieces] for k in range(1, pieces)}) if got else []
+
+
+def piece_of(key: Column, cuts: list) -> Column:
+    """Number of the cuts that are not above key, by halving; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key >= F.lit(cuts[mid]), part(mid + 1, high)).otherwise(part(low, mid))
+
+    return part(0, len(cuts))
+
+
+def numbered(df: DataFrame, stream: list[str], order: list[str | Column], out: str = "rn", pieces: int = 1) -> DataFrame:
+    """df with `out`: the row's number in its stream, from 1. With more pieces, the first order column is cut into ranges that are numbered
+    in tasks of their own, plus the rows of the stream's ranges before; for few and long streams."""
+    if pieces <= 1 or not isinstance(order[0], str):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*stream).orderBy(*order)).cast("bigint"))
+    keyed = df.withColumn("__piece", piece_of(F.col(order[0]), cut_points(df, order[0], pieces)))
+    names = [f"__s{i}" for i in range(len(stream))]
+    counts = keyed.groupBy(*[F.col(c).alias(n) for c, n in zip(stream, names, strict=True)], F.col("__piece").alias("__p")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    same = F.col("__piece") == F.col("__p")
+    for c, n in zip(stream, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    number = F.row_number().over(Window.partitionBy(*stream, "__piece").orderBy(*order)) + F.col("__before")
+    return keyed.join(counts, same).withColumn(out, number.cast("bigint")).select(*df.columns, out)
+
+
+def numbered_batches(df: DataFrame, stream: list[str], order: list[str | Column], size: int = BATCH, pieces: int = 1) -> DataFrame:
+    """rn (from 1) and batch_id (from 0) by count; pieces: see numbered()."""
+    return numbered(df, stream, order, "rn", pieces).withColumn("batch_id", F.floor((F.col("rn") - 1) / size).cast("bigint"))
 
 
 def batch_status(size: int = BATCH) -> Column:
     return F.when(F.col("rn") % size == 0, "batch_ready").otherwise("waiting_for_batch")
 
 
-def batches(df: DataFrame, stream: list[str], order: list[str], members: dict[str, str], size: int = BATCH, keep_partial: bool = False) -> DataFrame:
+def batches(df: DataFrame, stream: list[str], order: list[str], members: dict[str, str], size: int = BATCH, keep_partial: bool = False, pieces: int = 1) -> DataFrame:
     """One row a batch with parallel arrays of its members in order (members: output name -> column); incomplete ones only if asked for."""
-    rows = numbered_batches(df, stream, order, size)
+    rows = numbered_batches(df, stream, order, size, pieces)
     got = rows.groupBy(*stream, "batch_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rn", *[F.col(c).alias(a) for a, c in members.items()]))).alias("__m"))
     got = got if keep_partial else got.where(F.col("n") == size)
     part = lambda a: F.transform("__m", lambda m: m[a]).alias(a)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skywright.sources.storage import exists, glob_count
+
 SCHEMA = "check_id string, name string, ok boolean, details string, gating boolean"
 
 
@@ -34,21 +36,6 @@ class Layout:
         return f"{self.root.rstrip('/')}/{getattr(self, field)}"
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def glob_count(spark: SparkSession, pattern: str) -> int:
-    fs, p = _fs(spark, pattern)
-    return len(fs.globStatus(p) or [])
-
-
 def report(spark: SparkSession, at: Layout) -> DataFrame:
     """All checks of a dataset's folders, through Hadoop's file systems."""
     here = lambda f: exists(spark, at.path(f))
@@ -93,3 +80,13 @@ def last_metric(metrics: DataFrame, column: str = "metrics/mAP50(B)", epoch: str
 
 def all_good(checks: DataFrame) -> DataFrame:
     return checks.where("gating").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("complete"), F.count_if(~F.col("ok")).alias("n_failed"))
+
+
+def printed(checks: DataFrame, width: int = 70) -> DataFrame:
+    """The report as text: line_no and line, with a rule above and below, one line a check in order, and the verdict."""
+    rule, mark = F.repeat(F.lit("="), F.lit(width)), lambda ok: F.when(ok, "\u2713").otherwise("\u2717")
+    number = F.regexp_extract("check_id", "[0-9]+", 0).cast("int")
+    body = F.concat(mark(F.col("ok")), F.lit(" "), F.col("name"), F.when(F.col("details") != "", F.concat(F.lit(" - "), F.col("details"))).otherwise(""))
+    one = lambda n, text: all_good(checks).select(F.lit(n).alias("line_no"), text.alias("line"))
+    verdict = F.concat(mark(F.col("complete")), F.when(F.col("complete"), " PIPELINE EXECUTION SUCCESSFUL").otherwise(" PIPELINE INCOMPLETE - Some stages failed or are missing"))
+    return one(0, rule).unionByName(checks.select(number.alias("line_no"), body.alias("line"))).unionByName(one(10_000, verdict)).unionByName(one(10_001, rule))

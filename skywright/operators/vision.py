@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skywright.functions import exprs
-from skywright.operators.ordered import ordered_fold
 from skywright.sources.schemas import DETECTION
 
 #: Overlap above which a weaker box of the same class goes, and boxes kept for an image.
@@ -51,20 +50,20 @@ def envelope(results: DataFrame) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, image: str, order: list[str], threshold: float = NMS_IOU) -> DataFrame:
-    """boxes with `kept`: greedy suppression in order within an image, among boxes of the same class. bbox: corners; class_id."""
-
-    def overlap(a, b) -> float:
-        w = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0)
-        h = max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
-        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-        return w * h / union if union > 0 else 0.0
-
-    def step(kept: dict, box: dict):
-        same = kept.setdefault(box["c"], [])
-        if any(overlap(k, box["b"]) > threshold for k in same):
-            return kept, False
-        same.append(box["b"])
-        return kept, True
-
-    typed = boxes.withColumn("__box", F.struct(F.col("class_id").alias("c"), F.col("bbox").alias("b")))
-    return ordered_fold(typed, [image], order, dict, step, "__box", "kept", T.BooleanType()).drop("__box")
+    """boxes with `kept`: greedy suppression in order within an image, among boxes of the same class. bbox: corners; class_id.
+
+    An image's boxes (what its detector gave) are one array, folded in order with the boxes kept so far.
+    """
+    entry = F.struct(*order, F.col("class_id").alias("__c"), F.col("bbox").alias("__b"), F.struct(*[c for c in boxes.columns if c != image]).alias("__row"))
+    lists = boxes.groupBy(image).agg(F.sort_array(F.collect_list(entry)).alias("__all"))
+    slim = F.transform("__all", lambda x: F.struct(x["__c"].alias("c"), x["__b"].alias("b")))
+    start = F.struct(F.slice(slim, 1, 0).alias("kept"), F.array().cast("array<boolean>").alias("marks"))
+
+    def step(state, x):
+        clear = ~F.exists(state["kept"], lambda k: (k["c"] == x["c"]) & (exprs.iou(k["b"], x["b"]) > threshold))
+        return F.struct(F.when(clear, F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"), F.concat(state["marks"], F.array(clear)).alias("marks"))
+
+    marks = F.aggregate(slim, start, step, lambda state: state["marks"])
+    pairs = F.arrays_zip(F.transform("__all", lambda x: x["__row"]).alias("row"), marks.alias("kept"))
+    out = lists.select(image, F.explode(pairs).alias("__p"))
+    return out.select(image, "__p.row.*", F.col("__p.kept").alias("kept")).select(*boxes.columns, "kept")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywright.functions import exprs
-from skywright.operators import frames, labels, ordered, verify, vision
+from skywright.operators import frames, labels, ordered, vision
 from skywright.sources import sinks
 
 QUERIES: dict = {}
@@ -87,8 +87,7 @@ def converted_count(spark, d):
 @query("yolo_to_pixels", _YOLO + """SELECT image_id, class_id, CAST(trunc(xc * width - w * width / 2) AS INTEGER) AS x1, CAST(trunc(yc * height - h * height / 2) AS INTEGER) AS y1,
   CAST(trunc(xc * width + w * width / 2) AS INTEGER) AS x2, CAST(trunc(yc * height + h * height / 2) AS INTEGER) AS y2 FROM y""")
 def yolo_to_pixels(spark, d):
-    y = _yolo(spark, d).join(_images(spark, d).select(F.col("id").alias("image_id"), "width", "height"), "image_id")
-    return y.select("image_id", "class_id", *exprs.pixel_corners(*map(F.col, ("xc", "yc", "w", "h", "width", "height"))))
+    return _yolo(spark, d).select("image_id", "class_id", *exprs.pixel_corners(*map(F.col, ("xc", "yc", "w", "h", "width", "height"))))
 
 
 @query("class_hist", _YOLO + "SELECT class_id, count(*) AS n FROM y GROUP BY class_id")
@@ -104,6 +103,19 @@ def coco_sizes(spark, d):
     return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])
 
 
+@query("lookup_last_wins", "SELECT event_id % 100 AS id, arg_max('f_' || event_id || '.jpg', event_id) AS file_name, CAST(arg_max(event_id % 640, event_id) AS INTEGER) AS width, CAST(arg_max(event_id % 480, event_id) AS INTEGER) AS height FROM events GROUP BY ALL")
+def lookup_last_wins(spark, d):
+    e = F.col("event_id")
+    rows = _t(spark, d, "events").select(e.alias("pos"), (e % 100).alias("id"), F.concat(F.lit("f_"), e.cast("string"), F.lit(".jpg")).alias("file_name"), (e % 640).cast("int").alias("width"), (e % 480).cast("int").alias("height"))
+    return labels.image_lookup(rows, "pos")
+
+
+@query("image_label_join", _YOLO + "SELECT 'img_' || image_id || '.jpg' AS file_name, class_id, CAST(floor(xc * 1e6) AS BIGINT) AS xc_u FROM y")
+def image_label_join(spark, d):
+    rows = _yolo(spark, d).select(exprs.stem(F.col("file_name")).alias("stem"), "class_id", "xc")
+    return labels.labelled_images(_images(spark, d).select("file_name"), rows).select("file_name", "class_id", F.floor(F.col("xc") * F.lit(1e6)).cast("bigint").alias("xc_u"))
+
+
 # Messages.
 
 _EXT = "CASE event_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPG' WHEN 2 THEN '.png' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.TIF' ELSE '.tiff' END"
@@ -192,13 +204,8 @@ _extension_query("ext_filter_strict", exprs.is_frame_strict, "name LIKE '%.jpg'"
 
 @query("sorted_frames", f"{_FILES} SELECT name, row_number() OVER (ORDER BY name) AS place FROM f WHERE name LIKE '%.jpg'")
 def sorted_frames(spark, d):
-    from pyspark.sql import Window
-
-    # Ranks in groups of the name's first digit after the prefix, plus the rows of the groups before.
-    f = _files(spark, d).where(exprs.is_frame_strict(F.col("name"))).withColumn("g", F.substring("name", 1, 6))
-    n = f.groupBy("g").agg(F.count("*").alias("n"))
-    before = n.select("g", F.coalesce(F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return f.join(before, "g").select("name", (F.row_number().over(Window.partitionBy("g").orderBy("name")) + F.col("before")).cast("bigint").alias("place"))
+    f = _files(spark, d).where(exprs.is_frame_strict(F.col("name"))).select("name")
+    return ordered.numbered(f, [], ["name"], "place", pieces=32)
 
 
 @query("prepost_label", f"{_FILES} SELECT event_id, {_TYPE} AS image_type FROM f")
@@ -281,12 +288,12 @@ _RN = "(SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type
 
 @query("batch4", f"SELECT event_type, CAST((rn - 1) // 4 AS BIGINT) AS batch_id, list(event_id ORDER BY rn) AS members FROM {_RN} GROUP BY ALL HAVING count(*) = 4")
 def batch4(spark, d):
-    return ordered.batches(_t(spark, d, "events"), ["event_type"], ["event_id"], {"members": "event_id"}).select("event_type", "batch_id", "members")
+    return ordered.batches(_t(spark, d, "events"), ["event_type"], ["event_id"], {"members": "event_id"}, pieces=16).select("event_type", "batch_id", "members")
 
 
 @query("batch4_status", f"SELECT event_id, CAST((rn - 1) // 4 AS BIGINT) AS batch_id, CASE WHEN rn % 4 = 0 THEN 'batch_ready' ELSE 'waiting_for_batch' END AS status FROM {_RN}")
 def batch4_status(spark, d):
-    return ordered.numbered_batches(_t(spark, d, "events"), ["event_type"], ["event_id"]).select("event_id", "batch_id", ordered.batch_status().alias("status"))
+    return ordered.numbered_batches(_t(spark, d, "events"), ["event_type"], ["event_id"], pieces=16).select("event_id", "batch_id", ordered.batch_status().alias("status"))
 
 
 @query("batch4_flush", "SELECT conv_id, CAST((rn - 1) // 4 AS BIGINT) AS batch_id, count(*) AS n, list(turn ORDER BY rn) AS turns, list(role ORDER BY rn) AS roles FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) GROUP BY ALL")
@@ -375,6 +382,18 @@ def pipeline_strict(spark, d):
     return _pipeline(spark, d, "strict").drop("batch_id")
 
 
+@query("envelope_completed", _INTENDED + "SELECT label, vec_id, 'completed' AS status, batch_id FROM z WHERE status = 'batch_ready'")
+def envelope_completed(spark, d):
+    return vision.envelope(_pipeline(spark, d, "intended")).where(F.col("status") == "completed").select("label", "vec_id", "status", "batch_id")
+
+
+@query("frame_metadata", f"{_FILES} SELECT path AS image_path, 'drone' AS source, [CAST(event_id % 700 AS INTEGER), CAST(event_id % 900 AS INTEGER), 3] AS original_size, [640, 640, 3] AS processed_size, 19 AS stamp_chars FROM f")
+def frame_metadata(spark, d):
+    e = F.col("event_id")
+    m = _files(spark, d).select(frames.metadata(F.col("path"), (e % 700).cast("int"), (e % 900).cast("int"), F.lit(3)).alias("m")).select("m.*")
+    return m.withColumn("stamp_chars", F.length("processed_at")).drop("processed_at")  # the time of processing is left out of what is compared
+
+
 @query("reason_report", _INTENDED + "SELECT coalesce(reason, status) AS outcome, count(*) AS n FROM z GROUP BY 1")
 def reason_report(spark, d):
     return frames.reason_report(_pipeline(spark, d, "intended"))
@@ -438,26 +457,6 @@ def nms_iou(spark, d):
 
 # Reports.
 
-_CHECKS = {"V1": "orders", "V2": "lineitem", "V3": "documents", "V4": "pages", "V5": "labels", "V6": "nation"}
-
-
-@query("verify_report", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS check_id, '{t}' AS name, (SELECT count(*) FROM {t}) > 30 AS ok, (SELECT count(*) FROM {t}) || ' rows' AS details, {str(c != 'V6').upper()} AS gating" for c, t in _CHECKS.items()) + ")")
-def verify_report(spark, d):
-    return _checks(spark, d)
-
-
-def _checks(spark, d) -> DataFrame:
-    out = None
-    for c, t in _CHECKS.items():
-        row = _t(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(c).alias("check_id"), F.lit(t).alias("name"), (F.col("n") > 30).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("details"), F.lit(c != "V6").alias("gating"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("verify_all", "SELECT " + " AND ".join(f"(SELECT count(*) FROM {t}) > 30" for c, t in _CHECKS.items() if c != "V6") + " AS complete, CAST(" + " + ".join(f"CASE WHEN (SELECT count(*) FROM {t}) > 30 THEN 0 ELSE 1 END" for c, t in _CHECKS.items() if c != "V6") + " AS BIGINT) AS n_failed")
-def verify_all(spark, d):
-    return verify.all_good(_checks(spark, d))
-
 
 @query("metric_last", "SELECT count(*) AS n, arg_max(value, event_id) AS last_value FROM events")
 def metric_last(spark, d):
@@ -505,3 +504,19 @@ def stream_messages(spark, d):
     path = F.concat(F.expr(_DIR), F.lit("/pre_"), F.col("event_id").cast("string"), F.expr(_EXT))
     s = _event_stream(spark, d).select(path.alias("path")).where(exprs.is_drone_image(exprs.base_name(F.col("path"))))
     return live.run_to_end(live.message_stream(s, "drone").drop("timestamp"))
+
+
+_BYTES = "[greatest(0, least(255, v + 128)) FOR v IN " + _Q + "]"
+
+
+@query("stream_motion", f"""WITH q AS (SELECT label, vec_id, {_BYTES} AS q, lag({_BYTES}) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
+SELECT label, vec_id, CAST(CASE WHEN p IS NULL THEN 100 ELSE {_CHANGED} END AS BIGINT) AS motion_score, p IS NULL OR {_CHANGED} > 34 AS has_motion FROM q""")
+def stream_motion(spark, d):
+    from skywright.streaming import frames as live
+
+    byte = lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 255).cast("int") + 128))), 2, "0")
+    e = live.replay(spark, _t(spark, d, "embeddings").schema, f"{d}/embeddings.parque[t]").select("label", "vec_id", F.unhex(F.array_join(F.transform("embedding", byte), "")).alias("gray320"))
+    return live.run_to_end(live.motion(e, "label", "vec_id", least=34))
+
+
+from skywright.plans import folders  # noqa: E402, F401  (registers its queries)

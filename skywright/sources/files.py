@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywright.functions import exprs
-from skywright.operators.verify import exists
 from skywright.sources import schemas
+from skywright.sources.storage import exists
 
 
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:

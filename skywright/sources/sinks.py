@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,19 +29,30 @@ def write_topics(envelopes: DataFrame, folder: str) -> None:
     envelopes.write.mode("overwrite").partitionBy("topic").text(folder)
 
 
-def write_label_files(files: DataFrame, folder: str) -> None:
-    """One `stem.txt` for each row (stem, text), through Hadoop's file systems of the executors; existing files are replaced."""
+def write_files(files: DataFrame, folder: str) -> None:
+    """One file for each row (name, data: binary) below a folder, written by the executors; existing files are replaced."""
 
     def put(rows) -> None:
-        import pyarrow.fs as fs
-
-        where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        where.create_dir(base, recursive=True)
+        where, base = _place(folder)
         for r in rows:
-            with where.open_output_stream(f"{base}/{r['stem']}.txt") as f:
-                f.write(r["text"].encode("utf-8"))
+            path = f"{base}/{r['name']}"
+            where.create_dir(path.rpartition("/")[0], recursive=True)
+            with where.open_output_stream(path) as f:
+                f.write(bytes(r["data"]))
+
+    files.select("name", "data").foreachPartition(put)
+
 
-    files.select("stem", "text").foreachPartition(put)
+def write_label_files(files: DataFrame, folder: str) -> None:
+    """One `stem.txt` for each row (stem, text)."""
+    write_files(files.select(F.concat("stem", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("data")), folder)
+
+
+def _place(path: str):
+    """The file system of a path on an executor (local, HDFS, object stores), and the path there."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(path if re.match("[a-z0-9]+:/", path) else f"file://{path}")
 
 
 def write_splits(rows: DataFrame, folder: str) -> None:
@@ -48,22 +61,36 @@ def write_splits(rows: DataFrame, folder: str) -> None:
 
 
 def copy_splits(rows: DataFrame, folder: str) -> DataFrame:
-    """Copies each row's image, and its label file where it has one, to <folder>/<split>/images|labels. Returns what was copied."""
+    """Copies each row's image, and its label file where it has one, to <folder>/<split>/images|labels. Returns what was copied.
+
+    A missing image is an error, a missing label file is not. Two images of one split with the same base name would overwrite each
+    other and are an error too.
+    """
+    name = exprs.base_name(F.col("image_path"))
+    twice = rows.groupBy("split", name.alias("name")).count().where("count > 1").select("name").head(1)
+    if twice:
+        raise ValueError(f"two images of a split are called {twice[0]['name']}")
 
     def run(batches):
-        import os
         import shutil
 
         import pyarrow as pa
+        import pyarrow.fs as fs
 
+        to, base = _place(folder)
         for b in batches:
             done = []
             for path, label, split in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for source, part in ((path, "images"), (label, "labels")):
-                    if source and os.path.exists(source):
-                        os.makedirs(f"{folder}/{split}/{part}", exist_ok=True)
-                        shutil.copy(source, f"{folder}/{split}/{part}/")
-                        done.append((split, part, source))
+                    if source is None:
+                        continue
+                    place, at = _place(source)
+                    if part == "labels" and place.get_file_info(at).type == fs.FileType.NotFound:
+                        continue
+                    to.create_dir(f"{base}/{split}/{part}", recursive=True)
+                    with place.open_input_stream(at) as a, to.open_output_stream(f"{base}/{split}/{part}/{at.rpartition('/')[2]}") as z:
+                        shutil.copyfileobj(a, z, 1 << 20)
+                    done.append((split, part, source))
             yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(3)], ["split", "part", "source"])
 
     return rows.select("image_path", "label_path", "split").mapInArrow(run, "split string, part string, source string")

@@ -7,8 +7,6 @@ of these operators are in skywright.operators.ordered.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skywright.functions import exprs, images
 from skywright.operators import ordered
+from skywright.sources.storage import run_dir
 
 #: Seconds between messages of each source.
 PAUSE = {"drone": 0.5, "satellite": 5.0, "gis": 2.0, "social": 1.0}
@@ -46,8 +45,7 @@ def message_stream(paths: DataFrame, kind: str) -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a bounded stream to its end, into Parquet in the shared folder, and returns what it wrote."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skywright-checkpoints")
-    base = f"{shared.rstrip('/')}/skywright/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 

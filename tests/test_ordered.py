@@ -97,3 +97,77 @@ def test_strict_mode_never_emits_a_batch(spark, sf_dir):
 def test_unknown_mode_is_an_error(spark):
     with pytest.raises(ValueError):
         frames.run_pipeline(spark.range(1), ["id"], ["id"], "id", mode="other")
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 7, 64])
+def test_numbers_in_pieces(spark, pieces):
+    rng = random.Random(pieces)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "s string, k int, i int")
+    got = {(r["s"], r["i"]): r["rn"] for r in ordered.numbered(df, ["s"], ["k", "i"], pieces=pieces).collect()}
+    want = {}
+    for s in ("a", "b", None):
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {(s, r[2]): n for n, r in enumerate(mine, 1)}
+    assert got == want
+    assert ordered.numbered(df.limit(0), ["s"], ["k", "i"], pieces=pieces).count() == 0
+    names = spark.createDataFrame([(f"pre_{i}.jpg",) for i in range(300)], "name string")
+    assert [r["name"] for r in ordered.numbered(names, [], ["name"], "n", pieces).orderBy("n").collect()] == sorted(f"pre_{i}.jpg" for i in range(300))
+
+
+def model_suppress(boxes, threshold):
+    kept, out = [], []
+    for c, b in boxes:
+        def over(a):
+            w, h = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0), max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+            union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
+            return w * h / union if union > 0 else 0.0
+
+        out.append(not any(k == c and over(a) > threshold for k, a in kept))
+        if out[-1]:
+            kept.append((c, b))
+    return out
+
+
+def test_suppression_is_greedy(spark):
+    from skywright.operators import vision
+
+    rng, rows = random.Random(4), []
+    for image in range(30):
+        for i in range(rng.randrange(40)):
+            x, y = rng.randrange(20), rng.randrange(20)
+            rows.append((image, i, rng.randrange(2), [float(x), float(y), x + float(rng.randrange(12)), y + 9.0]))
+    df = spark.createDataFrame(rows, "image int, i int, class_id int, bbox array<double>")
+    got = {(r["image"], r["i"]): r["kept"] for r in vision.suppress(df, "image", ["i"], 0.4).collect()}
+    for image in range(30):
+        mine = [r for r in rows if r[0] == image]
+        assert [got[image, r[1]] for r in mine] == model_suppress([(r[2], r[3]) for r in mine], 0.4)
+    assert len(got) == len(rows) and 0 < sum(got.values()) < len(got)
+
+
+def test_pipeline_on_bytes_equals_a_model(spark):
+    rng, rows = random.Random(9), []
+    for i in range(120):
+        rows.append(("s", i, rng.choice([0, 0b11111111, 1 << 40]) + (i << 20), bytearray(rng.choice([0, 200]) for _ in range(16)), rng.random() > 0.2, rng.random() * 20))
+    df = spark.createDataFrame(rows, "s string, i int, h bigint, p binary, ok boolean, v double")
+    got = {r["i"]: r for r in frames.run_pipeline(df, ["s"], ["i"], "i", hash_col="h", valid=F.col("ok"), pixels="p", variance=F.col("v"), window=3, bits=2, least_motion=7, sharpness=5, batch=4).collect()}
+    kept, previous, n = deque(maxlen=3), None, 0
+    for _, i, h, p, ok, v in rows:
+        score = None if previous is None else sum(abs(a - b) > 25 for a, b in zip(previous, p, strict=True))
+        if any((h ^ k).bit_count() <= 2 for k in kept):
+            want = ("skipped", "duplicate", None, None)
+        else:
+            kept.append(h)
+            if not ok:
+                want = ("skipped", "invalid_image", None, None)
+            else:
+                previous = p
+                if score is not None and score <= 7:
+                    want = ("skipped", "no_motion", score, None)
+                elif v < 5:
+                    want = ("skipped", "blurry", None, None)
+                else:
+                    n += 1
+                    want = ("waiting_for_batch" if n % 4 else "batch_ready", None, None, (n - 1) // 4)
+        assert (got[i]["status"], got[i]["reason"], got[i]["motion_score"], got[i]["batch_id"]) == want, i
+    assert n > 8

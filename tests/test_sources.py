@@ -79,6 +79,11 @@ def test_copy_splits(spark, tmp_path):
     rows = spark.createDataFrame([(f"{tmp_path}/i/a.jpg", f"{tmp_path}/l/a.txt", "train"), (f"{tmp_path}/i/b.jpg", f"{tmp_path}/l/b.txt", "val")], "image_path string, label_path string, split string")
     assert sinks.copy_splits(rows, f"{tmp_path}/out").count() == 3
     assert os.path.exists(f"{tmp_path}/out/val/images/b.jpg") and not os.path.exists(f"{tmp_path}/out/val/labels/b.txt")
+    gone = spark.createDataFrame([(f"{tmp_path}/i/none.jpg", None, "val")], rows.schema)
+    with pytest.raises(Exception, match="none.jpg"):
+        sinks.copy_splits(gone, f"{tmp_path}/out").collect()
+    with pytest.raises(ValueError, match="a.jpg"):
+        sinks.copy_splits(rows.unionByName(spark.createDataFrame([(f"{tmp_path}/j/a.jpg", None, "train")], rows.schema)), f"{tmp_path}/out")
 
 
 def test_report(spark, tmp_path):
@@ -121,3 +126,22 @@ def test_iou_expression(spark):
 def test_stems(spark):
     df = spark.createDataFrame([(x,) for x in ("a.jpg", "a.b.jpg", "plain", ".hidden", "..x.y")], "n string")
     assert [r[0] for r in df.select(exprs.stem(F.col("n"))).collect()] == [os.path.splitext(x)[0] for x in ("a.jpg", "a.b.jpg", "plain", ".hidden", "..x.y")]
+
+
+def test_printed_report_and_logging(spark, tmp_path, caplog):
+    from skywright.functions import log
+
+    lines = [r["line"] for r in verify.printed(verify.report(spark, verify.Layout(str(tmp_path)))).orderBy("line_no").collect()]
+    assert len(lines) == 16 and lines[0] == lines[-1] == "=" * 70 and lines[1] == "\u2717 COCO annotations merged" and lines[-2].startswith("\u2717 PIPELINE INCOMPLETE")
+    with caplog.at_level("INFO", logger="skywright"):
+        log.log_info("a")
+        log.log_warning("b")
+        log.log_error("c")
+    assert [(r.levelname, r.message) for r in caplog.records] == [("INFO", "a"), ("WARNING", "b"), ("ERROR", "c")]
+
+
+def test_kafka_sink_takes_the_envelope(spark):
+    rows = sinks.to_topic(spark.createDataFrame([("1", 2.0)], "id string, timestamp double"), "social")
+    assert rows.columns == ["topic", "value"] and rows.first()["value"] == '{"id":"1","timestamp":2.0}'
+    with pytest.raises(Exception, match="(?i)kafka"):  # the connector is not on the class path here
+        sinks.write_kafka(rows)

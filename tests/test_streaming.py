@@ -41,3 +41,39 @@ def test_event_time_extensions(spark, tmp_path):
     assert sum(r["n"] for r in live.run_to_end(day).collect()) == 54  # the last hour stays open
     assert live.run_to_end(live.distinct_messages(s, "ts", ["s"], "1 day")).count() == 1
     assert live.session_counts(s, "ts", "s").isStreaming
+
+
+def test_an_unfinished_batch_comes_out_after_its_time(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame([("a", i) for i in range(6)] + [("b", 0)], "s string, i int")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live_batches = live.batches(live.replay(spark, df.schema, str(tmp_path / "in")), "s", "i", "i", keep_partial_ms=500)
+    query = live_batches.writeStream.format("memory").queryName("flushed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="300 milliseconds").start()
+    try:
+        end, got = time.time() + 60, []
+        while time.time() < end and len(got) < 3:
+            time.sleep(0.5)
+            got = spark.table("flushed").collect()
+    finally:
+        query.stop()
+    assert sorted((r["s"], r["batch_id"], r["members"]) for r in got) == [("a", 0, [0, 1, 2, 3]), ("a", 1, [4, 5]), ("b", 0, [0])]
+
+
+def test_pace_of_each_source(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame([("1", "x", "fire")], "id string, text string, hazard string").coalesce(1)
+    for _ in range(5):
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+    messages = live.message_stream(live.replay(spark, df.schema, str(tmp_path / "in")), "social")
+    query = live.paced(messages.writeStream.format("memory").queryName("paced").option("checkpointLocation", str(tmp_path / "state")), "social").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and spark.table("paced").count() < 5:
+            time.sleep(0.2)
+        starts = sorted(r[0] for r in spark.table("paced").select("timestamp").distinct().collect())
+        assert len(starts) == 5 and starts[-1] - starts[1] >= 2.7  # one message a trigger, a second apart; the first trigger may be late
+    finally:
+        query.stop()
+    assert live.PAUSE == {"drone": 0.5, "satellite": 5.0, "gis": 2.0, "social": 1.0}
