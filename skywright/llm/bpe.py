@@ -6,7 +6,8 @@ word with a segmented minimum, and merges it. A word that was seen before comes
 
 Defined cases: a null text counts as empty; an empty text has no tokens and decodes to the empty string; the literal special
 strings in a text become their own ids, as the tokenizer's file says; code points younger than Python's Unicode tables count as
-unassigned; repeated rows give repeated results; columns other than id and text are ignored.
+unassigned; repeated rows give repeated results; very long texts are encoded whole, one at a time; an empty table gives no rows; columns
+other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

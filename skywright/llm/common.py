@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skywright.sources.storage import file_system, run_dir
+
 #: The character classes of the two word definitions used by these operators.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 SEPARATOR_CLASS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
@@ -36,18 +36,10 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "skywright-checkpoints")
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skywright/{tag}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_skywright_path"] = path
@@ -57,9 +49,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Deletes tables of materialize() that nothing lazy reads any more, so that a long job's intermediate tables do not add up."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_skywright_path"])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = file_system(df.sparkSession, df.__dict__["_skywright_path"])
+        fs.delete(path, True)
+
+
+def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The `rows` distinct rows of df whose key hashes lowest (all, if there are no more); ties go by all columns.
+
+    Rows are counted first, and a threshold on the hash lets through about 1.2 times as many as asked for (and 1,000 more). What
+    passes is made distinct with partial aggregation, so neither a large table nor a key with very many rows reaches one task whole.
+    """
+    share = min(1.0, (1.2 * rows + 1000) / max(df.count(), 1))
+    while True:
+        low = df if share >= 1 else df.where(F.xxhash64(key) < F.lit(int(share * 2.0**64) - 2**63))
+        low = materialize(low.distinct(), "sample")
+        if share >= 1 or low.count() >= rows:
+            return low.orderBy(F.xxhash64(key), *[F.col(f"`{c}`") for c in df.columns]).limit(rows)
+        share = min(1.0, 2 * share)
+
+
+def fresh(name: str, *taken) -> str:
+    """A column name like `name` that is in none of the lists `taken`; Spark does not tell names apart by case."""
+    used = {c.lower() for names in taken for c in names}
+    found = f"__{name}"
+    while found.lower() in used:
+        found += "_"
+    return found
 
 
 def let(value: Column, body) -> Column:
@@ -96,7 +111,8 @@ MOST_IDS = 200_000
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs less the rows whose id is in ids (one column); rows with a null id stay."""
-    ids = materialize(ids.toDF("__gone").where(F.col("__gone").isNotNull()).distinct(), "gone")
+    gone = fresh("gone", docs.columns)
+    ids = materialize(ids.toDF(gone).where(F.col(gone).isNotNull()).distinct(), "gone")
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col] == ids["__gone"], "left_anti")
+    return docs.join(ids, docs[id_col] == ids[gone], "left_anti")

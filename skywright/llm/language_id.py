@@ -11,7 +11,8 @@ stage without shuffle.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows with a null language are not learned from; with one
 language only, every text with a letter gets it; without any, every text is `und`; equal totals go to the first language in order;
-repeated rows are labelled alike; other columns are ignored.
+rows that repeat id, language and text count once in training and are labelled alike; very long texts are labelled whole, one at a time; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare
+from .common import chunks, prepare, sample_by_hash
 
 BUCKETS = 1 << 17
 UNKNOWN = "und"
@@ -275,11 +276,11 @@ class Labeller:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, sample_chars: int = 4_000_000, **how) -> Model:
     """At most sample_rows rows with a language, those whose ids hash lowest, until sample_chars are reached."""
-    usable = docs.select(F.xxhash64(id_col).alias("o"), F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).where(F.col("__lang").isNotNull() & F.col("__id").isNotNull())
-    sample = usable.orderBy("o", "__id", "__lang").limit(sample_rows).select("__id", "o").distinct()
+    usable = docs.select(F.col(id_col).alias("__id")).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    sample = sample_by_hash(usable, "__id", sample_rows).select("__id", F.xxhash64("__id").alias("o"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__t")).where(F.col("__lang").isNotNull() & F.col("__t").isNotNull())
     got, size = [], 0
-    for r in rows.join(F.broadcast(sample), "__id").select("o", "__id", "__lang", "__t").toLocalIterator():
+    for r in rows.join(F.broadcast(sample), "__id").select("o", "__id", "__lang", "__t").distinct().toLocalIterator():
         got.append(tuple(r))
         size += len(got[-1][3])
         while size > sample_chars and len(got) > 1:

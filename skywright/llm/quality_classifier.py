@@ -7,8 +7,13 @@ into two numbers a bucket (its logit difference and a count of 1), so scoring a
 Training takes a bounded sample of labelled texts to the driver (`sample_rows` and `sample_chars`, documented parameters): the rows whose
 ids hash lowest. Scoring reads whole texts in a narrow Arrow stage without shuffle.
 
+The score is the softmax probability of label 1 with its logit shrunk towards the labels' share: by count / (count + `TRUST`) for a text of
+`count` features, since an average over few vectors says little. `trust=0` gives the plain probability.
+
 Defined cases: a null or empty text has no features and gets the score of the label shares; labels other than 0 and 1 are not learned
-from; without labels of both kinds the score is that share for every text; repeated rows are scored alike; other columns are ignored.
+from; without labels of both kinds the score is that share for every text; rows that repeat id, label and text count once in training and are
+scored alike; an id with both labels is learned with both; very long texts are scored whole, one at a time; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare
+from .common import chunks, prepare, sample_by_hash
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4)
@@ -86,11 +91,12 @@ class Model:
     logit: np.ndarray  # of each bucket: what it adds to the difference of both labels' logits
     bias: float
     share: float
+    trust: float = TRUST
 
     def probability(self, total: float, count: int) -> float:
         if not count:
             return self.share
-        trust = count / (count + TRUST)
+        trust = count / (count + self.trust)
         z = trust * (total / count + self.bias) + (1 - trust) * np.log(self.share / (1 - self.share))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -185,8 +191,8 @@ _SCORERS: dict[str, Scorer] = {}
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 4000, sample_chars: int = 24_000_000, **how) -> Model:
     """labels: id and label of the rows to learn from; at most sample_rows of them, and no further text once sample_chars are reached."""
     usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1))
-    sample = usable.orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).join(F.broadcast(sample), "__id").select(F.xxhash64("__id").alias("o"), "__id", "__label", "__t")
+    sample = sample_by_hash(usable, "__id", sample_rows)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).join(F.broadcast(sample), "__id").select(F.xxhash64("__id").alias("o"), "__id", "__label", "__t").distinct()
     got, size = [], 0
     for r in rows.toLocalIterator():  # a partition of the sample at a time
         got.append((r[0], r[1], r[2], r[3] or ""))

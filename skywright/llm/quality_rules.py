@@ -8,8 +8,9 @@ stage without shuffle.
 
 Defined cases: a null or blank text has no words, so all its statistics are 0 and it fails the base rules; labels other than 0 and
 1, null or absent, are not learned from; without labels of both kinds the learned list is empty and only the base rules judge;
-a tie between two conditions goes to the one listed first; repeated rows are judged alike; other columns are ignored. Windows of
-eight words are compared by a 64-bit hash within one text (under 1e-10 of texts of 40,000 words could be counted wrongly).
+a tie between two conditions goes to the one listed first; rows that repeat id and text count once in learning and are judged alike; an empty
+table gives no rows; other columns are ignored, or kept as they are, whatever their names (see judge()). Very long texts are read whole; windows
+of eight words are compared by a 64-bit hash within one text (under 1e-10 of texts of 40,000 words could be counted wrongly).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, UPPER, let, once
+from .common import SPACE_CLASS, SPACES, UPPER, fresh, let, once, sample_by_hash
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -62,8 +63,8 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
 
 
-def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default) and one column `stats`, a struct of counts and of the features."""
+def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, as_: str = "__stats") -> DataFrame:
+    """The kept columns (all by default) and one column `as_`, a struct of counts and of the features."""
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
@@ -90,7 +91,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
             part("n_words", "n_lines").alias("words_per_line"),
         )
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], once(let(raw, features)).alias("__stats"))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], once(let(raw, features)).alias(as_))
 
 
 def base_failed(stats: Column) -> Column:
@@ -201,11 +202,11 @@ def cover(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.95, min_cover
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **how) -> DecisionList:
     """Learns from at most sample_rows labelled rows, those whose ids hash lowest; their ids are broadcast, so the bound holds there too."""
     usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1))
-    sample = usable.orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample_rows)
+    sample = sample_by_hash(usable, "__id", sample_rows)
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
     stats = statistics(chosen, "__text", ["__id", "__label"])
     s = F.col("__stats")
-    rows = stats.select(F.xxhash64("__id").alias("order"), "__label", base_failed(s).alias("failed"), *[s[f].alias(f) for f in FEATURES]).collect()
+    rows = stats.select(F.xxhash64("__id").alias("order"), "__label", base_failed(s).alias("failed"), *[s[f].alias(f) for f in FEATURES]).distinct().collect()
     rows = sorted(r for r in rows if not r[2])
     x = np.array([r[3:] for r in rows], float).reshape(-1, len(FEATURES))
     bad = np.array([r[1] == 0 for r in rows], bool)
@@ -213,10 +214,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def judge(docs: DataFrame, rules: DecisionList, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, with n_words ... n_repeat_words, base_failed, rule (0: none) and kept."""
-    keep = docs.columns if keep is None else keep
-    s = F.col("__stats")
-    return statistics(docs, text_col, keep).select(
-        *[F.col(f"`{c}`") for c in keep], *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        base_failed(s).alias("base_failed"), rules.verdict(s).alias("rule"),
+    """The kept columns, with n_words ... n_repeat_words, base_failed, rule (0: none) and kept. These win over kept columns of the same names."""
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (*counts, "base_failed", "rule", "kept")]
+    stats = fresh("stats", docs.columns)
+    s = F.col(stats)
+    return statistics(docs, text_col, keep, stats).select(
+        *[F.col(f"`{c}`") for c in keep], *[s[c].alias(c) for c in counts], base_failed(s).alias("base_failed"), rules.verdict(s).alias("rule"),
     ).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
+    """The rows that neither the base rules nor the learned ones reject, with their columns as they are."""
+    stats = fresh("stats", docs.columns)
+    s = F.col(stats)
+    return statistics(docs, text_col, None, stats).where(~base_failed(s) & (rules.verdict(s) == 0)).drop(stats)
