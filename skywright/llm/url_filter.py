@@ -1,12 +1,14 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the URLs that no rule fits.
 
 Features are DataFrame expressions over the URL alone: length, depth, digit ratio, character entropy, parameter counts and a
-smoothed statistic of the host's suffix. Boosting runs on the driver over a bounded sample of labelled URLs (`sample_rows`, a
-documented parameter); the trees become nested conditional expressions, so judging is a narrow native stage without shuffle.
+smoothed statistic of the host's suffix. They are trained from labelled URLs: a table of the caller's, or else the URLs that the rules
+settle, labelled by their verdicts. Boosting runs on the driver over a bounded sample (`sample_rows`, a documented parameter); the trees become
+nested conditional expressions, so judging is a narrow native stage without shuffle.
 
 Defined cases: a null URL, or one without "://", has an empty host and path, fits no rule and is judged by the trees on its length
-features; ties between splits go to the first feature; labels of one kind only give a constant score; without labels every score
-is `prior`; repeated URLs are judged alike; other columns are ignored.
+features; very long URLs are read whole; ties between splits go to the first feature, a score at the threshold is allowed; labels of one kind
+only give a constant score; without labels every score is 0.5 and allowed; URLs that repeat with the same label count once; repeated URLs are
+judged alike; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +19,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, once
+from .common import ascii_lower, let, once, sample_by_hash
 
 #: Fixed values: (verdict, rule); a rule is a host and the start of a path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
-#: Words that, alone between dots and hyphens of a host, label a URL as blocked when no labelled URLs are given.
-SEED_WORDS = ["adult", "ads", "bets", "casino", "cheap", "free", "loans", "pills", "porn", "spam", "track", "viagra", "win"]
-
 FEATURES = ["url_chars", "host_chars", "host_labels", "path_chars", "depth", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "n_params", "n_hyphens", "n_escapes", "longest_label", "suffix_rate"]
 
 
@@ -160,8 +159,9 @@ def boost(x: np.ndarray, y: np.ndarray, n_trees: int = 20, depth: int = 3, rate:
 
 
 def learn(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", sample_rows: int = 20_000, least_suffix: int = 20, **how) -> Boosted:
-    """labelled: URLs with a boolean label. At most sample_rows of them, those whose URL hashes lowest, go to the driver."""
-    rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(url_col).alias("u"), F.col(label_col).cast("boolean").alias("b")).orderBy(F.xxhash64("u"), "u", "b").limit(sample_rows)
+    """labelled: URLs with a boolean label. At most sample_rows different ones, those whose URL hashes lowest, go to the driver."""
+    rows = labelled.select(F.col(url_col).cast("string").alias("u"), F.col(label_col).cast("boolean").alias("b")).where(F.col("u").isNotNull() & F.col("b").isNotNull())
+    rows = sample_by_hash(rows, "u", sample_rows)
     host, path = host_path(F.col("u"))
     rows = rows.select("u", "b", host.alias("host"), path.alias("path"))
     got = rows.select("b", suffix_of(F.col("host")).alias("s"), features(F.col("u"), F.col("host"), F.col("path"), {}, 0.0).alias("f")).select("b", "s", "f.*").collect()
@@ -178,21 +178,22 @@ def learn(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked",
     return Boosted(base, trees, rates, prior)
 
 
-def seed_labels(base: DataFrame) -> DataFrame:
-    """url and blocked of the URLs that no block rule settles: those rules go by language path, which says nothing of a URL's looks."""
-    words = F.split("host", "[.-]")
-    return base.where(~F.col("__verdict").eqNullSafe(F.lit("block"))).select(F.col("__url").alias("url"), F.arrays_overlap(words, F.array(*map(F.lit, SEED_WORDS))).alias("blocked"))
+def rule_labels(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: str = "url") -> DataFrame:
+    """url and blocked of the URLs that a rule settles."""
+    url = F.col(url_col).cast("string")
+    verdict = rule_of(F.col("host"), F.col("path"), rules)[1] if rules else F.lit(None).cast("string")
+    found = pages.select(url.alias("url"), *[c.alias(n) for c, n in zip(host_path(url), ("host", "path"), strict=True)]).select("url", verdict.alias("verdict"))
+    return found.where(F.col("verdict").isNotNull()).select("url", (F.col("verdict") == "block").alias("blocked"))
 
 
-def judge(pages: DataFrame, model: Boosted | None = None, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, **how) -> DataFrame:
-    """Per row: id, host, path, rule, score (of the trees), verdict. Without a model, one is trained from seed_labels()."""
+def judge(pages: DataFrame, model: Boosted | None = None, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, labelled: DataFrame | None = None, **how) -> DataFrame:
+    """Per row: id, host, path, rule, verdict, score (of the trees). Without a model, one is trained from `labelled` (url, blocked) or rule_labels()."""
+    if model is None:
+        model = learn(rule_labels(pages, rules, url_col) if labelled is None else labelled, **how)
     url = F.col(url_col).cast("string")
     host, path = host_path(url)
-    base = pages.select(F.col(id_col), url.alias("__url"), host.alias("host"), path.alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.select("*", rule.alias("rule"), verdict.alias("__verdict"))
-    if model is None:
-        model = learn(seed_labels(base), **how)
-    f = features(F.col("__url"), F.col("host"), F.col("path"), model.rates, model.prior)
-    scored = base.select("*", once(let(f, model.score)).alias("score"))
-    return scored.select(id_col, "host", "path", "rule", F.coalesce("__verdict", F.when(F.col("score") > threshold, "block").otherwise("allow")).alias("verdict"), "score")
+    base = pages.select(F.col(id_col).alias("id"), url.alias("url"), host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules) if rules else (F.lit(None).cast("string"),) * 2
+    f = features(F.col("url"), F.col("host"), F.col("path"), model.rates, model.prior)
+    scored = base.select("id", "host", "path", rule.alias("rule"), verdict.alias("settled"), once(let(f, model.score)).alias("score"))
+    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("settled", F.when(F.col("score") > threshold, "block").otherwise("allow")).alias("verdict"), "score")
