@@ -1,13 +1,17 @@
 """License scans: base phrases by position, and notices by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text. A template is found in a block if at least `threshold` of the template's distinct words occur there.
-Words of the templates are ordered by their frequency in the corpus, rarest first. A block and a template with the needed overlap
-must share a word within the first |words| - need + 1 words of both in that order (prefix filter); the blocks's prefixes are joined with
-the templates' prefixes on the word, pairs are dropped where the words left cannot reach the overlap (length and positional
-filter), and the others are verified exactly. The template side is broadcast: its size is fixed by the caller's list and checked.
+A block is any run of words, as long as the template and a quarter more, wherever lines are wrapped and comment signs stand. A template
+is found in a text if one of its blocks holds at least `threshold` of the template's words, counted as often as they occur there. One scan
+of the corpus finds which of all templates' words each text has; the words are then ordered by the number of texts with them, rarest first,
+and a block with the needed overlap must hold one of the template's first n - need + 1 words in that order (prefix filter). Texts are joined
+with the templates on these words; pairs go where the text is too short or has too few of the template's words (length filter). Only texts
+left are read again: a block can start at a word of the template only, and only if as many of its words as needed follow within the
+block's length (positional filter); then the overlap is counted. The template side of each join is small by the caller's list, which is checked.
 
 Defined cases: a null or empty text has no words, labels or blocks (score 0); the same words found twice count twice in n_base and
-once in labels; rows that share id and text share their result; other columns are ignored; without templates only the base stays.
+once in labels; of blocks with equal overlap the first is listed; of a label's templates the best one is; templates without words are left
+out; rows that share id and text share their result; very long texts are read whole; an empty table gives no rows; without templates only the
+base stays; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,26 +21,38 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CLASS, ascii_lower, let, once
+from .common import SEPARATOR_CLASS, ascii_lower, let, materialize, once
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices in use, by label. The longest common notices only; a caller can pass others.
+#: Common notices and license texts, by label.
 TEMPLATES = [
     ("mit", "Released under the MIT License"),
+    ("mit", "This project is licensed under the terms of the MIT license"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."),
     ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-]
+    *[(f"cc-{kind}", f"Licensed under CC {kind.upper()} 4.0") for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")],
+    *[(f"cc-{kind}", f"This work is licensed under a Creative Commons {name} 4.0 International License") for kind, name in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc", "Attribution-NonCommercial"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))],
+]
 THRESHOLD = 0.9
+#: Words of a block for each word of the template.
+STRETCH = 1.25
 #: The template side is broadcast; more words than this in all templates together are refused.
 MOST_TEMPLATE_WORDS = 200_000
 
@@ -75,54 +91,91 @@ def need_of(n: int, threshold: float) -> int:
     return max(1, -int(-(threshold * n - 1e-9) // 1))
 
 
+def span_of(n: int) -> int:
+    return int(STRETCH * n + 0.999999)
+
+
+def prepared(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, dict[str, int], int, int, int]]:
+    """(number, label, words with their counts, words in all, needed overlap, words of a block) of every template with words."""
+    out = []
+    for label, text in templates:
+        if words := plain_words(text):
+            count = {w: words.count(w) for w in sorted(set(words))}
+            out.append((len(out), label, count, len(words), need_of(len(words), threshold), span_of(len(words))))
+    return out
+
+
+MATCHES = "array<struct<label:string,containment:double,start:bigint,end:bigint>>"
+#: Texts with candidate templates are sent to all executors up to this many, counted first; more are joined with a shuffle.
+MOST_BROADCAST = 100_000
+
+
+def _best_block(words: Column, tw: Column, tc: Column, need: Column, span: Column) -> Column:
+    """(overlap, minus start) of the best block of a template (words tw, counts tc); words: all of the text."""
+    hits = F.filter(F.transform(words, lambda w, p: F.struct(p.alias("p"), F.array_position(tw, w).cast("int").alias("r"))), lambda x: x["r"] > 0)
+
+    def overlap(ranks: Column) -> Column:
+        count = lambda r: F.least(F.size(F.filter(ranks, lambda y: y == r)), F.element_at(tc, r))
+        return F.aggregate(F.array_distinct(ranks), F.lit(0), lambda a, r: a + count(r))
+
+    def of_hits(m: Column) -> Column:
+        def start(x: Column, k: Column) -> Column:
+            block = F.transform(F.filter(F.slice(m, k + 1, span), lambda y: y["p"] < x["p"] + span), lambda y: y["r"])
+            enough = F.get(m, k + need - 1)["p"] < x["p"] + span
+            return F.struct(F.when(enough, let(block, overlap)).otherwise(0).alias("n"), (-x["p"]).alias("at"))
+
+        return F.array_max(F.transform(m, start))
+
+    return let(hits, of_hits)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, places (base), matches (label, containment of its best block), in the order of labels."""
+    """Per row: id, n_words, places (base), matches (label, containment and words of its best block), in the order of labels."""
     spark = docs.sparkSession
-    sets = [(label, sorted(set(plain_words(text)))) for label, text in templates]
-    sets = [(label, words) for label, words in sets if words]
-    if sum(len(w) for _, w in sets) > MOST_TEMPLATE_WORDS:
+    sets = prepared(templates, threshold)
+    vocab = sorted({w for _, _, count, *_ in sets for w in count})
+    if len(vocab) > MOST_TEMPLATE_WORDS:
         raise ValueError(f"templates have over {MOST_TEMPLATE_WORDS} words; split the list and scan once for each part")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     endings = sorted({p.split(" ")[-1] for p in PHRASES})
     maybe = lambda low: F.greatest(*[F.instr(low, e) for e in [*endings, endings[0]]]) > 0
     none = F.array().cast("array<struct<label:string,start:bigint>>")
-    row = let(ascii_lower(text), lambda low: let(words_of(low), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(maybe(low), _places(w)).otherwise(none).alias("places"))))
-    base = docs.select(F.col(id_col), F.xxhash64(text).alias("__h"), once(row).alias("__r")).select(id_col, "__h", "__r.n_words", "__r.places")
+    known = F.array(*map(F.lit, vocab)) if vocab else F.array().cast("array<string>")
+    row = let(ascii_lower(F.col("t")), lambda low: let(words_of(low), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(maybe(low), _places(w)).otherwise(none).alias("places"), F.array_intersect(w, known).alias("seen"))))
+    base = docs.select("id", F.xxhash64("t").alias("h"), once(row).alias("r")).select("id", "h", "r.*")
     if not sets:
-        return base.select(id_col, "n_words", "places", F.array().cast("array<struct<label:string,containment:double>>").alias("matches"))
-
-    vocab = F.array(*[F.lit(w) for w in sorted({w for _, ws in sets for w in ws})])
-    seen = docs.select(once(F.array_intersect(words_of(ascii_lower(text)), vocab)).alias("w")).select(F.explode("w").alias("w")).groupBy("w").count()
-    count = {r["w"]: r["count"] for r in seen.collect()}  # a row for each template word at most
-    order = sorted({w for _, ws in sets for w in ws}, key=lambda w: (count.get(w, 0), w))
-    rank = {w: k for k, w in enumerate(order)}
-
+        return base.select(F.col("id").alias(id_col), "n_words", "places", F.array().cast(MATCHES).alias("matches"))
+    base = materialize(base, "license-words")
+    count = {r["w"]: r["count"] for r in base.select(F.explode("seen").alias("w")).groupBy("w").count().collect()}  # a row for each template word at most
     rows = []
-    for n, (label, ws) in enumerate(sets):
-        ranks = sorted(rank[w] for w in ws)
-        need = need_of(len(ranks), threshold)
-        rows += [(r, i, n, label, ranks, need) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    side = spark.createDataFrame(rows, "rank int, i int, template int, label string, ranks array<int>, need int")
-    least = min(r[5] for r in rows)
-    rare = sorted({r[0] for r in rows})
-
-    # Only lines with a word of some template's prefix can match; the pattern lets more through, never less.
-    hint = "|".join(re.escape(order[r]) for r in rare)
-    ranked = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    low = ascii_lower(text)
-    lines = F.filter(F.split(low, "\n"), lambda x: x.rlike(hint))
-    blocks = docs.where(low.rlike(hint)).select(F.col(id_col), F.xxhash64(text).alias("__h"), F.posexplode(lines).alias("line", "low"))
-    blocks = blocks.select(id_col, "__h", "line", once(F.sort_array(F.transform(F.array_intersect(words_of(F.col("low")), vocab), lambda w: F.element_at(ranked, w)))).alias("b"))
-    blocks = blocks.where(F.size("b") >= least)
-    firsts = blocks.select("*", F.posexplode(F.slice("b", 1, F.size("b") - least + 1)).alias("j", "rank"))
-    pairs = firsts.join(F.broadcast(side), "rank")
-    rest = 1 + F.least(F.size("ranks") - F.col("i") - 1, F.size("b") - F.col("j") - 1) + F.least("i", "j")
-    pairs = pairs.where((F.size("b") >= F.col("need")) & (rest >= F.col("need")))
-    shared = F.size(F.array_intersect("b", "ranks"))
-    best = pairs.where(shared >= F.col("need")).groupBy(id_col, "__h", "label").agg(F.max(shared / F.size("ranks")).alias("containment"))
-    best = best.groupBy(F.col(id_col).alias("__id"), F.col("__h").alias("__h2")).agg(F.sort_array(F.collect_list(F.struct("label", "containment"))).alias("matches"))  # a row for each label at most
-    out = base.join(best, base[id_col].eqNullSafe(F.col("__id")) & (base["__h"] == F.col("__h2")), "left")
-    return out.select(id_col, "n_words", "places", F.coalesce("matches", F.array().cast("array<struct<label:string,containment:double>>")).alias("matches"))
+    for k, label, words, n, need, span in sets:
+        left = n - need + 1
+        for w in sorted(words, key=lambda w: (count.get(w, 0), w)):
+            rows.append((w, k, label, list(words), list(words.values()), n, need, span))
+            left -= words[w]
+            if left <= 0:
+                break
+    side = spark.createDataFrame(rows, "w string, template int, label string, tw array<string>, tc array<int>, n int, need int, span int")
+    rare = F.array(*map(F.lit, sorted({r[0] for r in rows})))
+    firsts = base.select("id", "h", "n_words", "seen", F.explode(F.array_intersect("seen", rare)).alias("w"))
+    pairs = firsts.join(F.broadcast(side), "w").where(F.col("n_words") >= F.col("need"))
+    most = F.aggregate(F.zip_with("tw", "tc", lambda w, c: F.when(F.array_contains("seen", w), c).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    pairs = pairs.where(most >= F.col("need")).select("id", "h", "template").distinct()
+    pairs = materialize(pairs.groupBy("id", "h").agg(F.collect_list("template").alias("templates")), "license-pairs")  # the caller's templates at most
+    if pairs.count() <= MOST_BROADCAST:
+        pairs = F.broadcast(pairs)
+    again = docs.withColumn("h", F.xxhash64("t")).alias("d").join(pairs.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.h") == F.col("p.h")))
+    again = again.select("d.id", "d.h", once(words_of(ascii_lower(F.col("t")))).alias("words"), F.explode("templates").alias("template"))
+    again = again.join(F.broadcast(side.drop("w").dropDuplicates(["template"])), "template")
+    best = again.select("id", "h", "label", "n", "need", "span", F.size("words").alias("size"), once(_best_block(F.col("words"), F.col("tw"), F.col("tc"), F.col("need"), F.col("span"))).alias("b")).where(F.col("b.n") >= F.col("need"))
+    best = best.select("id", "h", "label", F.struct((F.col("b.n") / F.col("n")).alias("containment"), F.col("b.at").cast("long").alias("at"), F.least(F.col("span") - F.col("b.at"), F.col("size")).cast("long").alias("end")).alias("m"))
+    best = best.groupBy("id", "h", "label").agg(F.max("m").alias("m"))
+    found = F.sort_array(F.collect_list(F.struct("label", "m.containment", (-F.col("m.at")).alias("start"), "m.end")))
+    best = materialize(best.groupBy("id", "h").agg(found.alias("matches")), "license-found")  # a row for each label at most
+    if best.count() <= MOST_BROADCAST:
+        best = F.broadcast(best)
+    out = base.alias("b").join(best.alias("f"), F.col("b.id").eqNullSafe(F.col("f.id")) & (F.col("b.h") == F.col("f.h")), "left")
+    return out.select(F.col("b.id").alias(id_col), "n_words", "places", F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -135,21 +188,27 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL for query op4: all lines against all templates, without filters."""
+    """DuckDB SQL for query op4: the blocks from every template word of every text on, against all templates."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     rx = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
-    temps = ", ".join(f"({q(label)}, [{', '.join(q(w) for w in sorted(set(plain_words(text))))}], {need_of(len(set(plain_words(text))), THRESHOLD)})" for label, text in TEMPLATES)
+    sets = prepared(TEMPLATES, THRESHOLD)
+    temps = ", ".join(f"({k}, {q(label)}, {n}, {need}, {span})" for k, label, _, n, need, span in sets)
+    words = ", ".join(f"({k}, {q(w)}, {c})" for k, _, count, *_ in sets for w, c in count.items())
     cases = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = {q(x)}" for k, x in enumerate(p.split(" "))) + f" THEN {q(label)}" for p, label in PHRASES.items())
     return f"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {upper}, {lower}) AS low FROM documents),
-w AS (SELECT doc_id, low, regexp_extract_all(low, {rx}) AS w FROM d),
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}), {rx}) AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 p AS (SELECT doc_id, i - 1 AS start, CASE {cases} END AS label FROM i),
 b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id),
-t(label, words, need) AS (VALUES {temps}),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), {rx})) AS words FROM d),
-m AS (SELECT doc_id, max(len(list_intersect(l.words, t.words)) / len(t.words)) AS c, list(DISTINCT label) AS labels FROM l, t WHERE len(list_intersect(l.words, t.words)) >= need GROUP BY doc_id)
+t(k, label, n, need, span) AS (VALUES {temps}),
+v(k, word, c) AS (VALUES {words}),
+h AS (SELECT doc_id, k, i, word, c FROM (SELECT doc_id, i, w[i] AS word FROM i) JOIN v USING (word)),
+x AS (SELECT doc_id, k FROM (SELECT doc_id, k, least(count(*), max(c)) AS most FROM h GROUP BY doc_id, k, word) JOIN t USING (k) GROUP BY doc_id, k HAVING sum(most) >= max(need)),
+o AS (SELECT s.doc_id, s.k, s.i, e.word, least(count(*), max(e.c)) AS n FROM h s JOIN x ON x.doc_id = s.doc_id AND x.k = s.k JOIN t ON t.k = s.k
+  JOIN h e ON e.doc_id = s.doc_id AND e.k = s.k AND e.i >= s.i AND e.i < s.i + t.span GROUP BY s.doc_id, s.k, s.i, e.word),
+c AS (SELECT doc_id, k, sum(n) AS n FROM o GROUP BY doc_id, k, i),
+m AS (SELECT doc_id, max(c.n / t.n) AS c, list(DISTINCT label) AS labels FROM c JOIN t USING (k) WHERE c.n >= need GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
