@@ -10,9 +10,11 @@ of the entity's information: 1 if the term never stands without it. Terms seen w
 are removed from `remove` on and generalised (to their kind of word) from `generalise` on, wherever they stand in texts with that entity.
 Pairs are counted in partial sums before any shuffle; n(t) is counted over every word of every distinct text.
 
-Defined cases: a null text counts as empty, without spans; spans are half-open code point ranges; equal texts
-count once in every number; terms are letters between base spans, three or more; base spans of different kinds may overlap and all are listed, while sanitised text replaces their union;
-rows that share id and text share their result; other columns are ignored.
+Defined cases: a null text counts as empty, without spans; spans are half-open code point ranges; equal texts count once in every number, and
+a text that differs in any character is another; terms are letters between base spans, three or more; a share equal to a threshold reaches
+it; base spans of different kinds may overlap and all are listed, while sanitised text replaces their union; rows that share id and text
+share their result; very long texts are searched whole; an empty table gives no rows; other columns are ignored, or kept as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, once
+from .common import let, materialize, once, release
 
 #: Fixed values, in the order of listing. Written so that no match depends on backtracking over a repeated group; card matches of
 #: under 16 digits are never valid, so the pattern leaves them out. Equal to the contract's patterns otherwise.
@@ -88,49 +90,50 @@ def base_spans(text: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_contexts: int = 3, remove: float = 0.97, generalise: float = 0.9, base_as: str = "base", terms_as: str = "terms") -> DataFrame:
-    """The kept columns, `base` (struct of spans by kind) and `terms` (spans with action), for every row; both can have other names."""
-    keep = [id_col] if keep is None else keep
+    """The kept columns, `base` (struct of spans by kind) and `terms` (spans with action), for every row; both can have other names, and win over kept columns of theirs."""
+    keep = [c for c in ([id_col] if keep is None else keep) if c.lower() not in (base_as.lower(), terms_as.lower())]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    quoted = [F.col(f"`{c}`") for c in keep]
-    base = docs.select(*quoted, F.col(id_col).alias("__id"), F.xxhash64(text).alias("__h"), once(base_spans(text)).alias("__base"))
-    hits = materialize(_hits(docs, id_col, text), "pii-texts")
-    entities = materialize(hits.select("__h", F.explode("entities").alias("entity")).distinct(), "pii-entities")
-    flagged = materialize(_disclosive(docs, text, hits, entities, min_contexts, remove, generalise), "pii-terms")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(id_col).alias("id"), text.alias("t"))
+    base = rows.select("row", "id", F.xxhash64("t").alias("h"), once(base_spans(F.col("t"))).alias("base"))
+    hits = materialize(_hits(rows), "pii-texts")
+    entities = materialize(hits.select("h", F.explode("entities").alias("entity")).distinct(), "pii-entities")
+    flagged = materialize(_disclosive(rows, hits, entities, min_contexts, remove, generalise), "pii-terms")
     if flagged.count() <= MOST_BROADCAST:
         flagged = F.broadcast(flagged)
-    marks = entities.join(flagged, "entity").groupBy("__h", "term").agg(F.max("action").alias("action"))
-    marks = materialize(marks.groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks")), "pii-marks")  # one text's own terms
+    marks = entities.join(flagged, "entity").groupBy("h", "term").agg(F.max("action").alias("action"))
+    marks = materialize(marks.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("marks")), "pii-marks")  # one text's own terms
     if marks.count() <= MOST_BROADCAST:
         marks = F.broadcast(marks)
-    found = located(F.col("__t"), TERMS, lambda v: F.map_contains_key("marks", F.lower(v)))
+    found = located(F.col("t"), TERMS, lambda v: F.map_contains_key("marks", F.lower(v)))
     found = F.transform(found, lambda x: let(F.lower(x["value"]), lambda v: F.struct(x["start"].alias("start"), x["end"].alias("end"), v.alias("value"), F.element_at("marks", v).alias("action"))))
-    spans = hits.join(marks, "__h").select(F.col("__id").alias("__id2"), F.col("__h").alias("__h2"), once(found).alias("__terms")).where(F.size("__terms") > 0)
-    spans = spans.groupBy("__id2", "__h2").agg(F.first("__terms").alias("__terms"))  # of rows that repeat id and text
+    spans = hits.join(marks, "h").select("id", "h", once(found).alias("terms")).where(F.size("terms") > 0)
+    spans = spans.groupBy("id", "h").agg(F.first("terms").alias("terms"))  # of rows that repeat id and text
     spans = materialize(spans, "pii-spans")
     if spans.count() <= MOST_BROADCAST:
         spans = F.broadcast(spans)
-    out = base.join(spans, base["__id"].eqNullSafe(F.col("__id2")) & (base["__h"] == F.col("__h2")), "left")
+    release(hits)
+    out = base.alias("b").join(spans.alias("s"), F.col("b.id").eqNullSafe(F.col("s.id")) & (F.col("b.h") == F.col("s.h")), "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,action:string>>")
-    return out.select(*quoted, F.col("__base").alias(base_as), F.coalesce("__terms", none).alias(terms_as))
+    return out.select("row.*", F.col("b.base").alias(base_as), F.coalesce("s.terms", none).alias(terms_as))
 
 
-def _hits(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """The texts with entities: __id, __h, __t (with blanks in place of the base spans) and their distinct entities."""
+def _hits(rows: DataFrame) -> DataFrame:
+    """The texts with entities: id, h, t (with blanks in place of the base spans) and their distinct entities."""
     hit = F.lit(False)
     for k in KINDS:
-        hit = hit | F.col("__t").rlike(KINDS[k])
-    some = docs.select(F.col(id_col).alias("__id"), once(text).alias("__t")).where(hit)
-    some = some.select("__id", "__t", F.xxhash64("__t").alias("__h"), once(base_spans(F.col("__t"))).alias("base"))
+        hit = hit | F.col("t").rlike(KINDS[k])
+    some = rows.select("id", once(F.col("t")).alias("t")).where(hit)
+    some = some.select("id", "t", F.xxhash64("t").alias("h"), once(base_spans(F.col("t"))).alias("base"))
     named = lambda k: lambda x: F.struct(F.concat(F.lit(k + ":"), F.lower(x["value"])).alias("entity"), x["start"].cast("int").alias("s"), x["end"].cast("int").alias("e"))
     every = F.concat(*[F.transform(f"base.{k}", named(k)) for k in KINDS])
-    rows = some.select("__id", "__h", "__t", once(every).alias("every")).where(F.size("every") > 0)
-    blank = F.aggregate("every", F.col("__t"), lambda t, x: F.overlay(t, F.repeat(F.lit(" "), x["e"] - x["s"]), x["s"] + 1, x["e"] - x["s"]))
-    return rows.select("__id", "__h", once(blank).alias("__t"), F.array_distinct(F.transform("every", lambda x: x["entity"])).alias("entities"))
+    found = some.select("id", "h", "t", once(every).alias("every")).where(F.size("every") > 0)
+    blank = F.aggregate("every", F.col("t"), lambda t, x: F.overlay(t, F.repeat(F.lit(" "), x["e"] - x["s"]), x["s"] + 1, x["e"] - x["s"]))
+    return found.select("id", "h", once(blank).alias("t"), F.array_distinct(F.transform("every", lambda x: x["entity"])).alias("entities"))
 
 
-def _disclosive(docs: DataFrame, text: Column, hits: DataFrame, entities: DataFrame, min_contexts: int, remove: float, generalise: float) -> DataFrame:
-    """term, entity, action of the pairs above the thresholds."""
-    copies = materialize(docs.select(F.xxhash64(text).alias("__h")).groupBy("__h").agg(F.count("*").alias("copies")), "pii-copies")
+def _disclosive(rows: DataFrame, hits: DataFrame, entities: DataFrame, min_contexts: int, remove: float, generalise: float) -> DataFrame:
+    """term, entity, action, n_tc, n_c, n_t of the pairs above the thresholds."""
+    copies = materialize(rows.select(F.xxhash64("t").alias("h")).groupBy("h").agg(F.count("*").alias("copies")), "pii-copies")
     n_docs = copies.count()
     copies = copies.where("copies > 1")
     if copies.count() <= MOST_BROADCAST:
@@ -138,13 +141,13 @@ def _disclosive(docs: DataFrame, text: Column, hits: DataFrame, entities: DataFr
     ic = F.greatest(-F.log(F.col("n_c") / F.lit(float(max(n_docs, 1)))), F.lit(1e-9))
     share = lambda both, n: 1 + F.log(F.least(F.col(both) / F.col(n), F.lit(1.0))) / ic
     live = entities.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= min_contexts)
-    live = materialize(entities.join(live, "entity").select("__h", "entity", "n_c"), "pii-live")
-    texts = live.select("__h").distinct()
+    live = materialize(entities.join(live, "entity").select("h", "entity", "n_c"), "pii-live")
+    texts = live.select("h").distinct()
     if texts.count() <= MOST_BROADCAST:
         texts = F.broadcast(texts)
     # Distinct blanked texts first: copies have their words taken once.
-    near = hits.join(texts, "__h", "left_semi").select("__h", "__t").distinct()
-    near = near.select("__h", F.explode(F.array_distinct(F.transform(F.split("__t", r"[^\p{L}]+"), lambda w: F.lower(w)))).alias("term")).where(F.length("term") >= 3)
+    near = hits.join(texts, "h", "left_semi").select("h", "t").distinct()
+    near = near.select("h", F.explode(F.array_distinct(F.transform(F.split("t", r"[^\p{L}]+"), lambda w: F.lower(w)))).alias("term")).where(F.length("term") >= 3)
     near = materialize(near, "pii-words")
     # The texts that hold a term and an entity are a lower bound of n(t), and n(c) is an upper one of n(t,c): pairs that fail with these fail for certain.
     most = live.agg(F.max(F.col("n_c") * F.exp((1 - generalise) * ic))).first()[0] or 0.0
@@ -152,21 +155,21 @@ def _disclosive(docs: DataFrame, text: Column, hits: DataFrame, entities: DataFr
     n_near = materialize(n_near, "pii-near")
     if n_near.count() <= MOST_BROADCAST:
         n_near = F.broadcast(n_near)
-    pairs = near.join(n_near, "term").join(live, "__h").where(share("n_c", "n_near") >= generalise)
+    pairs = near.join(n_near, "term").join(live, "h").where(share("n_c", "n_near") >= generalise)
     pairs = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_tc"), F.first("n_near").alias("n_near"), F.first("n_c").alias("n_c"))
     pairs = materialize(pairs.where((F.col("n_tc") >= min_contexts) & (share("n_tc", "n_near") >= generalise)), "pii-pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if n_terms == 0:
-        return pairs.select("term", "entity", F.lit("remove").alias("action"))
+        return pairs.select("term", "entity", F.lit("remove").alias("action"), "n_tc", "n_c", F.col("n_near").alias("n_t"))
     if n_terms <= MOST_BROADCAST:
         terms = F.broadcast(terms)
     # A text in k copies gives k rows for each of its words: counted by k, and divided by it.
-    words = docs.select(F.xxhash64(text).alias("__h"), once(text).alias("__t")).join(copies, "__h", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(F.array_distinct(F.split(F.lower("__t"), r"[^\p{L}]+"))).alias("term"))
+    words = rows.select(F.xxhash64("t").alias("h"), once(F.col("t")).alias("t")).join(copies, "h", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("term"))
     n_term = words.join(terms, "term", "left_semi").groupBy("term", "copies").agg(F.count("*").alias("rows"))
     n_term = n_term.groupBy("term").agg(F.sum(F.expr("rows div copies")).alias("n_all"))
     scored = pairs.join(n_term, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_all", F.lit(0)), "n_near"))
-    return scored.where(share("n_tc", "n_t") >= generalise).select("term", "entity", F.when(share("n_tc", "n_t") >= remove, "remove").otherwise("generalise").alias("action"))
+    return scored.where(share("n_tc", "n_t") >= generalise).select("term", "entity", F.when(share("n_tc", "n_t") >= remove, "remove").otherwise("generalise").alias("action"), "n_tc", "n_c", "n_t")
 
 
 def listed(with_terms: bool) -> Column:
