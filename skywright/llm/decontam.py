@@ -3,25 +3,26 @@
 Texts are normalised to their words (A-Z lower-cased) with one blank around each, and every window of an item becomes the
 pattern " w1 ... w10 ". The automaton reads a normalised text once; the end of each occurrence maps back to word numbers, and
 those to code points of the original text. The automaton travels to the executors as the list of its patterns, whose total length
-is measured first: a benchmark above `block_chars` is cut into blocks of items with one automaton and one scan each, whose
-findings are merged by document.
+is measured first: a benchmark above `block_chars` is cut by hash into blocks of items with one automaton and one scan each, one after
+the other, whose findings are merged by document.
 
 Defined cases: a null text or a text without words has no words and is never contaminated; an item without words has no window;
-an item with fewer words than a window is one window of all its words; repeated rows give repeated results; an empty benchmark
-contaminates nothing; other columns of either table are ignored.
+an item with fewer words than a window is one window of all its words; items that repeat id and text are one, a null item id counts as an empty
+one; repeated rows of documents give repeated results; very long texts are read whole; an empty benchmark contaminates nothing, and empty
+documents give no rows; other columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialize, prepare
 
 #: Total code points of the windows in one automaton; about 100 bytes of a worker's memory each.
 BLOCK_CHARS = 2_000_000
@@ -95,18 +96,6 @@ def _automaton(key: str, patterns: dict[str, list[int]]) -> Automaton:
     return _BUILT[key]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, block_chars: int):
-    """Batches of (item id, text) whose windows have at most about block_chars code points; the driver holds one batch at a time."""
-    rows, total = [], 0
-    for item, text in benchmark.select(F.col(item_col), F.col(text_col).cast("string")).toLocalIterator():
-        rows.append((item, text))
-        total += len(text or "") * size
-        if total >= block_chars:
-            yield rows
-            rows, total = [], 0
-    yield rows
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per document: id, n_words, spans (hit word ranges), char_spans (the same in code points of the text), items (ids as strings, sorted)."""
     import pyarrow as pa
@@ -115,25 +104,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prepare(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = f"`{id_col}` {kind}, row_no bigint, n_words bigint, spans array<struct<start:int,end:int>>, char_spans array<struct<start:int,end:int>>, items array<string>"
-    parts = []
-    blocks = list(_blocks(benchmark, item_col, item_text_col, size, block_chars))
-    one = len(blocks) == 1
-    source = docs.select(F.col(id_col), F.lit(0).cast("long").alias("row_no") if one else F.monotonically_increasing_id().alias("row_no"), F.col(text_col).cast("string"))
-    for rows in blocks:
+    schema = f"id {kind}, row_no bigint, n_words bigint, spans array<struct<start:int,end:int>>, char_spans array<struct<start:int,end:int>>, items array<string>"
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).where(F.col("text") != "").distinct()
+    total = bench.agg(F.coalesce(F.sum(F.length("text").cast("long") * size), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_chars))
+    source = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("row_no"), F.col(text_col).cast("string").alias("text"))
+    if blocks > 1:  # a row's number tells rows that repeat an id apart; it is written, so that every block sees the same
+        source = materialize(source.withColumn("row_no", F.monotonically_increasing_id()), "decontam-texts")
+        bench = materialize(bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "decontam-items")
+
+    def scanned(items: DataFrame, rows: DataFrame) -> DataFrame:
+        """One scan with the automaton of some items, which the driver holds until it is sent."""
         patterns: dict[str, list[int]] = {}
         names: dict[str, int] = {}
-        for item, text in rows:
-            n = names.setdefault(str(item), len(names))
+        for item, text in items.select("item", "text").toLocalIterator():  # about block_chars, counted before
+            n = names.setdefault("" if item is None else item, len(names))
             for w in windows(text, size):
                 of = patterns.setdefault(w, [])
-                if not of or of[-1] != n:
+                if n not in of[-1:]:
                     of.append(n)
         listed = list(names)
-        key = hashlib.sha256(repr(sorted(patterns.items())).encode("utf-8", "surrogatepass") + repr(listed).encode("utf-8", "surrogatepass")).hexdigest()
+        key = uuid.uuid4().hex
         sent = spark.sparkContext.broadcast((patterns, listed))
 
-        def run(batches, sent=sent, key=key):
+        def run(batches):
             patterns, listed = sent.value
             auto = _automaton(key, patterns)
             for batch in batches:
@@ -144,16 +138,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     s.append([{"start": a, "end": b} for a, b in spans])
                     c.append([{"start": a, "end": b} for a, b in original_spans(text, spans)] if spans else [])
                     i.append(sorted({listed[x] for x in items}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pair), pa.array(c, pair), pa.array(i, pa.list_(pa.string()))], [id_col, "row_no", "n_words", "spans", "char_spans", "items"])
-
-        parts.append(source.mapInArrow(run, schema))
-    if one:
-        return parts[0].drop("row_no")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pair), pa.array(c, pair), pa.array(i, pa.list_(pa.string()))], ["id", "row_no", "n_words", "spans", "char_spans", "items"])
+
+        return rows.mapInArrow(run, schema)
+
+    if blocks == 1:
+        return scanned(bench, source).drop("row_no").withColumnRenamed("id", id_col)
+    out = None
+    for k in range(blocks):  # one block's patterns are on the driver at a time; its scan ends before the next one's are made
+        part = materialize(scanned(bench.where(F.col("block") == k), source), f"decontam-block-{k}")
+        out = part if out is None else out.unionByName(part)
     ranges = lambda c: F.aggregate(F.array_sort(F.flatten(F.collect_list(c))), F.array().cast("array<struct<start:int,end:int>>"), _join)
-    return out.groupBy(id_col, "row_no").agg(F.max("n_words").alias("n_words"), ranges("spans").alias("spans"), ranges("char_spans").alias("char_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("row_no")
+    found = out.groupBy("id", "row_no").agg(F.max("n_words").alias("n_words"), ranges("spans").alias("spans"), ranges("char_spans").alias("char_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.drop("row_no").withColumnRenamed("id", id_col)
 
 
 def _join(done, x):
