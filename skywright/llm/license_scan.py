@@ -6,7 +6,8 @@ of the corpus finds which of all templates' words each text has; the words are t
 and a block with the needed overlap must hold one of the template's first n - need + 1 words in that order (prefix filter). Texts are joined
 with the templates on these words; pairs go where the text is too short or has too few of the template's words (length filter). Only texts
 left are read again: a block can start at a word of the template only, and only if as many of its words as needed follow within the
-block's length (positional filter); then the overlap is counted. The template side of each join is small by the caller's list, which is checked.
+block's length (positional filter); then the overlap is counted. Templates of different labels with so many words in common that a block of one
+passes for the other are rivals: where the best blocks of two overlap, the smaller share, or else the shorter template, yields. The template side of each join is small by the caller's list, which is checked.
 
 Defined cases: a null or empty text has no words, labels or blocks (score 0); the same words found twice count twice in n_base and
 once in labels; of blocks with equal overlap the first is listed; of a label's templates the best one is; templates without words are left
@@ -105,6 +106,12 @@ def prepared(templates: list[tuple[str, str]], threshold: float) -> list[tuple[i
     return out
 
 
+def rivals_of(sets: list[tuple]) -> dict[int, list[int]]:
+    """For every template those of other labels with so many of the same words that a block of one can pass for the other."""
+    common = lambda a, b: sum(min(c, b[w]) for w, c in a.items() if w in b)
+    return {k: [j for j, other, words_j, _, need_j, _ in sets if other != label and common(words, words_j) >= min(need, need_j)] for k, label, words, _, need, _ in sets}
+
+
 MATCHES = "array<struct<label:string,containment:double,start:bigint,end:bigint>>"
 #: Texts with candidate templates are sent to all executors up to this many, counted first; more are joined with a shuffle.
 MOST_BROADCAST = 100_000
@@ -147,15 +154,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         return base.select(F.col("id").alias(id_col), "n_words", "places", F.array().cast(MATCHES).alias("matches"))
     base = materialize(base, "license-words")
     count = {r["w"]: r["count"] for r in base.select(F.explode("seen").alias("w")).groupBy("w").count().collect()}  # a row for each template word at most
-    rows = []
+    rows, rivals = [], rivals_of(sets)
     for k, label, words, n, need, span in sets:
         left = n - need + 1
         for w in sorted(words, key=lambda w: (count.get(w, 0), w)):
-            rows.append((w, k, label, list(words), list(words.values()), n, need, span))
+            rows.append((w, k, label, list(words), list(words.values()), n, need, span, rivals[k]))
             left -= words[w]
             if left <= 0:
                 break
-    side = spark.createDataFrame(rows, "w string, template int, label string, tw array<string>, tc array<int>, n int, need int, span int")
+    side = spark.createDataFrame(rows, "w string, template int, label string, tw array<string>, tc array<int>, n int, need int, span int, rivals array<int>")
     rare = F.array(*map(F.lit, sorted({r[0] for r in rows})))
     firsts = base.select("id", "h", "n_words", "seen", F.explode(F.array_intersect("seen", rare)).alias("w"))
     pairs = firsts.join(F.broadcast(side), "w").where(F.col("n_words") >= F.col("need"))
@@ -167,11 +174,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     again = docs.withColumn("h", F.xxhash64("t")).alias("d").join(pairs.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.h") == F.col("p.h")))
     again = again.select("d.id", "d.h", once(words_of(ascii_lower(F.col("t")))).alias("words"), F.explode("templates").alias("template"))
     again = again.join(F.broadcast(side.drop("w").dropDuplicates(["template"])), "template")
-    best = again.select("id", "h", "label", "n", "need", "span", F.size("words").alias("size"), once(_best_block(F.col("words"), F.col("tw"), F.col("tc"), F.col("need"), F.col("span"))).alias("b")).where(F.col("b.n") >= F.col("need"))
-    best = best.select("id", "h", "label", F.struct((F.col("b.n") / F.col("n")).alias("containment"), F.col("b.at").cast("long").alias("at"), F.least(F.col("span") - F.col("b.at"), F.col("size")).cast("long").alias("end")).alias("m"))
-    best = best.groupBy("id", "h", "label").agg(F.max("m").alias("m"))
-    found = F.sort_array(F.collect_list(F.struct("label", "m.containment", (-F.col("m.at")).alias("start"), "m.end")))
-    best = materialize(best.groupBy("id", "h").agg(found.alias("matches")), "license-found")  # a row for each label at most
+    best = again.select("id", "h", "template", "label", "rivals", "n", "need", "span", F.size("words").alias("size"), once(_best_block(F.col("words"), F.col("tw"), F.col("tc"), F.col("need"), F.col("span"))).alias("b")).where(F.col("b.n") >= F.col("need"))
+    one = F.struct("template", "label", "rivals", "n", (F.col("b.n") / F.col("n")).alias("containment"), (-F.col("b.at")).cast("long").alias("start"), F.least(F.col("span") - F.col("b.at"), F.col("size")).cast("long").alias("end"))
+    best = best.select("id", "h", one.alias("m")).groupBy("id", "h").agg(F.collect_list("m").alias("ms"))  # a row for each template at most
+    better = lambda a, b: (b["containment"] > a["containment"]) | ((b["containment"] == a["containment"]) & (b["n"] > a["n"]))
+    yields = lambda a: F.exists("ms", lambda b: F.array_contains(a["rivals"], b["template"]) & better(a, b) & (b["start"] < a["end"]) & (a["start"] < b["end"]))
+    best = best.select("id", "h", once(F.filter("ms", lambda a: ~yields(a))).alias("ms"))
+    of = lambda label: F.array_max(F.transform(F.filter("ms", lambda x: x["label"] == label), lambda x: F.struct(x["containment"], (-x["start"]).alias("at"), x["end"])))
+    matches = F.transform(F.sort_array(F.array_distinct(F.transform("ms", lambda x: x["label"]))), lambda label: let(of(label), lambda m: F.struct(label.alias("label"), m["containment"].alias("containment"), (-m["at"]).alias("start"), m["end"].alias("end"))))
+    best = materialize(best.select("id", "h", matches.alias("matches")), "license-found")
     if best.count() <= MOST_BROADCAST:
         best = F.broadcast(best)
     out = base.alias("b").join(best.alias("f"), F.col("b.id").eqNullSafe(F.col("f.id")) & (F.col("b.h") == F.col("f.h")), "left")
@@ -195,6 +206,7 @@ def oracle() -> str:
     sets = prepared(TEMPLATES, THRESHOLD)
     temps = ", ".join(f"({k}, {q(label)}, {n}, {need}, {span})" for k, label, _, n, need, span in sets)
     words = ", ".join(f"({k}, {q(w)}, {c})" for k, _, count, *_ in sets for w, c in count.items())
+    rivals = ", ".join(f"({k}, {j})" for k, js in rivals_of(sets).items() for j in js)
     cases = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = {q(x)}" for k, x in enumerate(p.split(" "))) + f" THEN {q(label)}" for p, label in PHRASES.items())
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}), {rx}) AS w FROM documents),
@@ -203,12 +215,15 @@ p AS (SELECT doc_id, i - 1 AS start, CASE {cases} END AS label FROM i),
 b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id),
 t(k, label, n, need, span) AS (VALUES {temps}),
 v(k, word, c) AS (VALUES {words}),
+rival(k, j) AS (VALUES {rivals}),
 h AS (SELECT doc_id, k, i, word, c FROM (SELECT doc_id, i, w[i] AS word FROM i) JOIN v USING (word)),
 x AS (SELECT doc_id, k FROM (SELECT doc_id, k, least(count(*), max(c)) AS most FROM h GROUP BY doc_id, k, word) JOIN t USING (k) GROUP BY doc_id, k HAVING sum(most) >= max(need)),
 o AS (SELECT s.doc_id, s.k, s.i, e.word, least(count(*), max(e.c)) AS n FROM h s JOIN x ON x.doc_id = s.doc_id AND x.k = s.k JOIN t ON t.k = s.k
   JOIN h e ON e.doc_id = s.doc_id AND e.k = s.k AND e.i >= s.i AND e.i < s.i + t.span GROUP BY s.doc_id, s.k, s.i, e.word),
-c AS (SELECT doc_id, k, sum(n) AS n FROM o GROUP BY doc_id, k, i),
-m AS (SELECT doc_id, max(c.n / t.n) AS c, list(DISTINCT label) AS labels FROM c JOIN t USING (k) WHERE c.n >= need GROUP BY doc_id)
+c AS (SELECT doc_id, k, i, sum(n) AS n FROM o GROUP BY doc_id, k, i),
+f AS (SELECT c.doc_id, k, label, t.n, max(c.n) / t.n AS containment, arg_max(i, (c.n, -i)) AS a, least(arg_max(i, (c.n, -i)) + t.span, max(size) + 1) AS z FROM c JOIN t USING (k) JOIN (SELECT doc_id, len(w) AS size FROM w) USING (doc_id) WHERE c.n >= need GROUP BY c.doc_id, k, label, t.n, t.span),
+m AS (SELECT doc_id, max(containment) AS c, list(DISTINCT label) AS labels FROM f WHERE NOT EXISTS (SELECT 1 FROM f b JOIN rival ON rival.j = b.k
+  WHERE b.doc_id = f.doc_id AND rival.k = f.k AND (b.containment > f.containment OR (b.containment = f.containment AND b.n > f.n)) AND b.a < f.z AND f.a < b.z) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
