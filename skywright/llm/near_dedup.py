@@ -10,13 +10,14 @@ found with matches limited to the band of diagonals that any alignment good enou
 
 Equal word sequences are one node from the start. In each bucket of a band, every member is first compared with the bucket's pivots: its most
 central members (those with most fellow members over all bands), one of each of `pivots` hash slots; members of one family reach each other
-through its centre, in any of the bands. Then members of a bucket that are not in one component yet are compared with each other, in blocks
-of at most `BLOCK` members a side. So every two members of a bucket are compared or in one class, no bucket is cut, and only buckets of
-several classes take more comparisons than they have rows. Classes are the connected components of the links.
+through its centre, in any of the bands. Then the members of buckets that still hold several components go through an exact prefix, length
+and position filter on their shingles, which leaves the pairs that can be similar, whatever the bucket's size. So every two similar members of
+a bucket are compared or in one class, and no bucket is cut. Classes are the connected components of the links.
 
 Defined cases: a null text, or one without words, is a class of its own; a text of one to four words has one shingle, all its words;
 rows that repeat id and text are one document; the class id is the smallest id in the class; ties between pivots go to the larger id;
-other columns are ignored.
+very long texts are sketched whole, one at a time, and aligned in the band that the threshold leaves; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, prepare
-from .components import components
+from .components import components, joined
 from .decontam import normalise
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 3
 PIVOTS = 3
-#: Members of a bucket and component that one task pairs with others.
+#: Rows of a frequent shingle in one block.
 BLOCK = 500
+#: Counters of shingle frequencies, as a power of two.
+COUNTER_BITS = 20
 #: Ids sent to all executors to select texts; counted first, more are joined with a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -97,12 +100,7 @@ class Sketcher:
             n = counts[some]
             starts = np.cumsum(n) - n
             of = np.repeat(np.arange(len(some)), n)
-            # Occurrence numbers: places among equal shingles of the same text.
-            order = np.lexsort((np.arange(len(s)), s, of))
-            same = np.append(False, (s[order][1:] == s[order][:-1]) & (of[order][1:] == of[order][:-1]))
-            run = np.arange(len(s)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(s))))
-            label = s.copy()
-            label[order] += run.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            label = _labelled(s, of)
             single = n == 1
             for j, seed in enumerate(self.seeds):
                 h = (label ^ seed) * _ODD
@@ -216,22 +214,125 @@ def candidates(reps: DataFrame, pivots: int = PIVOTS, similarity: float = SIMILA
     return pairs.groupBy(F.col("p.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared")).select("a", "b")
 
 
-def rest(reps: DataFrame, labels: DataFrame, done: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of one bucket but of different components, without those done; labels: node, label of the linked reps."""
+def _labelled(s: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Shingle hashes with their occurrence number in their text mixed in, so that a text's multiset is a set; of: text of each shingle."""
+    order = np.lexsort((np.arange(len(s)), s, of))
+    same = np.append(False, (s[order][1:] == s[order][:-1]) & (of[order][1:] == of[order][:-1]))
+    run = np.arange(len(s)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(s))))
+    label = s.copy()
+    label[order] += run.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return label
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def rest(reps: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) to compare, of different components, among the members of buckets with several; without those done.
+
+    labels: node, label of the linked reps. An exact set-similarity join takes the place of all pairs of a bucket: a text's shingles are
+    put in one order, rare ones first, and texts as similar as asked for share one of their first n - ceil(similarity * n) + 1. A
+    shingle's rows go where no partner is short enough for its position, and the others are paired by length and position. Frequencies
+    are counted in a fixed number of counters by hash: a collision changes the order, which is right in any case, and not the result.
+    """
+    import pyarrow as pa
+
+    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    kind = reps.schema["rep"].dataType.simpleString()
     found = labels.select(F.col("node").alias("rep"), "label")
-    bands = reps.join(found, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label"), F.explode("keys").alias("key"))
-    mixed = bands.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    live = materialize(bands.join(mixed, "key"), "near-mixed")
-    sizes = live.groupBy("key", "label").agg(F.count("*").alias("count"))
-    sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")), "near-parts")
-    live = live.join(sizes, ["key", "label"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    live = materialize(live.select("key", "label", "block", "rep", "n"), "near-blocks")
-    # Every two parts of a bucket hold a pair at least, so there are no more of these than pairs.
-    side = lambda x: sizes.select("key", F.col("label").alias(f"label_{x}"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"block_{x}"))
-    both = side("a").join(side("b"), "key").where("label_a < label_b")
-    of = lambda x: live.select("key", F.col("label").alias(f"label_{x}"), F.col("block").alias(f"block_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
-    pairs = both.join(of("a"), ["key", "label_a", "block_a"]).join(of("b"), ["key", "label_b", "block_b"])
-    pairs = pairs.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    bands = reps.join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.explode("keys").alias("key"))
+    # The two members of a bucket of two have been compared.
+    mixed = bands.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("count")).where("low <> high and count > 2").select("key")
+    members = materialize(bands.join(mixed, "key", "left_semi").select(F.col("rep").alias("id"), "label").distinct(), "near-mixed")
+    n = members.count()
+    if not n:
+        return done.select("a", "b").limit(0)
+    few = F.broadcast(members) if n <= MOST_BROADCAST else members
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(few, "id")
+    texts = materialize(texts.groupBy("id", "label").agg(F.first("text").alias("text")), "near-mixed-texts")
+
+    def tokens(batch, s: Sketcher):
+        texts = batch.column(2).to_pylist()
+        for x, y in chunks(texts):
+            _, flat, count = s.shingles(texts[x:y])
+            of = np.repeat(np.arange(y - x), count)
+            yield x, y, _labelled(flat, of), of, count
+
+    def counted(batches):
+        s, total = Sketcher(), np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for _, _, t, _, _ in tokens(batch, s):
+                np.add.at(total, _place(t), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["place", "n"])
+
+    sums = texts.mapInArrow(counted, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # 2 ** COUNTER_BITS rows at most
+    counters = np.zeros(1 << COUNTER_BITS, np.int64)
+    counters[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(counters)
+
+    def prefixes(batches):
+        s, counters = Sketcher(), sent.value
+        for batch in batches:
+            for x, y, t, of, count in tokens(batch, s):
+                frequency = counters[_place(t)]
+                order = np.lexsort((t, frequency, of))
+                t, frequency = t[order], frequency[order]
+                pos = np.arange(len(t)) - np.repeat(np.cumsum(count) - count, count)
+                n = np.repeat(count, count)
+                keep = (pos <= n - np.ceil(similarity * n - 1e-9)) & (frequency > 1)
+                rows = pa.array(of[keep] + x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(n[keep]), pa.array(t[keep].view(np.int64)), pa.array(pos[keep])], ["id", "label", "n", "token", "pos"])
+
+    rows = texts.mapInArrow(prefixes, f"id {kind}, label {kind}, n bigint, token bigint, pos bigint")
+    # A partner of m shingles needs (n + m) * similarity / (1 + similarity) common ones, and n - pos are left from here.
+    longest = (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
+    rows = materialize(rows.select("*", longest.alias("longest")), "near-prefixes")
+    for _ in range(2):  # the second time with the partners that the first has left
+        some = rows.groupBy("token").agg(F.count("*").alias("count"), F.min("n").alias("shortest"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        rows = rows.select("id", "label", "n", "token", "pos", "longest").join(some.select("token", "count", "shortest"), "token").where("shortest <= longest")
+        rows = materialize(rows, "near-prefixes")
+    # A frequent shingle's rows are dealt in blocks, and every two blocks meet in a task of their own.
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "label", "n", "pos", "longest")
+
+    def paired(batches):
+        import pyarrow.compute as pc
+
+        left = None
+        for batch in [*batches, None]:  # rows come sorted; the last group of a batch waits for the next batch
+            if batch is not None:
+                left = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            if left is None or not left.num_rows:
+                continue
+            left = left.combine_chunks()
+            token, x, y = (left.column(c).to_numpy() for c in ("token", "x", "y"))
+            starts = np.append(np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))), len(token))
+            if batch is not None:
+                starts = starts[:-1]
+            block, n, pos, longest = (left.column(c).to_numpy() for c in ("block", "n", "pos", "longest"))
+            label = pc.dictionary_encode(left.column("label")).combine_chunks().indices.to_numpy()
+            first, second = [], []
+            for u, v in zip(starts[:-1], starts[1:], strict=True):
+                side = np.arange(u, v)
+                p = side if x[u] == y[u] else side[block[u:v] == x[u]]
+                q = side if x[u] == y[u] else side[block[u:v] == y[u]]
+                fits = (label[p][:, None] != label[q]) & (n[q] <= longest[p][:, None]) & (n[p][:, None] <= longest[q])
+                i, j = np.nonzero(np.triu(fits) if x[u] == y[u] else fits)
+                first.append(p[i])
+                second.append(q[j])
+            if first:
+                ids = left.column("id").combine_chunks()
+                a, b = (ids.take(pa.array(np.concatenate(k))) for k in (first, second))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            left = left.slice(starts[-1])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(paired, f"a {kind}, b {kind}")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
@@ -265,10 +366,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = materialize(reps, "near-reps")
     pairs = materialize(candidates(reps.select("rep", "n", "keys")), "near-pairs")
     links = materialize(verified(pairs, docs, id_col, text_col), "near-links")
-    more = materialize(rest(reps, components(links), pairs), "near-rest")
-    if not more.isEmpty():
-        links = links.unionByName(materialize(verified(more, docs, id_col, text_col), "near-more-links"))
     labels = components(links)
+    more = materialize(rest(reps, labels, pairs, docs, id_col, text_col), "near-rest")
+    if not more.isEmpty():
+        labels = materialize(joined(labels, materialize(verified(more, docs, id_col, text_col), "near-more-links")), "near-labels")
     of = reps.select("node", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("node", F.coalesce("label", "rep").alias("class"))
     of = materialize(of, "near-classes")
     out = sk.select("id", "node", "n").join(of, "node", "left")
