@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; between stages the rows are written as Parquet and
 read again. All stages but the last return the columns of `documents`, in their order, and any further columns that came along.
-Tables that are empty, null texts, repeated rows and clashing extra columns go through: the operators name the outcome of each.
+
+Defined cases: an empty table stays empty; a null or blank text fails the base rules and goes in the first stage; very long texts go through
+whole; of rows that repeat a whole document the second stage keeps one; of equal and near copies the smallest id stays; extra columns go through
+as they are, whatever their names; the operators name the outcome of every other case.
 """
 
 from __future__ import annotations
@@ -12,26 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywright.llm import bpe, decontam, near_dedup, pii, quality_rules
-from skywright.llm.common import materialize, once, table, without_ids
+from skywright.llm.common import fresh, materialize, once, table, without_ids
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the base rules or the learned rules reject."""
-    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
-    judged = quality_rules.statistics(docs)
-    s = F.col("__stats")
-    return judged.where(~quality_rules.base_failed(s) & (rules.verdict(s) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Drops what the base rules or the learned rules reject. A null or blank text fails the base rules and goes."""
+    return quality_rules.good(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class; of rows that repeat a whole document, one."""
-    found = materialize(near_dedup.classes(docs), "pipeline-classes")
+    found = materialize(near_dedup.classes(docs.select("doc_id", "text")), "pipeline-classes")
     kept = without_ids(docs, found.where(F.col("doc_id") != F.col("class_id")).select("doc_id"))
     twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = materialize(twice, "pipeline-twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    again = kept.join(twice, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id", "text"])
     return without_ids(kept, twice).unionByName(again)
 
 
@@ -42,11 +42,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data and disclosing terms in the text; n_chars is the new length."""
-    found = pii.find(docs, keep=docs.columns, base_as="__base", terms_as="__terms")
-    text = once(F.when(F.col("text").isNotNull(), pii.sanitised(F.col("text"), F.col("__base"), F.col("__terms"))))
-    found = found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")], text.alias("text"))
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Replaces personal data and disclosing terms in the text; n_chars is the new length. A null text stays null."""
+    base, terms, clean = fresh("base", docs.columns), fresh("terms", docs.columns), fresh("clean", docs.columns)
+    found = pii.find(docs, keep=docs.columns, base_as=base, terms_as=terms)
+    text = once(F.when(F.col("text").isNotNull(), pii.sanitised(F.col("text"), F.col(base), F.col(terms))))
+    found = found.withColumn(clean, text)
+    new = {"text": F.col(clean), "n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Learned rules, alignments and BPE merges are beyond SQL: the tests hold the pipeline against a brute-force version.
+#: Learned rules, alignments and BPE merges are beyond SQL: tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
