@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from skywright.llm import near_dedup, suffix_dedup
 from skywright.llm.components import components
 from skywright.llm.decontam import normalise
@@ -145,10 +144,7 @@ def test_repeated_passages(table):
     want = passages_by_hand(corpus())
     spans = {i: [(s["start"], s["end"]) for s in r["spans"]] for i, r in got.items()}
     assert set(spans) == set(want)
-    for i, w in want.items():  # the family (0 to 39) mixes parts of its members: short repeats there may come out narrower
-        assert spans[i] == w if i >= 40 else all(any(a <= s and e <= b for a, b in w) for s, e in spans[i])
-    covered = lambda x: sum(b - a for s in x.values() for a, b in s)
-    assert covered(spans) >= 0.99 * covered(want)
+    assert spans == want
     for i, r in got.items():
         assert r["n_repeated"] == sum(b - a for a, b in spans[i]) and r["partners"] and i not in r["partners"]
     assert suffix_dedup.passages(table.limit(0)).count() == 0
@@ -182,27 +178,62 @@ def test_repeats_in_families_that_mix_parts(spark):
     assert spans_found(spark, rows) == passages_by_hand(rows)
 
 
-def test_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    more = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "", "en", "s", 0), (0, docs.where("doc_id = 0").first()["text"], "en", "s", 1)], docs.schema)
-    docs = docs.unionByName(more).withColumn("base", F.lit(1)).withColumn("kept", F.lit("x"))
-    gone = {}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.materialize(stage(spark, docs, sf_dir), f"test-{name}")
-        assert out.columns == docs.columns
-        assert stage(spark, docs.limit(0), sf_dir).count() == 0
-        gone[name] = docs.count() - out.count()
-        docs = out
-    assert gone["quality_rules"] > 2 and gone["near_dedup"] > 0 and gone["decontamination"] > 0 and gone["pii"] == 0
-    assert docs.select("doc_id").distinct().count() == docs.count()
-    assert docs.where(F.col("text").rlike("[a-z0-9]@[a-z0-9]+[.]")).count() == 0
-    assert docs.where("n_chars <> length(text)").count() == 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert last.count() == docs.count() and last.where("n_tokens <> size(ids)").count() == 0
-
-
-def test_near_duplicate_stage_keeps_one_of_each_class(spark, table, sf_dir):
-    docs = table.select("doc_id", "text")
-    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs.unionByName(docs.where("doc_id < 3")), sf_dir).collect()}
-    want = classes_by_hand(corpus())
-    assert kept == set(want.values())
+def test_repeats_inside_long_runs_and_long_texts(spark):
+    rng = random.Random(12)
+    own = lambda n: words(rng, n, 10**6)
+    left, right = own(60), own(60)
+    rows = [(0, " ".join([*left, *["x"] * 5000, *right])), (1, " ".join([*left, *["x"] * 60, *right]))]
+    rows += [(2 + i, " ".join([*own(5), *["x"] * (52 + i), *own(5)])) for i in range(10)]
+    long = own(30_000)
+    rows += [(20, " ".join(long)), (21, " ".join([*own(7), *long[12_345:12_398], *own(9)]))]
+    assert spans_found(spark, rows) == passages_by_hand(rows)
+
+
+def test_salted_k_grams(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 500)
+    rng = random.Random(5)
+    parts, rows = [words(rng, rng.randint(14, 30), 10**6) for _ in range(12)], []
+    for i in range(150):
+        rows.append((i, " ".join(sum([rng.choice(parts)[rng.randint(0, 3) :] for _ in range(8)], []))))
+    assert spans_found(spark, rows) == passages_by_hand(rows)
+
+
+def linked(docs):
+    got = {}
+    for r in near_dedup.classes(docs).collect():
+        got.setdefault(r["class_id"], []).append(r["doc_id"])
+    return got
+
+
+def test_pairs_in_template_families(spark):
+    """All texts share a template of 880 words and their buckets; only pairs are similar enough."""
+    rng = random.Random(7)
+    template, rows = words(rng, 880, 10**6), []
+    for i in range(60):
+        shared = words(rng, 30, 10**6)
+        rows += [(2 * i + k, " ".join([*template, *shared, *words(rng, 90, 10**6)])) for k in range(2)]
+    v = Verifier()
+    assert v.similar(rows[0][1], rows[1][1]) >= 0.8 and v.similar(rows[0][1], rows[2][1]) == 0
+    got = linked(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    pairs = sum(len(m) == 2 and m[0] // 2 == m[1] // 2 for m in map(sorted, got.values()))
+    assert pairs >= 59 and max(map(len, got.values())) == 2
+
+
+def test_links_of_planted_copies(spark):
+    """Recall of the links of near copies at and above the threshold, against all pairs."""
+    rng, rows = random.Random(21), []
+    for _ in range(60):
+        base = words(rng, 200, 10**6)
+        for k in range(4):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(200)] = f"n{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    v = Verifier()
+    links = [(i, j) for g in range(0, 240, 4) for i in range(g, g + 4) for j in range(i + 1, g + 4) if v.similar(rows[i][1], rows[j][1]) > 0]
+    of = {d: c for c, m in linked(spark.createDataFrame(rows, "doc_id bigint, text string")).items() for d in m}
+    assert len(links) > 200 and sum(of[i] == of[j] for i, j in links) >= 0.99 * len(links)
+    long = words(rng, 25_000, 10**6)
+    two = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[:-40])), (3, " ".join(words(rng, 25_000, 10**6)))], "doc_id bigint, text string")
+    assert {c: sorted(m) for c, m in linked(two).items()} == {1: [1, 2], 3: [3]}

@@ -51,11 +51,49 @@ def test_quality_rules(spark, docs, texts, sf_dir):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, sym, dup, rep), r["doc_id"]
         assert r["base_failed"] == (n < 20 or 100 * rep > 30 * n)
         assert r["kept"] == (not r["base_failed"] and r["rule"] == 0)
-    assert len(quality_rules.judge(docs, rules).columns) > len(docs.columns)
     empty = quality_rules.learn(docs, labels.limit(0))
     assert empty.rules == [] and quality_rules.judge(docs.limit(0), empty, keep=["doc_id"]).count() == 0
 
 
+def rule_features(t):
+    t = t or ""
+    w = re.findall("[^\x20\x09-\x0d]+", t)
+    n, chars, symbols, dup, rep = base_stats(t)
+    lines = sum(bool(re.search("[^\x20\x09-\x0d]", x)) for x in t.split("\n"))
+    of = lambda chars_of: sum(c in chars_of for c in t)
+    shares = [(symbols, chars), (rep, n), (dup, lines), (len(set(w)), n), (of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars), (of("0123456789"), chars), (of("!?.,;:"), chars), (chars, n), (n, lines)]
+    return [a / max(b, 1) for a, b in shares]
+
+
+def test_quality_rules_verdicts_by_hand(docs, texts):
+    C = quality_rules.Condition
+    rules = quality_rules.DecisionList([quality_rules.Rule((C("mark_share", True, 0.0305), C("words_per_line", False, 60.5))), quality_rules.Rule((C("distinct_share", False, 0.4205),)), quality_rules.Rule((C("upper_share", True, 0.0205), C("chars_per_word", True, 5.0005)))])
+    seen = set()
+    for r in quality_rules.judge(docs, rules, keep=["doc_id"]).collect():
+        x = np.array([rule_features(texts[r["doc_id"]])])
+        want = next((k for k, rule in enumerate(rules.rules, 1) if rule.holds(x)[0]), 0)
+        assert r["rule"] == want and r["kept"] == (want == 0 and not r["base_failed"]), r["doc_id"]
+        seen.add(want)
+    assert seen == {0, 1, 2, 3}
+
+
+def test_clashing_names(spark, docs, tmp_path):
+    names = ["__stats", "__id", "__base", "row", "id", "h", "t", "word_chars", "kept", "rule", "terms", "spans"]
+    odd = docs.select("doc_id", "text", F.lit(5).alias("n_words"), *[F.lit(n).alias(n) for n in names])
+    rules = quality_rules.DecisionList([])
+    judged = quality_rules.judge(odd, rules)
+    judged.write.parquet(str(tmp_path / "judged"))
+    assert sorted(judged.columns) == sorted({*odd.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept"})
+    assert judged.where("n_words <> 5").count() > 0  # the operator's own column wins
+    kept = quality_rules.good(odd, rules)
+    assert kept.columns == odd.columns and kept.where("`__stats` <> '__stats'").count() == 0
+    found = pii.find(odd, keep=odd.columns)
+    found.write.parquet(str(tmp_path / "found"))
+    assert found.count() == odd.count() and found.where("`__base` <> '__base' or row <> 'row'").count() == 0
+    for f in (license_scan.scan(odd), decontam.decontaminate(odd, odd.select(F.col("doc_id").alias("item_id"), "text", "items" if "items" in odd.columns else "spans").limit(3))):
+        assert f.count() == odd.count()
+
+
 def test_covering_finds_planted_rules():
     rng = np.random.default_rng(4)
     x = rng.random((3000, len(quality_rules.FEATURES)))
@@ -82,10 +120,48 @@ def test_license_scan(spark, sf_dir, same, docs):
     assert got[2]["labels"] == "apache" and got[2]["score"] == 1.0 and got[3]["labels"] == "apache" and got[3]["n_base"] == 0
     assert (got[4]["n_words"], got[4]["labels"], got[4]["first_word"], got[4]["score"]) == (0, "", None, 0.0)
     assert license_scan.scan(df).count() == 7
+    mit = "Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files"
+    scattered = " ".join(w for x in license_scan.plain_words(license_scan.TEMPLATES[3][1]) for w in (x, *["filler"] * 90))
+    full = license_scan.TEMPLATES[3][1].replace("software", "program", 3)
+    rows = [(1, "/* " + mit + " */"), (2, "The court released him. Under a bridge near mit, a fisherman bought his license."), (3, scattered), (4, "lorem " * 20_000 + full + " ipsum" * 20_000), (5, "the of and to in " * 5_000)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [x["label"] for x in got[1]["matches"]] == ["mit"] and got[1]["matches"][0]["containment"] == 1.0 and got[1]["matches"][0]["start"] == 0
+    rivals = ["Licensed under CC BY-NC 4.0", "Licensed under CC BY 4.0", "Licensed under CC BY-NC-SA 4.0. And more words, so that it ends.", license_scan.TEMPLATES[9][1], license_scan.TEMPLATES[7][1], license_scan.TEMPLATES[10][1]]
+    one = spark.createDataFrame(list(enumerate(rivals)), "doc_id bigint, text string")
+    found = {r["doc_id"]: [x["label"] for x in r["matches"]] for r in license_scan.scan(one).collect()}
+    assert found == {0: ["cc-by-nc"], 1: ["cc-by"], 2: ["cc-by-nc-sa"], 3: ["lgpl"], 4: ["gpl"], 5: ["agpl"]}
+    assert got[2]["matches"] == got[3]["matches"] == got[5]["matches"] == []
+    assert [x["label"] for x in got[4]["matches"]] == ["mit"] and got[4]["matches"][0]["start"] == 20_000 and got[4]["matches"][0]["containment"] >= 0.9
     assert license_scan.digest(license_scan.scan(df, templates=[])).where("labels <> base_labels").count() == 0
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_blocks_by_hand(spark):
+    rng = np.random.default_rng(2)
+    templates = [("a", "k0 k1 k1 k2 k3 k4 k5 k6 k7 k8"), ("b", "k3 k3 k3 c1 c2 c3"), ("a", "c1 c1 k9 c5"), ("none", " .,"), ("one", "solo")]
+    vocabulary = [f"k{i}" for i in range(10)] + [f"c{i}" for i in range(8)] + ["solo"]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 60), p=[0.98 / 18] * 18 + [0.02]))) for i in range(150)]
+    for i in range(150, 260):  # a template with words changed, added or moved
+        words = templates[i % 3][1].split() + ["x"] * int(rng.integers(0, 4))
+        if i % 2:
+            rng.shuffle(words)
+        words[int(rng.integers(len(words)))] = "k1"
+        rows.append((i, "k1 x c1 " * int(rng.integers(0, 3)) + ", ".join(words)))
+    got = {r["doc_id"]: {m["label"]: round(m["containment"], 6) for m in r["matches"]} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates, 0.8).collect()}
+    found = 0
+    for i, text in rows:
+        words, want = text.replace(",", "").split(), {}
+        for label, t in templates[:3] + templates[4:]:
+            t = t.split()
+            span = int(np.ceil(license_scan.STRETCH * len(t)))
+            best = max((sum(min(t.count(w), words[k : k + span].count(w)) for w in set(t)) for k in range(max(1, len(words)))), default=0)
+            if best >= np.ceil(0.8 * len(t) - 1e-9):
+                want[label] = round(max(best / len(t), want.get(label, 0)), 6)
+        assert got[i] == want, (i, text)
+        found += len(want)
+    assert found > 60
+
+
 def brute_decontam(texts, items):
     win = {}
     for k, t in items:
@@ -153,6 +229,46 @@ def test_url_filter(spark, sf_dir):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def url_features(url, rates, prior):
+    u, (host, path) = url or "", host_path(url)
+    entropy = lambda s: -sum(s.count(c) / len(s) * np.log2(s.count(c) / len(s)) for c in set(s)) if s else 0.0
+    digits = lambda s: sum(c in "0123456789" for c in s) / max(len(s), 1)
+    suffix = ".".join(host.split(".")[-2:])
+    return [len(u), len(host), host.count(".") + 1, len(path), path.count("/"), round(digits(u), 6), round(digits(host), 6), entropy(u), entropy(host), ("?" in u) + u.count("&"), host.count("-"), u.count("%"), max(map(len, host.split("."))), rates.get(suffix, prior)]
+
+
+def test_url_features_and_verdicts_by_hand(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = [(10_000, None), (10_001, ""), (10_002, "x://a-b.c1%20.net/é?p=1&q=2#z"), (10_003, "http://" + "y" * 20_000 + ".net/" + "/1" * 5_000)]
+    pages = pages.unionByName(spark.createDataFrame(odd, pages.schema))
+    model = url_filter.learn(url_filter.rule_labels(pages), least_suffix=5)
+    assert model.trees and model.rates and 0 < model.prior < 1
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    host, path = url_filter.host_path(F.col("url"))
+    rows = pages.select("page_id", url_filter.features(F.col("url"), host, path, model.rates, model.prior).alias("f")).collect()
+    for r in rows:
+        assert np.allclose([r["f"][k] for k in url_filter.FEATURES], url_features(urls[r["page_id"]], model.rates, model.prior), atol=2e-6), urls[r["page_id"]]
+    x = {r["page_id"]: np.array([[float(r["f"][k]) for k in url_filter.FEATURES]]) for r in rows}
+    for r in url_filter.judge(pages, model).collect():
+        p = model.predict(x[r["page_id"]])[0]
+        assert np.isclose(r["score"], p)
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if r["score"] > 0.5 else "allow")
+
+
+def test_url_filter_learns_from_a_table_of_labels(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    good = [f"https://{word(6)}.example/{word(5)}/{word(7)}" for _ in range(600)]
+    bad = [f"http://{word(4)}-{word(3)}{rng.integers(10, 999)}.test/{rng.integers(10**6)}?a={rng.integers(99)}&b={word(2)}&c=1" for _ in range(600)]
+    table = spark.createDataFrame([(u, False) for u in good[:400]] + [(u, True) for u in bad[:400]] + [(None, True), ("u", None), (bad[0], True)], "url string, blocked boolean")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(good[400:] + bad[400:])], "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labelled=table, rules=[]).collect()}
+    assert np.mean([got[i] == ("allow" if i < 200 else "block") for i in got]) >= 0.98
+    nothing = url_filter.judge(pages, labelled=table.limit(0), rules=[])
+    assert {(r["verdict"], r["score"]) for r in nothing.collect()} == {("allow", 0.5)}
+
+
 def test_boosting_learns_and_equals_its_columns(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.random((800, len(url_filter.FEATURES))), 6)
@@ -225,6 +341,53 @@ def test_pii_copies_do_not_hide_terms(spark):
             assert ("zorblax", "remove") in {(t["value"], t["action"]) for t in r["terms"]}
 
 
+def disclosures(texts, min_contexts, remove, generalise):
+    """(term, entity) -> action, from all pairs of all distinct texts."""
+    distinct = sorted(set(texts))
+    terms, entities = [], []
+    for t in distinct:
+        spans = [(m.start(), m.end(), f"{k}:{m[0].lower()}") for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m[0])]
+        entities.append({e for _, _, e in spans})
+        blank = list(t)
+        for a, b, _ in spans:
+            blank[a:b] = " " * (b - a)
+        terms.append(({w.lower() for w in re.findall(r"[^\W\d_]+", "".join(blank)) if len(w) >= 3}, {w.lower() for w in re.findall(r"[^\W\d_]+", t)}))
+    out, n = {}, len(distinct)
+    for e in set().union(*entities):
+        having = [k for k in range(n) if e in entities[k]]
+        for t in set().union(*(terms[k][0] for k in having)):
+            n_tc, n_t = sum(t in terms[k][0] for k in having), sum(t in terms[k][0] or t in terms[k][1] for k in range(n))
+            r = 1 + np.log(n_tc / n_t) / -np.log(len(having) / n)
+            if n_tc >= min_contexts and r >= generalise:
+                out[t, e] = "remove" if r >= remove else "generalise"
+    return out
+
+
+def test_pii_counts_by_hand(spark):
+    rng = np.random.default_rng(6)
+    common, rare = [f"w{c}{d}" .replace("w", "wo") for c in "abcdefgh" for d in "xyz"], ["zorblax", "quemby", "vintolo"]
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(common, 14))
+        if i % 23 == 0:
+            words += ["ann@corp.example.com", *rare[: 1 + i % 2]]
+        if i % 31 == 0:
+            words += ["10.1.2.3", "vintolo"]
+        if i % 97 == 5:
+            words += ["quemby"]
+        rows.append(" ".join([*words, "q" + "abcdefghij"[i % 10] * (3 + i // 10)]))
+    rows += [rows[0]] * 20 + [rows[31]] * 5
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    base = df.select("doc_id", F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    hits = pii._hits(base).cache()
+    entities = hits.select("h", F.explode("entities").alias("entity")).distinct()
+    for remove, generalise in ((0.97, 0.9), (0.9, 0.6), (0.99, 0.3)):
+        got = pii._disclosive(base, hits, entities, 3, remove, generalise).collect()
+        want = disclosures(rows, 3, remove, generalise)
+        assert {(r["term"], r["entity"]): r["action"] for r in got} == want
+    assert {"remove", "generalise"} == set(want.values()) and len(want) >= 3
+
+
 def test_pii_terms_of_the_whole_text(spark):
     far = " the quick brown fox jumps over a lazy dog while many people watch from afar and near" * 4
     rows = [(i, f"Note {'n' * (i + 3)}" + far) for i in range(200)]
@@ -249,6 +412,44 @@ def test_quality_classifier(spark, docs, sf_dir):
     assert quality_classifier.score(docs.limit(0), none).count() == 0 and none.share == 0.5
 
 
+def score_by_hand(model, text):
+    """The folded model on features made one by one."""
+    import zlib
+
+    mask, mix = 2**64 - 1, 0x9E3779B97F4A7C15
+    mixed = lambda h: (lambda x: x ^ (x >> 29))(((h ^ (h >> 31)) * mix) & mask)
+    words, buckets, hashes = (text or "").split(), [], []
+    for w in words:
+        data = ("<" + w + ">").encode()
+        hashes.append(mixed(zlib.crc32(data) + (1 << 40)))
+        buckets.append(hashes[-1] % len(model.logit))
+        for n in quality_classifier.NGRAMS:
+            for i in range(len(data) - n + 1):
+                h = n
+                for c in data[i : i + n]:
+                    h = (h * 257 + c) & mask
+                buckets.append(mixed(h) % len(model.logit))
+    buckets += [0 if a == b else mixed((a * 31 + b) & mask) % len(model.logit) for a, b in zip(hashes, hashes[1:])]
+    if not buckets:
+        return model.share
+    z = sum(float(model.logit[b]) for b in buckets) / len(buckets) + model.bias
+    trust = len(buckets) / (len(buckets) + model.trust)
+    z = trust * z + (1 - trust) * np.log(model.share / (1 - model.share))
+    return 1 / (1 + np.exp(-max(-30, min(30, z))))
+
+
+def test_quality_scores_by_hand(spark, docs, texts, sf_dir):
+    model = quality_classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), epochs=2)
+    some = docs.where("doc_id < 60 or doc_id >= 10000").select("doc_id", "text").unionByName(spark.createDataFrame([(99_999, "long words " * 20_000)], "doc_id bigint, text string"))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(some, model).collect()}
+    for i, s in got.items():
+        assert s == pytest.approx(score_by_hand(model, "long words " * 20_000 if i == 99_999 else texts[i]), abs=1e-6), i
+    # The folded model is the softmax of the averaged vectors: two texts trained for long enough are told apart.
+    plain = quality_classifier.train(["good fine words here", "bad awful junk there"] * 20, np.array([1, 0] * 20), epochs=20)
+    plain.trust = 0
+    assert score_by_hand(plain, "good fine words here") > 0.9 and score_by_hand(plain, "bad awful junk there") < 0.1
+
+
 def test_quality_classifier_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op8_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
@@ -266,6 +467,19 @@ def test_language_id(spark, docs, sf_dir):
     assert {r["lang_pred"] for r in language_id.identify(rows, nothing).collect()} == {"und"}
 
 
+def test_long_texts_and_samples(spark):
+    from skywright.llm import common
+
+    model = language_id.train(["the house is red and big " * 9, "der hund und die katze sind im haus " * 8], ["en", "de"])
+    rows = spark.createDataFrame([(1, "the house is big " * 20_000), (2, "der hund und die katze " * 20_000)], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in language_id.identify(rows, model).orderBy("doc_id").collect()] == ["en", "de"]
+    many = spark.range(50_000).withColumn("x", F.lit(1)).unionByName(spark.range(30_000).select(F.lit(7).cast("long").alias("id"), F.lit(1).alias("x")))
+    got = sorted(r["id"] for r in common.sample_by_hash(many, "id", 500).collect())
+    want = many.distinct().select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(500).collect()
+    assert got == sorted(r["id"] for r in want)
+    assert common.sample_by_hash(many.limit(0), "id", 5).count() == 0 and common.sample_by_hash(spark.range(9), "id", 50).count() == 9
+
+
 def test_blockwise_forward_backward_is_exact():
     texts = ["the house is red and big " * 9, "der hund und die katze sind im haus " * 8, "le chat et la maison sont petits " * 7] * 4
     model = language_id.train(texts, ["en", "de", "fr"] * 4, epochs=3)
