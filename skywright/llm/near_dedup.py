@@ -36,6 +36,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 3
 PIVOTS = 3
+#: Partners of a pivot in one block.
+PARTNERS = 1000
 #: Rows of a frequent shingle in one block.
 BLOCK = 500
 #: Counters of shingle frequencies, as a power of two.
@@ -200,8 +202,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, node binary, n bigint, keys array<bigint>")
 
 
-def candidates(reps: DataFrame, pivots: int = PIVOTS, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) to compare, from reps (rep, n, keys): every member of a bucket with the bucket's pivots."""
+def candidates(reps: DataFrame, pivots: int = PIVOTS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare, from reps (rep, n, keys): every member of a bucket with the bucket's pivots; and the members (key, rep, n, count) of all buckets."""
     bands = reps.select("rep", "n", F.explode("keys").alias("key"))
     sizes = materialize(bands.groupBy("key").count().where("count > 1"), "near-buckets")
     live = materialize(bands.join(sizes, "key"), "near-members")
@@ -211,7 +213,7 @@ def candidates(reps: DataFrame, pivots: int = PIVOTS, similarity: float = SIMILA
     best = materialize(best.select("key", F.array_compact(F.array(*[f"p{k}" for k in range(pivots)])).alias("pivots")), "near-pivots")
     pairs = live.select("key", "rep", "n").join(best, "key").select("rep", "n", F.explode("pivots").alias("p"))
     pairs = pairs.where((F.col("rep") != F.col("p.rep")) & (F.least("n", "p.n") >= similarity * F.greatest("n", "p.n") - 1e-9))
-    return pairs.groupBy(F.col("p.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared")).select("a", "b")
+    return pairs.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), live
 
 
 def _labelled(s: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -228,10 +230,10 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def rest(reps: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) to compare, of different components, among the members of buckets with several; without those done.
+def rest(live: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) to compare, of different components, among the members of buckets (live) with several; without those done.
 
-    labels: node, label of the linked reps. An exact set-similarity join takes the place of all pairs of a bucket: a text's shingles are
+    labels: node, label of the linked members. An exact set-similarity join takes the place of all pairs of a bucket: a text's shingles are
     put in one order, rare ones first, and texts as similar as asked for share one of their first n - ceil(similarity * n) + 1. A
     shingle's rows go where no partner is short enough for its position, and the others are paired by length and position. Frequencies
     are counted in a fixed number of counters by hash: a collision changes the order, which is right in any case, and not the result.
@@ -240,11 +242,11 @@ def rest(reps: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, i
 
     prepare(docs.sparkSession)
     spark = docs.sparkSession
-    kind = reps.schema["rep"].dataType.simpleString()
+    kind = live.schema["rep"].dataType.simpleString()
     found = labels.select(F.col("node").alias("rep"), "label")
-    bands = reps.join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.explode("keys").alias("key"))
     # The two members of a bucket of two have been compared.
-    mixed = bands.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("count")).where("low <> high and count > 2").select("key")
+    bands = live.where("count > 2").join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "key")
+    mixed = bands.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     members = materialize(bands.join(mixed, "key", "left_semi").select(F.col("rep").alias("id"), "label").distinct(), "near-mixed")
     n = members.count()
     if not n:
@@ -347,7 +349,13 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
         need = F.broadcast(need)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi")
     texts = materialize(texts, "near-texts")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    # A pivot with very many partners has them in blocks, each with a copy of its text.
+    crowded = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks")).where("blocks > 1"), "near-crowded")
+    few = F.broadcast(crowded) if crowded.count() <= MOST_BROADCAST else crowded
+    blocks = F.coalesce("blocks", F.lit(1))
+    pairs = pairs.join(few, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(few, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "block"])
 
     def run(batches):
         v = Verifier(similarity)
@@ -364,10 +372,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sk = materialize(sketches(docs, id_col, text_col), "near-sketches")
     reps = sk.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min_by("keys", "id").alias("keys"))
     reps = materialize(reps, "near-reps")
-    pairs = materialize(candidates(reps.select("rep", "n", "keys")), "near-pairs")
+    pairs, live = candidates(reps.select("rep", "n", "keys"))
+    pairs = materialize(pairs, "near-pairs")
     links = materialize(verified(pairs, docs, id_col, text_col), "near-links")
     labels = components(links)
-    more = materialize(rest(reps, labels, pairs, docs, id_col, text_col), "near-rest")
+    more = materialize(rest(live, labels, pairs, docs, id_col, text_col), "near-rest")
     if not more.isEmpty():
         labels = materialize(joined(labels, materialize(verified(more, docs, id_col, text_col), "near-more-links")), "near-labels")
     of = reps.select("node", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("node", F.coalesce("label", "rep").alias("class"))
