@@ -77,6 +77,13 @@ def test_quality_rules_verdicts_by_hand(docs, texts):
     assert seen == {0, 1, 2, 3}
 
 
+def test_quality_statistics_of_long_texts(spark):
+    long = [" ".join(f"w{i % 30_011}" for i in range(60_000)), "A#1. " * 40_000, "line one\n" * 20_000, "é😀" * 50_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string")
+    for r in quality_rules.judge(df, quality_rules.DecisionList([]), keep=["doc_id"]).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base_stats(long[r["doc_id"]])
+
+
 def test_clashing_names(spark, docs, tmp_path):
     names = ["__stats", "__id", "__base", "row", "id", "h", "t", "word_chars", "kept", "rule", "terms", "spans"]
     odd = docs.select("doc_id", "text", F.lit(5).alias("n_words"), *[F.lit(n).alias(n) for n in names])
