@@ -53,7 +53,7 @@ def _covered(hashes: Column) -> Column:
 
 def repeat_words(words: Column) -> Column:
     """Words in windows of eight words that are found twice or more in the text, the first included."""
-    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    each = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
     some = lambda w: F.when(F.array_size(F.array_distinct(w)) == F.array_size(w), F.lit(0)).otherwise(_covered(w))
     return let(words, lambda w: F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(let(F.transform(w, lambda x: F.xxhash64(x)), each), some)))
 
@@ -67,18 +67,20 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     """The kept columns (all by default) and one column `as_`, a struct of counts and of the features."""
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    spaces = without(SPACES)
+    # One character stands for its class, so one pass over the text tells all classes apart.
+    classes = {" ": SPACES, "#": SYMBOLS, "A": UPPER, "0": "0123456789", ".": "!?.,;:"}
+    marked = F.translate(text, "".join(classes.values()), "".join(mark * len(chars) for mark, chars in classes.items()))
+    count_of = lambda m, mark: F.length(m) - F.length(F.replace(m, F.lit(mark), F.lit("")))
     counts = let(words_of(text), lambda w: F.struct(F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"), repeat_words(w).alias("n_repeat_words")))
-    raw = let(counts, lambda c: let(dup_lines(text), lambda d: F.struct(
+    raw = let(counts, lambda c: let(dup_lines(text), lambda d: let(marked, lambda m: F.struct(
         c["n_words"].cast("long").alias("n_words"),
-        (F.length(text) - spaces).cast("long").alias("word_chars"),
-        without(SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.replace(m, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+        count_of(m, "#").cast("long").alias("n_symbols"),
         d["dup"].cast("long").alias("n_dup_lines"),
         c["n_repeat_words"].cast("long").alias("n_repeat_words"),
         d["n"].alias("n_lines"), c["n_distinct"].alias("n_distinct"),
-        without(UPPER).alias("n_upper"), without("0123456789").alias("n_digits"), without("!?.,;:").alias("n_marks"),
-    )))
+        count_of(m, "A").alias("n_upper"), count_of(m, "0").alias("n_digits"), count_of(m, ".").alias("n_marks"),
+    ))))
 
     def features(c: Column) -> Column:
         part = lambda a, b: F.round(c[a] / F.greatest(c[b].cast("double"), F.lit(1.0)), 6)
