@@ -73,7 +73,7 @@ def test_pace_of_each_source(spark, tmp_path):
         while time.time() < end and spark.table("paced").count() < 5:
             time.sleep(0.2)
         starts = sorted(r[0] for r in spark.table("paced").select("timestamp").distinct().collect())
-        assert len(starts) == 5 and starts[-1] - starts[1] >= 2.7  # one message a trigger, a second apart; the first trigger may be late
+        assert len(starts) == 5 == len({int(t) for t in starts})  # one message a trigger, and one trigger in each second
     finally:
         query.stop()
     assert live.PAUSE == {"drone": 0.5, "satellite": 5.0, "gis": 2.0, "social": 1.0}
