@@ -1,11 +1,11 @@
-"""Queries and oracle SQL of the ten training-data operators, each over its whole table with production parameters."""
+"""Queries and oracle SQL of the training-data operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, language_id, license_scan, near_dedup, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
+from . import bpe, decontam, exact_dedup, fill_in_middle, language_id, license_scan, near_dedup, pii, quality_classifier, quality_rules, spelling, suffix_dedup, url_filter
 from .common import table
 
 
@@ -68,6 +68,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def planted_slip(id_: Column, word: Column) -> Column:
+    """The contract's slips: of each 31st place by hash, one letter is left out. Without an id there is none."""
+    h = F.crc32(F.concat(id_.cast("string"), F.lit(":"), word))
+    return F.when(h % 31 == 0, spelling.without_letter(word, (h % F.length(word)).cast("int"))).otherwise(word)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), change=planted_slip))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -79,6 +97,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -108,8 +129,28 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+#: Every place's word by CRC-32 (its table is made by the rule of eight shifts), all pairs by keys, and forms followed to their ends.
+_OP12 = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents),
+l AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM r WHERE length(w) >= 7),
+b AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, CAST(length(hex(encode(doc_id || ':' || w))) // 2 AS BIGINT) + 1), lambda i: ('0x' || substr(hex(encode(doc_id || ':' || w)), 2 * i - 1, 2))::BIGINT)),
+  lambda c, x: xor(c >> 8, crc.t[CAST(xor(c % 256, x) AS BIGINT) + 1])), 4294967295) AS h FROM l, crc),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word FROM b),
+v AS (SELECT word, count(*) AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+k AS (SELECT DISTINCT word, n, unnest(list_concat([word], list_transform(range(length(word)), lambda i: substr(word, 1, i) || substr(word, i + 2)))) AS k FROM v),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.k = b.k AND a.word <> b.word
+  WHERE a.k IN (a.word, b.word) OR len(list_filter(range(1, length(a.word) + 1), lambda i: a.word[i] <> b.word[i])) = 1),
+g AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN g USING (word)),
+s AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON f.word = s.next)
+SELECT f.word, f.form, s.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN s ON s.word = f.word AND s.next IS NULL"""
+
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": _OP3,
     "op4_license_scan": license_scan.oracle(),
     "op5_decontamination": _OP5,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_spelling_variants": _OP12,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
