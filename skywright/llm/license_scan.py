@@ -7,10 +7,13 @@ and a block with the needed overlap must hold one of the template's first n - ne
 with the templates on these words; pairs go where the text is too short or has too few of the template's words (length filter). Only texts
 left are read again: a block can start at a word of the template only, and only if as many of its words as needed follow within the
 block's length (positional filter); then the overlap is counted. Templates of different labels with so many words in common that a block of one
-passes for the other are rivals: where the best blocks of two overlap, the smaller share, or else the shorter template, yields. The template side of each join is small by the caller's list, which is checked.
+passes for the other are rivals. Every block with the needed overlap is found; of overlapping blocks of one template the best one is kept
+(largest overlap, then one that begins as the template does, then the shortest, then the first), and of overlapping blocks of rivals the one
+that does not begin as its template does yields, or else the one with the smaller share, or else of the shorter template. Blocks yield for themselves, so a label stays if one of its blocks does. The template side of each
+join is small by the caller's list, which is checked.
 
 Defined cases: a null or empty text has no words, labels or blocks (score 0); the same words found twice count twice in n_base and
-once in labels; of blocks with equal overlap the first is listed; of a label's templates the best one is; templates without words are left
+once in labels; of a label's blocks the one with the largest share is listed, of equal ones the first; templates without words are left
 out; rows that share id and text share their result; very long texts are read whole; an empty table gives no rows; without templates only the
 base stays; other columns are ignored, whatever their names.
 """
@@ -96,20 +99,20 @@ def span_of(n: int) -> int:
     return int(STRETCH * n + 0.999999)
 
 
-def prepared(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, dict[str, int], int, int, int]]:
-    """(number, label, words with their counts, words in all, needed overlap, words of a block) of every template with words."""
+def prepared(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, dict[str, int], int, int, int, str]]:
+    """(number, label, words with their counts, words in all, needed overlap, words of a block, first word) of every template with words."""
     out = []
     for label, text in templates:
         if words := plain_words(text):
             count = {w: words.count(w) for w in sorted(set(words))}
-            out.append((len(out), label, count, len(words), need_of(len(words), threshold), span_of(len(words))))
+            out.append((len(out), label, count, len(words), need_of(len(words), threshold), span_of(len(words)), words[0]))
     return out
 
 
 def rivals_of(sets: list[tuple]) -> dict[int, list[int]]:
     """For every template those of other labels with so many of the same words that a block of one can pass for the other."""
     common = lambda a, b: sum(min(c, b[w]) for w, c in a.items() if w in b)
-    return {k: [j for j, other, words_j, _, need_j, _ in sets if other != label and common(words, words_j) >= min(need, need_j)] for k, label, words, _, need, _ in sets}
+    return {k: [j for j, other, words_j, _, need_j, *_ in sets if other != label and common(words, words_j) >= min(need, need_j)] for k, label, words, _, need, *_ in sets}
 
 
 MATCHES = "array<struct<label:string,containment:double,start:bigint,end:bigint>>"
@@ -117,25 +120,61 @@ MATCHES = "array<struct<label:string,containment:double,start:bigint,end:bigint>
 MOST_BROADCAST = 100_000
 
 
-def _best_block(words: Column, tw: Column, tc: Column, need: Column, span: Column) -> Column:
-    """(overlap, minus start) of the best block of a template (words tw, counts tc); words: all of the text."""
+def _blocks(words: Column, tw: Column, tc: Column, need: Column, span: Column, first: Column) -> Column:
+    """(overlap n, start, end, begins: with the template's first word) of every block of a template (words tw, counts tc) with the needed overlap; words: all of the text.
+
+    A block starts at a word of the template and ends with the last word that counts, so what merely follows is not in it.
+    """
     hits = F.filter(F.transform(words, lambda w, p: F.struct(p.alias("p"), F.array_position(tw, w).cast("int").alias("r"))), lambda x: x["r"] > 0)
 
-    def overlap(ranks: Column) -> Column:
-        count = lambda r: F.least(F.size(F.filter(ranks, lambda y: y == r)), F.element_at(tc, r))
-        return F.aggregate(F.array_distinct(ranks), F.lit(0), lambda a, r: a + count(r))
+    def counted(inside: Column) -> Column:
+        """Of each template word in a block: how often it counts, and where for the last time."""
+        ranks = F.array_distinct(F.transform(inside, lambda y: y["r"]))
+        most = lambda own, r: F.least(F.size(own), F.element_at(tc, r))
+        return F.transform(ranks, lambda r: let(F.filter(inside, lambda y: y["r"] == r), lambda own: F.struct(most(own, r).alias("n"), F.element_at(own, most(own, r))["p"].alias("last"))))
 
     def of_hits(m: Column) -> Column:
-        def start(x: Column, k: Column) -> Column:
-            block = F.transform(F.filter(F.slice(m, k + 1, span), lambda y: y["p"] < x["p"] + span), lambda y: y["r"])
-            enough = F.get(m, k + need - 1)["p"] < x["p"] + span
-            return F.struct(F.when(enough, let(block, overlap)).otherwise(0).alias("n"), (-x["p"]).alias("at"))
+        def block(x: Column, k: Column) -> Column:
+            inside = F.filter(F.slice(m, k + 1, span), lambda y: y["p"] < x["p"] + span)
+            total = lambda c: F.aggregate(c, F.lit(0), lambda a, y: a + y["n"])
+            end = lambda c: F.array_max(F.transform(c, lambda y: y["last"])) + 1
+            found = let(let(inside, counted), lambda c: F.struct(total(c).alias("n"), x["p"].alias("start"), end(c).alias("end"), (F.get(words, x["p"]) == first).alias("begins")))
+            return F.when(F.get(m, k + need - 1)["p"] < x["p"] + span, found)
 
-        return F.array_max(F.transform(m, start))
+        return F.filter(F.transform(m, block), lambda b: b["n"] >= need)
 
     return let(hits, of_hits)
 
 
+def _unbeaten(blocks: DataFrame, beats: Column, width: int) -> DataFrame:
+    """blocks (a) without those that overlap a block (b) of the same text which beats them; width: most words of a block.
+
+    Blocks meet in stretches of `width` words of their text, each in two at most, so a text with very many notices makes no pairs of all.
+    """
+    rows = blocks.withColumn("place", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.place") == F.col("b.place"))
+    overlap = (F.col("b.start") < F.col("a.end")) & (F.col("a.start") < F.col("b.end"))
+    lost = rows.alias("a").join(rows.alias("b"), same & overlap & beats, "left_semi").select("id", "h", "template", "start").distinct()
+    mine = F.col("a.id").eqNullSafe(F.col("l.id"))
+    for c in ("h", "template", "start"):
+        mine = mine & (F.col(f"a.{c}") == F.col(f"l.{c}"))
+    return blocks.alias("a").join(lost.alias("l"), mine, "left_anti")
+
+
+def _ahead(keys: list[tuple[str, int]]) -> Column:
+    """Is block b ahead of block a by these columns, one after the other (1: larger is better, -1: smaller is)?"""
+    out = F.lit(False)
+    for c, sign in reversed(keys):
+        x, y = F.col(f"b.{c}") * sign, F.col(f"a.{c}") * sign
+        out = (x > y) | ((x == y) & out)
+    return out
+
+
+#: Of overlapping blocks of one template the best stays; of overlapping blocks of rivals too.
+_MAXIMAL = [("overlap", 1), ("begins", 1), ("size", -1), ("start", -1)]
+_BETTER = [("begins", 1), ("containment", 1), ("n", 1)]
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, places (base), matches (label, containment and words of its best block), in the order of labels."""
     spark = docs.sparkSession
@@ -155,14 +194,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     base = materialize(base, "license-words")
     count = {r["w"]: r["count"] for r in base.select(F.explode("seen").alias("w")).groupBy("w").count().collect()}  # a row for each template word at most
     rows, rivals = [], rivals_of(sets)
-    for k, label, words, n, need, span in sets:
+    for k, label, words, n, need, span, first in sets:
         left = n - need + 1
         for w in sorted(words, key=lambda w: (count.get(w, 0), w)):
-            rows.append((w, k, label, list(words), list(words.values()), n, need, span, rivals[k]))
+            rows.append((w, k, label, list(words), list(words.values()), n, need, span, first, rivals[k]))
             left -= words[w]
             if left <= 0:
                 break
-    side = spark.createDataFrame(rows, "w string, template int, label string, tw array<string>, tc array<int>, n int, need int, span int, rivals array<int>")
+    side = spark.createDataFrame(rows, "w string, template int, label string, tw array<string>, tc array<int>, n int, need int, span int, first string, rivals array<int>")
     rare = F.array(*map(F.lit, sorted({r[0] for r in rows})))
     firsts = base.select("id", "h", "n_words", "seen", F.explode(F.array_intersect("seen", rare)).alias("w"))
     pairs = firsts.join(F.broadcast(side), "w").where(F.col("n_words") >= F.col("need"))
@@ -174,15 +213,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     again = docs.withColumn("h", F.xxhash64("t")).alias("d").join(pairs.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.h") == F.col("p.h")))
     again = again.select("d.id", "d.h", once(words_of(ascii_lower(F.col("t")))).alias("words"), F.explode("templates").alias("template"))
     again = again.join(F.broadcast(side.drop("w").dropDuplicates(["template"])), "template")
-    best = again.select("id", "h", "template", "label", "rivals", "n", "need", "span", F.size("words").alias("size"), once(_best_block(F.col("words"), F.col("tw"), F.col("tc"), F.col("need"), F.col("span"))).alias("b")).where(F.col("b.n") >= F.col("need"))
-    one = F.struct("template", "label", "rivals", "n", (F.col("b.n") / F.col("n")).alias("containment"), (-F.col("b.at")).cast("long").alias("start"), F.least(F.col("span") - F.col("b.at"), F.col("size")).cast("long").alias("end"))
-    best = best.select("id", "h", one.alias("m")).groupBy("id", "h").agg(F.collect_list("m").alias("ms"))  # a row for each template at most
-    better = lambda a, b: (b["containment"] > a["containment"]) | ((b["containment"] == a["containment"]) & (b["n"] > a["n"]))
-    yields = lambda a: F.exists("ms", lambda b: F.array_contains(a["rivals"], b["template"]) & better(a, b) & (b["start"] < a["end"]) & (a["start"] < b["end"]))
-    best = best.select("id", "h", once(F.filter("ms", lambda a: ~yields(a))).alias("ms"))
-    of = lambda label: F.array_max(F.transform(F.filter("ms", lambda x: x["label"] == label), lambda x: F.struct(x["containment"], (-x["start"]).alias("at"), x["end"])))
-    matches = F.transform(F.sort_array(F.array_distinct(F.transform("ms", lambda x: x["label"]))), lambda label: let(of(label), lambda m: F.struct(label.alias("label"), m["containment"].alias("containment"), (-m["at"]).alias("start"), m["end"].alias("end"))))
-    best = materialize(best.select("id", "h", matches.alias("matches")), "license-found")
+    found = again.select("id", "h", "template", "label", "rivals", "n", F.explode(once(_blocks(F.col("words"), F.col("tw"), F.col("tc"), F.col("need"), F.col("span"), F.col("first")))).alias("b"))
+    size = (F.col("b.end") - F.col("b.start")).alias("size")
+    found = found.select("id", "h", "template", "label", "rivals", "n", F.col("b.n").alias("overlap"), (F.col("b.n") / F.col("n")).alias("containment"), F.col("b.begins").cast("int").alias("begins"), size, F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
+    found, width = materialize(found, "license-blocks"), max(s[5] for s in sets)
+    found = materialize(_unbeaten(found, (F.col("a.template") == F.col("b.template")) & _ahead(_MAXIMAL), width), "license-maximal")
+    best = _unbeaten(found, F.array_contains("a.rivals", F.col("b.template")) & _ahead(_BETTER), width)
+    best = best.groupBy("id", "h", "label").agg(F.max(F.struct("containment", (-F.col("start")).alias("at"), "end")).alias("m"))
+    entry = F.struct("label", F.col("m.containment").alias("containment"), (-F.col("m.at")).alias("start"), F.col("m.end").alias("end"))
+    best = best.groupBy("id", "h").agg(F.sort_array(F.collect_list(entry)).alias("matches"))  # a label each, of the caller's templates
+    best = materialize(best, "license-found")
     if best.count() <= MOST_BROADCAST:
         best = F.broadcast(best)
     out = base.alias("b").join(best.alias("f"), F.col("b.id").eqNullSafe(F.col("f.id")) & (F.col("b.h") == F.col("f.h")), "left")
@@ -204,7 +244,7 @@ def oracle() -> str:
     rx = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
     sets = prepared(TEMPLATES, THRESHOLD)
-    temps = ", ".join(f"({k}, {q(label)}, {n}, {need}, {span})" for k, label, _, n, need, span in sets)
+    temps = ", ".join(f"({k}, {q(label)}, {n}, {need}, {span}, {q(first)})" for k, label, _, n, need, span, first in sets)
     words = ", ".join(f"({k}, {q(w)}, {c})" for k, _, count, *_ in sets for w, c in count.items())
     rivals = ", ".join(f"({k}, {j})" for k, js in rivals_of(sets).items() for j in js)
     cases = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = {q(x)}" for k, x in enumerate(p.split(" "))) + f" THEN {q(label)}" for p, label in PHRASES.items())
@@ -213,17 +253,18 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {uppe
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 p AS (SELECT doc_id, i - 1 AS start, CASE {cases} END AS label FROM i),
 b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id),
-t(k, label, n, need, span) AS (VALUES {temps}),
+t(k, label, n, need, span, first) AS (VALUES {temps}),
 v(k, word, c) AS (VALUES {words}),
 rival(k, j) AS (VALUES {rivals}),
 h AS (SELECT doc_id, k, i, word, c FROM (SELECT doc_id, i, w[i] AS word FROM i) JOIN v USING (word)),
 x AS (SELECT doc_id, k FROM (SELECT doc_id, k, least(count(*), max(c)) AS most FROM h GROUP BY doc_id, k, word) JOIN t USING (k) GROUP BY doc_id, k HAVING sum(most) >= max(need)),
-o AS (SELECT s.doc_id, s.k, s.i, e.word, least(count(*), max(e.c)) AS n FROM h s JOIN x ON x.doc_id = s.doc_id AND x.k = s.k JOIN t ON t.k = s.k
+o AS (SELECT s.doc_id, s.k, s.i, e.word, least(count(*), max(e.c)) AS n, list_sort(list(e.i))[least(count(*), max(e.c))] AS z FROM h s JOIN x ON x.doc_id = s.doc_id AND x.k = s.k JOIN t ON t.k = s.k
   JOIN h e ON e.doc_id = s.doc_id AND e.k = s.k AND e.i >= s.i AND e.i < s.i + t.span GROUP BY s.doc_id, s.k, s.i, e.word),
-c AS (SELECT doc_id, k, i, sum(n) AS n FROM o GROUP BY doc_id, k, i),
-f AS (SELECT c.doc_id, k, label, t.n, max(c.n) / t.n AS containment, arg_max(i, (c.n, -i)) AS a, least(arg_max(i, (c.n, -i)) + t.span, max(size) + 1) AS z FROM c JOIN t USING (k) JOIN (SELECT doc_id, len(w) AS size FROM w) USING (doc_id) WHERE c.n >= need GROUP BY c.doc_id, k, label, t.n, t.span),
+c AS (SELECT doc_id, k, i AS a, sum(n) AS n, max(z) + 1 AS z FROM o GROUP BY doc_id, k, i),
+e AS (SELECT c.doc_id, c.k, label, t.n, c.n / t.n AS containment, a, z, CAST(w[a] = first AS INTEGER) AS begins, (c.n, CAST(w[a] = first AS INTEGER), a - z, -a) AS rank FROM c JOIN t USING (k) JOIN w ON w.doc_id = c.doc_id WHERE c.n >= need),
+f AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.doc_id = e.doc_id AND b.k = e.k AND b.a < e.z AND e.a < b.z AND b.rank > e.rank)),
 m AS (SELECT doc_id, max(containment) AS c, list(DISTINCT label) AS labels FROM f WHERE NOT EXISTS (SELECT 1 FROM f b JOIN rival ON rival.j = b.k
-  WHERE b.doc_id = f.doc_id AND rival.k = f.k AND (b.containment > f.containment OR (b.containment = f.containment AND b.n > f.n)) AND b.a < f.z AND f.a < b.z) GROUP BY doc_id)
+  WHERE b.doc_id = f.doc_id AND rival.k = f.k AND (b.begins, b.containment, b.n) > (f.begins, f.containment, f.n) AND b.a < f.z AND f.a < b.z) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,

@@ -169,6 +169,75 @@ def test_license_blocks_by_hand(spark):
     assert found > 60
 
 
+def license_blocks(words, templates, threshold):
+    """Maximal blocks of every template: (template, rank among rivals, start, end)."""
+    out = []
+    for k, (_, t) in enumerate(templates):
+        t = WORD.findall(lower(t))
+        span, found = int(np.ceil(license_scan.STRETCH * len(t))), []
+        for i, w in enumerate(words):
+            if w not in t:
+                continue
+            n, end, seen = 0, i, {}
+            for j in range(i, min(len(words), i + span)):
+                seen[words[j]] = seen.get(words[j], 0) + 1
+                if seen[words[j]] <= t.count(words[j]):
+                    n, end = n + 1, j + 1
+            if n >= np.ceil(threshold * len(t) - 1e-9):
+                found.append((n, w == t[0], i - end, -i, i, end))
+        out += [(k, (b[1], b[0] / len(t), len(t)), *b[4:]) for b in found if not any(c[4] < b[5] and b[4] < c[5] and c > b for c in found)]
+    return out
+
+
+def license_labels(text, templates, threshold, with_rivals=True):
+    bag = lambda k: {w: WORD.findall(lower(templates[k][1])).count(w) for w in WORD.findall(lower(templates[k][1]))}
+    need = lambda k: np.ceil(threshold * sum(bag(k).values()) - 1e-9)
+    rival = lambda j, k: templates[j][0] != templates[k][0] and sum(min(c, bag(k).get(w, 0)) for w, c in bag(j).items()) >= min(need(j), need(k))
+    blocks = license_blocks(WORD.findall(lower(text)), templates, threshold)
+    lost = lambda a: any(b[2] < a[3] and a[2] < b[3] and b[1] > a[1] and rival(a[0], b[0]) for b in blocks)
+    return sorted({templates[a[0]][0] for a in blocks if not (with_rivals and lost(a))})
+
+
+def test_no_label_is_lost_beside_a_rival(spark):
+    """Every two confusable notices in either order, near each other and far apart: both labels are found, by hand and by the operator."""
+    templates = license_scan.TEMPLATES
+    sets = license_scan.prepared(templates, license_scan.THRESHOLD)
+    pairs = sorted({tuple(sorted((k, j))) for k, js in license_scan.rivals_of(sets).items() for j in js})
+    assert len(pairs) > 20
+    rows, want = [], []
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            for gap in (" ", " filler" * 300 + " "):
+                rows.append((len(rows), templates[x][1] + gap + templates[y][1]))
+                want.append({templates[x][0], templates[y][0]})
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(templates)]
+    want += [{label} for label, _ in templates]
+    got = {r["doc_id"]: [m["label"] for m in r["matches"]] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        assert got[i] == license_labels(text, templates, license_scan.THRESHOLD), text
+        assert want[i] <= set(license_labels(text, templates, license_scan.THRESHOLD, False))  # without the rule of rivals no label is missing
+        assert want[i] <= set(got[i]), text
+        if "filler" in text:
+            assert set(got[i]) == want[i], text
+
+
+def test_blocks_of_random_rivals_by_hand(spark):
+    rng = np.random.default_rng(5)
+    templates = [("a", "p q r s t u"), ("b", "p q r s t u v"), ("c", "q r s t u v w x"), ("a", "v w x y"), ("d", "p p q q r")]
+    rows = [(i, " ".join(rng.choice(list("pqrstuvwxyz"), rng.integers(0, 50)))) for i in range(250)]
+    rows += [(i, " z ".join(templates[int(k)][1] for k in rng.integers(0, 5, 4))) for i in range(250, 330)]
+    got = {r["doc_id"]: [m["label"] for m in r["matches"]] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates, 0.8).collect()}
+    for i, text in rows:
+        assert got[i] == license_labels(text, templates, 0.8), text
+    assert sum(map(len, got.values())) > 200
+
+
+def test_very_many_notices_in_one_text(spark):
+    one = "Licensed under CC BY-NC 4.0 and so on. Licensed under CC BY 4.0 as well. "
+    got = license_scan.scan(spark.createDataFrame([(1, one * 3000)], "doc_id bigint, text string")).first()
+    assert [m["label"] for m in got["matches"]] == ["cc-by", "cc-by-nc"] and [m["start"] for m in got["matches"]] == [10, 0]
+
+
 def brute_decontam(texts, items):
     win = {}
     for k, t in items:
