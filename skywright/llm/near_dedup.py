@@ -14,9 +14,12 @@ through its centre, in any of the bands. Then the members of buckets that still
 and position filter on their shingles, which leaves the pairs that can be similar, whatever the bucket's size. So every two similar members of
 a bucket are compared or in one class, and no bucket is cut. Classes are the connected components of the links.
 
+Nodes are keyed by the digest of their words all the way, never by an id, since one id can stand on several texts; ids come in at the end.
+
 Defined cases: a null text, or one without words, is a class of its own; a text of one to four words has one shingle, all its words;
-rows that repeat id and text are one document; the class id is the smallest id in the class; ties between pivots go to the larger id;
-very long texts are sketched whole, one at a time, and aligned in the band that the threshold leaves; an empty table gives no rows;
+rows that repeat id and text are one document, and rows of one id with different texts are different documents, each in the class of its text;
+the class id is the smallest id in the class; a null id is in the class of its text and names a class only if the class has no other id; ties
+between pivots go to the larger digest; very long texts are sketched whole, one at a time, and aligned in the band that the threshold leaves; an empty table gives no rows;
 other columns are ignored, whatever their names.
 """
 
@@ -27,8 +30,9 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, materialize, prepare
+from .common import chunks, fresh, materialize, prepare, release, without_ids
 from .components import components, joined
 from .decontam import normalise
 
@@ -202,8 +206,43 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, node binary, n bigint, keys array<bigint>")
 
 
+def with_nodes(rows: DataFrame, id_col: str, text_col: str, name: str = "node") -> DataFrame:
+    """rows with the digest of their text's words (empty without words), as sketches() gives it."""
+    import pyarrow as pa
+    import xxhash
+
+    prepare(rows.sparkSession)
+    names = rows.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            norm = (normalise(t) for t in batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh128_digest(t) if t else b"" for t in norm], pa.binary())], [*names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and text of the given nodes (a column); firsts: node and one of its ids.
+
+    The ids select the rows to read, and the rows' digests tell which of an id's texts is meant.
+    """
+    need = materialize(nodes.distinct().join(firsts, "node"), "near-need")
+    n = need.count()
+    few = F.broadcast(need) if n <= MOST_BROADCAST else need
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = with_nodes(rows.join(few.select(F.col("id").alias("i")), F.col("id").eqNullSafe(F.col("i")), "left_semi"), "id", "text")
+    texts = materialize(rows.select("node", "text").join(few.select("node"), "node", "left_semi"), "near-texts")
+    if texts.count() == n:
+        return texts
+    once = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "near-texts")  # repeated rows
+    release(texts)
+    return once
+
+
 def candidates(reps: DataFrame, pivots: int = PIVOTS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare, from reps (rep, n, keys): every member of a bucket with the bucket's pivots; and the members (key, rep, n, count) of all buckets."""
+    """Pairs (a, b) of nodes to compare, from reps (rep: a node, n, keys): every member of a bucket with the bucket's pivots; and the members (key, rep, n, count) of all buckets."""
     bands = reps.select("rep", "n", F.explode("keys").alias("key"))
     sizes = materialize(bands.groupBy("key").count().where("count > 1"), "near-buckets")
     live = materialize(bands.join(sizes, "key"), "near-members")
@@ -230,7 +269,7 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def rest(live: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+def rest(live: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) to compare, of different components, among the members of buckets (live) with several; without those done.
 
     labels: node, label of the linked members. An exact set-similarity join takes the place of all pairs of a bucket: a text's shingles are
@@ -252,8 +291,8 @@ def rest(live: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, i
     if not n:
         return done.select("a", "b").limit(0)
     few = F.broadcast(members) if n <= MOST_BROADCAST else members
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(few, "id")
-    texts = materialize(texts.groupBy("id", "label").agg(F.first("text").alias("text")), "near-mixed-texts")
+    texts = texts_of(members.select(F.col("id").alias("node")), docs, firsts, id_col, text_col)
+    texts = texts.select(F.col("node").alias("id"), "text").join(few, "id").select("id", "label", "text")
 
     def tokens(batch, s: Sketcher):
         texts = batch.column(2).to_pylist()
@@ -339,23 +378,18 @@ def rest(live: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, i
     return pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough, with their similarity."""
     import pyarrow as pa
 
-    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    need = materialize(need, "near-need")
-    if need.count() <= MOST_BROADCAST:
-        need = F.broadcast(need)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi")
-    texts = materialize(texts, "near-texts")
+    texts = texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), docs, firsts, id_col, text_col)
     # A pivot with very many partners has them in blocks, each with a copy of its text.
     crowded = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks")).where("blocks > 1"), "near-crowded")
     few = F.broadcast(crowded) if crowded.count() <= MOST_BROADCAST else crowded
     blocks = F.coalesce("blocks", F.lit(1))
     pairs = pairs.join(few, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(few, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "block"])
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(few, "a", "left").select("a", "ta", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "block"])
 
     def run(batches):
         v = Verifier(similarity)
@@ -367,19 +401,54 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, similarity double").where("similarity > 0")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (the smallest id of the class) and n_shingles of every row."""
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, node, n (shingles), label (a node of the class) and first (id and node of its first member; null without words) of every row."""
     sk = materialize(sketches(docs, id_col, text_col), "near-sketches")
-    reps = sk.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min_by("keys", "id").alias("keys"))
+    reps = sk.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("keys").alias("keys"))
     reps = materialize(reps, "near-reps")
-    pairs, live = candidates(reps.select("rep", "n", "keys"))
+    firsts = reps.select("node", "id")
+    pairs, live = candidates(reps.select(F.col("node").alias("rep"), "n", "keys"))
     pairs = materialize(pairs, "near-pairs")
-    links = materialize(verified(pairs, docs, id_col, text_col), "near-links")
+    links = materialize(verified(pairs, docs, firsts, id_col, text_col), "near-links")
     labels = components(links)
-    more = materialize(rest(live, labels, pairs, docs, id_col, text_col), "near-rest")
+    more = materialize(rest(live, labels, pairs, docs, firsts, id_col, text_col), "near-rest")
     if not more.isEmpty():
-        labels = materialize(joined(labels, materialize(verified(more, docs, id_col, text_col), "near-more-links")), "near-labels")
-    of = reps.select("node", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("node", F.coalesce("label", "rep").alias("class"))
-    of = materialize(of, "near-classes")
-    out = sk.select("id", "node", "n").join(of, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"), F.col("n").alias("n_shingles"))
+        labels = materialize(joined(labels, materialize(verified(more, docs, firsts, id_col, text_col), "near-more-links")), "near-labels")
+    of = materialize(firsts.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label")), "near-labelled")
+    named = of.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first"))
+    of = materialize(of.join(named, "label").select("node", "label", "first"), "near-classes")
+    return sk.select("id", "node", "n").join(of, "node", "left")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id (the smallest id of the class) and n_shingles of every row."""
+    return _classed(docs, id_col, text_col).select(F.col("id").alias(id_col), F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.col("n").alias("n_shingles"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class: the one with the smallest id. Rows without words are classes of their own and stay.
+
+    Where an id stands on one row alone, the id decides. Rows that share an id are told apart by the digests of their words; of rows with
+    one id and the same words that with the smallest text stays, of repeated rows one.
+    """
+    names = docs.columns
+    own, node, text = fresh("id", names), fresh("node", names), fresh("text", names)
+    found = materialize(_classed(docs, id_col, text_col), "near-found")
+    wins = F.col("first").isNull() | ((F.col("first.node") == F.col("node")) & F.col("first.id").eqNullSafe(F.col("id")))
+    kept = found.select("id", "node", (F.col("n") > 0).alias("has"), wins.alias("wins"))
+    several = materialize(kept.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias(own)), "near-several")
+    lone = kept.where(~F.col("wins")).select("id").where(F.col("id").isNotNull())
+    out = without_ids(docs, lone if several.isEmpty() else lone.join(several, lone["id"] == several[own], "left_anti"), id_col)
+    if several.isEmpty():
+        return out
+    rows = docs.join(several, docs[id_col].eqNullSafe(several[own]), "left_semi").withColumn(own, F.col(f"`{id_col}`")).withColumn(text, F.col(f"`{text_col}`").cast("string"))
+    rows = materialize(with_nodes(rows, own, text, node), "near-several-rows")
+    of, digest = fresh("of", [*names, own, text, node]), fresh("digest", [*names, own, text, node])
+    best = kept.where("has and wins").select(F.col("id").alias(of), F.col("node").alias(digest)).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    blank = rows.where(F.octet_length(node) == 0).groupBy(own, text).agg(F.first(row).alias("row"))
+    rows = rows.join(best, F.col(own).eqNullSafe(F.col(of)) & (F.col(node) == F.col(digest)), "left_semi")
+    rows = rows.groupBy(own, node).agg(F.min_by(row, text).alias("row"))
+    columns = [F.col(f"`{c}`") for c in names]
+    others = out.join(several, out[id_col].eqNullSafe(several[own]), "left_anti")
+    return others.select(*columns).unionByName(rows.select("row.*")).unionByName(blank.select("row.*"))

@@ -10,12 +10,13 @@ So a window is found if and only if another document holds it: no number of othe
 compared by two 64-bit hashes, of the k-gram and of all the words. The suffixes of a very frequent k-gram are salted: each salt settles what
 it can, and what is left meets by its windows (see matches()).
 
-Equal word sequences are one text from the start: its documents repeat each other as a whole.
+Equal word sequences are one text from the start, keyed by the digest of its words: its documents repeat each other as a whole. All
+comparisons are of texts; ids come in at the end, so an id on several texts mixes nothing up.
 
 Defined cases: a null text, or one of fewer words, has no passage; repeats inside one document alone do not count; rows that repeat id and
-text are one document; overlapping or touching passages of a document are one span; documents without passages are not in the result; very
-long texts are read whole, one at a time, and their suffixes are dealt like others; of several partners with a window the smallest id (for the
-smallest the largest) is named; an empty table gives no rows; other columns are ignored, whatever their names.
+text are one document, and rows of one id with different texts are different documents; a null id is a document's like any other; overlapping or touching passages of a document are one span; documents without passages are not in the result; very
+long texts are read whole, one at a time, and their suffixes are dealt like others; of several partners with a window one is named, by the
+smallest id of its text (null if it has no other); an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, materialize, prepare, release
 from .decontam import _join, normalise
-from .near_dedup import MOST_BROADCAST, _mixed
+from .near_dedup import MOST_BROADCAST, _mixed, texts_of
 
 MIN_WORDS = 50
 K = 16
@@ -260,37 +261,31 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     kind = docs.schema[id_col].dataType.simpleString()
     table = materialize(suffixes(docs, id_col, text_col, min_words, False), "suffixes")
     nodes = materialize(table.where(F.col("n_words") >= min_words).select("id", "node", "n_words").distinct(), "suffix-texts")
-    firsts = materialize(nodes.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("copies")), "suffix-nodes")
-    same = materialize(nodes.join(firsts.where("copies > 1"), "node").select("id", "n_words", "first", "last"), "suffix-copies")
-    repeated = materialize(table.groupBy("id").count().where("count > 1").select("id"), "suffix-again")
-    kept = table.where(F.size("kept") > 0)
-    later = same.where(F.col("id") != F.col("first")).select("id").distinct()
-    if later.count() <= MOST_BROADCAST:
-        later = F.broadcast(later)
-    kept = kept.join(later, "id", "left_anti")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["id"])
-    slim = kept.select("id", F.explode("kept.h").alias("h"))
-    shared = slim.groupBy("h").agg(F.count("*").alias("count"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    shared = materialize(shared.select("h", "count"), "suffix-shared")
+    one = F.struct(F.col("id").isNull().alias("none"), "id")
+    firsts = materialize(nodes.groupBy("node").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("copies")), "suffix-nodes")
+    # One row stands for each text; its suffixes are compared with those of other texts, by the digest of its words.
+    slim = table.where(F.size("kept") > 0).select("node", F.explode(F.array_distinct("kept.h")).alias("h")).distinct()
+    shared = materialize(slim.groupBy("h").agg(F.count("*").alias("count")).where("count > 1"), "suffix-shared")
     grams = F.broadcast(shared.select("h")) if shared.count() <= MOST_BROADCAST else shared.select("h")
-    # Only the documents with a k-gram of another one are read again, for their windows.
-    need = materialize(slim.join(grams, "h", "left_semi").select("id").distinct(), "suffix-need")
-    if need.count() <= MOST_BROADCAST:
-        need = F.broadcast(need)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id", "left_semi")
-    if not repeated.isEmpty():
-        texts = texts.dropDuplicates(["id"])
-    full = materialize(suffixes(texts, "id", "text", min_words, True), "suffix-full")
-    release(table)
+    # Only the texts with a k-gram of another one are read again, for their windows.
+    need = slim.join(grams, "h", "left_semi").select("node").distinct()
+    texts = texts_of(need, docs, firsts.select("node", F.col("first.id").alias("id")), id_col, text_col)
+    full = materialize(suffixes(texts, "node", "text", min_words, True).select(F.col("id").alias("node"), "n_words", "kept"), "suffix-full")
+    release(table, texts)
     count = full.agg(F.coalesce(F.sum(F.greatest(F.col("n_words") - min_words + 1, F.lit(0))), F.lit(0))).first()[0]
-    rows = matches(full.select("id", F.explode("kept").alias("s")).select("id", "s.*"), shared, kind, count, min_words)
+    rows = matches(full.select(F.col("node").alias("id"), F.explode("kept").alias("s")).select("id", "s.*"), shared, "binary", count, min_words)
     release(full)
     spans = "array<struct<start:int,end:int>>"
-    whole = same.select("id", F.when(F.col("id") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("other"), F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
+    other = firsts.select(F.col("node").alias("other"), "first")
+    rows = rows.select(F.col("id").alias("node"), "other", "start", "end").join(other, "other").select("node", F.col("first.id").alias("partner"), "start", "end")
     merged = F.aggregate(F.sort_array(F.collect_set(F.struct("start", "end"))), F.array().cast(spans), _join)
-    # A document's matches: at most a few for each of its own suffixes.
-    out = rows.unionByName(whole).groupBy("id").agg(merged.alias("spans"), F.sort_array(F.collect_set("other")).alias("partners"))
-    out = out.join(nodes.select("id", "n_words"), "id")
+    # A text's matches: at most a few for each of its own suffixes.
+    found = rows.groupBy("node").agg(merged.alias("spans"), F.collect_set("partner").alias("partners"))
+    out = nodes.join(firsts, "node").join(found, "node", "left").where((F.col("copies") > 1) | F.col("spans").isNotNull())
+    # A text that another document holds too is repeated as a whole.
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    copy = F.when(F.col("copies") > 1, F.array(F.when(F.col("first.id").eqNullSafe(F.col("id")), F.col("last.id")).otherwise(F.col("first.id")))).otherwise(F.array().cast(f"array<{kind}>"))
+    partners = F.array_sort(F.array_distinct(F.concat(copy, F.coalesce("partners", F.array().cast(f"array<{kind}>")))))
+    out = out.select("id", "n_words", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).cast(spans).alias("spans"), partners.alias("partners"))
     total = F.aggregate(F.transform("spans", lambda x: (x["end"] - x["start"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(F.col("id").alias(id_col), "n_words", total.alias("n_repeated"), "spans", "partners")

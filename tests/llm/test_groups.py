@@ -90,6 +90,26 @@ def test_near_duplicates_of_odd_tables(spark, table):
     assert sorted(map(str, (r["class_id"] for r in near_dedup.classes(none).collect()))) == ["3", "3", "None"]
 
 
+def test_one_id_on_several_texts(spark):
+    """Two families whose texts share an id: each keeps its class, and one text of each stays."""
+    rng = random.Random(31)
+    a, b, c = (words(rng, 80, 10**6) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, near(a)), (7, near(b)), (9, " ".join(c)), (9, near(c)), (9, " ".join(c).upper()), (11, "alone in its class"), (11, None), (11, None), (None, near(b)), (None, "only this text has no id"), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for clash in ("i", "n", "node", "__id", "label", "first"):
+        docs = docs.withColumn(clash, F.lit(clash))
+    got = sorted(((r["doc_id"] or -1, r["class_id"] or -1) for r in near_dedup.classes(docs).collect()))
+    assert got == sorted([(5, 3), (5, 5), (3, 3), (7, 5), (9, 9), (9, 9), (9, 9), (11, 11), (11, 11), (11, 11), (-1, 5), (-1, -1), (12, 12)])
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert sorted(((r["doc_id"] or -1, r["text"] or "") for r in kept if r["doc_id"] != 9)) == sorted([(3, near(a)), (5, " ".join(b)), (11, "alone in its class"), (11, ""), (-1, "only this text has no id"), (12, "")])
+    assert [r["text"] in (near(c), " ".join(c).upper()) for r in kept if r["doc_id"] == 9] == [True]  # the smaller digest's, and of equal words the smaller text
+    assert all(r["i"] == "i" and r["__id"] == "__id" for r in kept)
+    assert near_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_away_from_the_centre(spark):
     rng = random.Random(3)
     base, rows = words(rng, 150, 10**6), []
@@ -152,6 +172,17 @@ def test_repeated_passages(table):
     assert suffix_dedup.passages(pair.unionByName(pair)).count() == 0
 
 
+def test_passages_of_one_id_on_several_texts_and_of_null_ids(spark):
+    rng = random.Random(41)
+    own, shared = lambda n: words(rng, n, 10**6), words(rng, 60, 10**6)
+    rows = [(1, " ".join([*own(3), *shared])), (1, " ".join(own(310))), (2, " ".join([*own(9), *shared, *own(2)])), (3, " ".join(own(80)))]
+    copy = " ".join(own(70))
+    rows += [(None, " ".join([*shared, *own(4)])), (None, copy), (4, copy), (4, copy), (5, "short")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit("clash")).withColumn("other", F.lit(1))
+    got = [(r["doc_id"], r["n_words"], [(s["start"], s["end"]) for s in r["spans"]]) for r in suffix_dedup.passages(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, 63, [(3, 63)]), (2, 71, [(9, 69)]), (None, 64, [(0, 60)]), (None, 70, [(0, 70)]), (4, 70, [(0, 70)])]))
+
+
 def spans_found(spark, rows):
     got = suffix_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     return {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in got}
