@@ -25,14 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class; of rows that repeat a whole document, one."""
-    found = materialize(near_dedup.classes(docs.select("doc_id", "text")), "pipeline-classes")
-    kept = without_ids(docs, found.where(F.col("doc_id") != F.col("class_id")).select("doc_id"))
-    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = materialize(twice, "pipeline-twice")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id", "text"])
-    return without_ids(kept, twice).unionByName(again)
+    return near_dedup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
