@@ -146,6 +146,26 @@ def numbered(df: DataFrame, stream: list[str], order: list[str | Column], out: s
     return keyed.join(counts, same).withColumn(out, number.cast("bigint")).select(*df.columns, out)
 
 
+def running(df: DataFrame, stream: list[str], order: list[str], sums: dict[str, Column], pieces: int = 1) -> DataFrame:
+    """df with running sums (output name -> expression) in order within a stream, each row's own included. Pieces: see numbered().
+
+    The sums of a stream's earlier ranges are a row for each range; they are added to the sums inside the row's own range.
+    """
+    values = {f"__v{i}": v for i, v in enumerate(sums.values())}
+    keyed = df.withColumn("__piece", piece_of(F.col(order[0]), cut_points(df, order[0], pieces)) if pieces > 1 else F.lit(0)).withColumns(values)
+    own = Window.partitionBy(*stream, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if pieces <= 1:
+        return keyed.withColumns({name: F.sum(v).over(own) for name, v in zip(sums, values, strict=True)}).select(*df.columns, *sums)
+    names = [f"__s{i}" for i in range(len(stream))]
+    totals = keyed.groupBy(*[F.col(c).alias(n) for c, n in zip(stream, names, strict=True)], F.col("__piece").alias("__p")).agg(*[F.sum(v).alias(f"{v}_sum") for v in values])
+    before = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*names, "__p", *[F.coalesce(F.sum(f"{v}_sum").over(before), F.lit(0)).alias(f"{v}_before") for v in values])
+    same = F.col("__piece") == F.col("__p")
+    for c, n in zip(stream, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return keyed.join(totals, same).withColumns({name: F.sum(v).over(own) + F.col(f"{v}_before") for name, v in zip(sums, values, strict=True)}).select(*df.columns, *sums)
+
+
 def numbered_batches(df: DataFrame, stream: list[str], order: list[str | Column], size: int = BATCH, pieces: int = 1) -> DataFrame:
     """rn (from 1) and batch_id (from 0) by count; pieces: see numbered()."""
     return numbered(df, stream, order, "rn", pieces).withColumn("batch_id", F.floor((F.col("rn") - 1) / size).cast("bigint"))

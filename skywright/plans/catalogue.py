@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywright.functions import exprs
-from skywright.operators import frames, labels, ordered, vision
+from skywright.operators import evaluate, frames, labels, ordered, vision
 from skywright.sources import sinks
 
 QUERIES: dict = {}
@@ -455,6 +455,54 @@ def nms_iou(spark, d):
     return vision.suppress(b, "image", ["down", *_TIE]).select("image", "l_partkey", "l_suppkey", "l_linenumber", "kept")
 
 
+# Evaluation: detections are the boxes that were not returned ("A"), ground truth those of lines 1 to 4, moved by the tax.
+
+_IOU = "greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0) * greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0)"
+_AP = f"""WITH d AS (SELECT l_orderkey AS image, l_linenumber % 3 AS class_id, (-l_extendedprice, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount * 100) AS o,
+  l_quantity AS x1, l_discount * 100 AS y1, l_quantity + 40.0::DOUBLE AS x2, l_discount * 100 + 30.0::DOUBLE AS y2 FROM lineitem WHERE l_returnflag <> 'A'),
+g AS (SELECT l_orderkey AS image, l_linenumber % 3 AS class_id, l_quantity + l_tax * 50 AS x1, l_discount * 100 + l_tax * 150 AS y1, l_quantity + l_tax * 50 + 40.0::DOUBLE AS x2, l_discount * 100 + l_tax * 150 + 30.0::DOUBLE AS y2 FROM lineitem WHERE l_linenumber <= 4),
+n AS (SELECT class_id, count(*) AS n, (SELECT count(*) FROM d WHERE d.class_id = g.class_id) AS size FROM g GROUP BY class_id),
+x AS (SELECT d.image, d.class_id, d.o, coalesce({_IOU} / ((d.x2 - d.x1) * (d.y2 - d.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) - {_IOU}), 0) AS iou, [g.x1, g.y1, g.x2, g.y2] AS box FROM d LEFT JOIN g ON d.image = g.image AND d.class_id = g.class_id),
+b AS (SELECT image, class_id, o, max(iou) AS iou, arg_min(box, (-iou, box)) AS box FROM x GROUP BY image, class_id, o),
+e AS (SELECT *, coalesce(max(iou) OVER (PARTITION BY image, class_id, box ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+t AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS t),
+r AS (SELECT class_id, t, row_number() OVER w AS i, sum(CASE WHEN before < t AND iou >= t THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM e, t WINDOW w AS (PARTITION BY class_id, t ORDER BY o)),
+q AS (SELECT class_id, t, i, c, c / n AS recall, c / i AS p FROM r JOIN n USING (class_id) UNION ALL SELECT class_id, t, 0, 0, 0, 1 FROM n, t UNION ALL SELECT class_id, t, size + 1, n, 1, 0 FROM n, t),
+v AS (SELECT *, max(p) OVER (PARTITION BY class_id, t ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM q),
+l AS (SELECT *, lead(recall) OVER w AS recall2, lead(env) OVER w AS env2 FROM v WINDOW w AS (PARTITION BY class_id, t ORDER BY i)),
+z AS (SELECT class_id, t, c, arg_max(recall, i) AS recall, arg_max(env, i) AS env, arg_max(coalesce(recall2, 2), i) AS recall2, arg_max(coalesce(env2, 0), i) AS env2 FROM l GROUP BY class_id, t, c),
+s AS (SELECT class_id, t, n, i AS g, i * n AS reach FROM n, t, (SELECT unnest(range(101)) AS i)),
+y AS (SELECT s.class_id, s.t, g, env + (g / 100 - recall) * (env2 - env) / (recall2 - recall) AS y FROM s ASOF JOIN (SELECT *, c * 100 AS reach FROM z) z ON s.class_id = z.class_id AND s.t = z.t AND s.reach >= z.reach),
+a AS (SELECT class_id, t, sum(CASE WHEN g IN (0, 100) THEN y / 2 ELSE y END) / 100 AS ap FROM y GROUP BY class_id, t) """
+
+
+def _precisions(spark, d) -> DataFrame:
+    found = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("class_id"), (-F.col("l_extendedprice")).alias("down"), F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), "l_returnflag").where("l_returnflag <> 'A'")
+    found = found.withColumn("bbox", F.array("x1", "y1", F.col("x1") + 40.0, F.col("y1") + 30.0)).drop("l_returnflag")
+    x, y = F.col("l_quantity") + F.col("l_tax") * 50, F.col("l_discount") * 100 + F.col("l_tax") * 150
+    truth = _t(spark, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") % 3).alias("class_id"), F.array(x, y, x + 40.0, y + 30.0).alias("bbox"))
+    return evaluate.average_precision(found, truth, "image", ["down", "image", *_TIE])
+
+
+def _micro(c):
+    return F.round(F.col(c) * 1e6).cast("bigint").alias(c)
+
+
+@query("ap_by_class", _AP + "SELECT a.class_id, a.t AS threshold, n.n AS n_truth, size AS n_detections, CAST(m AS BIGINT) AS n_found, CAST(round(ap * 1e6) AS BIGINT) AS ap FROM a JOIN n USING (class_id) JOIN (SELECT class_id, t, max(c) AS m FROM r GROUP BY class_id, t) USING (class_id, t)")
+def ap_by_class(spark, d):
+    return _precisions(spark, d).select("class_id", "threshold", "n_truth", "n_detections", "n_found", _micro("ap"))
+
+
+@query("map50", _AP + "SELECT count(*) AS n_classes, CAST(round(avg(ap) * 1e6) AS BIGINT) AS map50 FROM a WHERE t = 0.5")
+def map50(spark, d):
+    return evaluate.mean_precision(_precisions(spark, d)).select("n_classes", _micro("map50"))
+
+
+@query("map50_95", _AP + "SELECT CAST(round(avg(ap) * 1e6) AS BIGINT) AS map50_95 FROM (SELECT avg(ap) AS ap FROM a GROUP BY class_id)")
+def map50_95(spark, d):
+    return evaluate.mean_precision(_precisions(spark, d)).select(_micro("map50_95"))
+
+
 # Reports.
 
 
