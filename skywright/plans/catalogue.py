@@ -6,6 +6,8 @@ values stand for pixels; pages and documents are map images and posts. Every que
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -567,4 +569,66 @@ def stream_motion(spark, d):
     return live.run_to_end(live.motion(e, "label", "vec_id", least=34))
 
 
+@query("stream_flush", ORACLES["batch4_flush"])
+def stream_flush(spark, d):
+    """Conversations as a live stream: full batches come out as they fill, the rest when the end of the replay passes all timers."""
+    from skywright.sources.storage import run_dir
+    from skywright.streaming import frames as live
+    from skywright.streaming import replay
+
+    path = f"{run_dir(spark)}/turns-{uuid.uuid4().hex}"
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.timestamp_seconds(F.col("turn") + 1_000_000_000).alias("at"))
+    replay.ordered_files(c, ["turn", "role", "text"], path)
+    rows = replay.replay_rows(spark, c.schema, path, pause=1, rows=-(-c.count() // 3), clock="steps", end="at")
+    got = live.run_to_end(live.batches(rows, "conv_id", ["turn", "role", "text"], {"turns": "turn", "roles": "role"}, time="at", late="3650 days"))
+    return got.select("conv_id", "batch_id", F.size("turns").cast("bigint").alias("n"), "turns", "roles")
+
+
+def _paced_topics(spark, d) -> DataFrame:
+    """The four sources as paced streams of topic/value rows, each in three steps."""
+    from skywright.sources.storage import run_dir
+    from skywright.streaming import frames as live
+    from skywright.streaming import replay
+
+    f, out = _files(spark, d), None
+    social = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"), F.col("source").alias("hazard"))
+    kinds = {"drone": exprs.is_drone_image, "gis": exprs.is_gis_image, "satellite": exprs.is_satellite_image}
+    for kind in ("drone", "gis", "satellite", "social"):
+        rows = social if kind == "social" else f.where(kinds[kind](F.col("name"))).select("path")
+        path = f"{run_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        replay.ordered_files(rows, rows.columns[:1], path)
+        stream = sinks.to_topic(live.paced_messages(spark, path, kind, -(-rows.count() // 3), "steps"), kind)
+        out = stream if out is None else out.unionByName(stream)
+    return out
+
+
+def _topic_counts(rows: DataFrame) -> DataFrame:
+    key = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in ("frame_id", "map_id", "image_id", "id")])
+    return rows.groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys"))
+
+
+@query("stream_union", ORACLES["union_topics"])
+def stream_union(spark, d):
+    from skywright.streaming import frames as live
+
+    return _topic_counts(live.run_to_end(_paced_topics(spark, d)))
+
+
+@query("topic_log", f"WITH t AS ({ORACLES['union_topics']}) SELECT topic, n, n_keys, n AS n_offsets, TRUE AS dense FROM t")
+def topic_log(spark, d):
+    """The paced streams through a log of epochs, read back; dense: offsets of every partition go from 0 without a gap."""
+    from skywright.sources.storage import run_dir
+
+    folder = f"{run_dir(spark)}/log-{uuid.uuid4().hex}"
+    running = sinks.write_log(_paced_topics(spark, d), folder, f"{folder}/state").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    rows = sinks.read_log(spark, folder)
+    dense = rows.groupBy("topic", "partition").agg(F.count_distinct("offset").alias("offsets"), (F.max("offset") + 1 == F.count("*")).alias("dense"))
+    dense = dense.groupBy("topic").agg(F.sum("offsets").alias("n_offsets"), F.every("dense").alias("dense"))
+    return _topic_counts(rows).join(dense, "topic")
+
+
 from skywright.plans import folders  # noqa: E402, F401  (registers its queries)
