@@ -29,13 +29,18 @@ def is_blurry(variance: Column, least: float = MIN_SHARPNESS) -> Column:
 def run_pipeline(
     frames: DataFrame, stream: list[str], order: list[str], key: str, mode: str = "intended", hash_col: str = "hash", valid: Column | None = None, pixels: str = "pixels", variance: Column | None = None,
     window: int = ordered.DEDUP_WINDOW, bits: int = ordered.DEDUP_BITS, delta: float = ordered.MOTION_DELTA, least_motion: int = ordered.MOTION_PIXELS, sharpness: float = MIN_SHARPNESS, batch: int = ordered.BATCH,
+    piece_rows: int | None = None, pieces: int = 32,
 ) -> DataFrame:
-    """stream, key, status, reason, motion_score and batch_id of every frame."""
+    """stream, key, status, reason, motion_score and batch_id of every frame.
+
+    With `piece_rows` long streams are folded in pieces (see ordered.fold_in_pieces); the fold does not count then, and the frames that reach a batch are
+    numbered by running sums over `pieces` ranges.
+    """
     if mode not in ("intended", "strict"):
         raise ValueError(f"mode is 'intended' or 'strict', not {mode!r}")
     ok = F.coalesce(valid, F.lit(False)) if valid is not None else valid_size(F.col("height"), F.col("width"))
     sharp = variance if variance is not None else F.col("laplacian_var")
-    seen = frames.select(*dict.fromkeys([*stream, *order, key]), F.col(hash_col).alias("__h"), F.col(pixels).alias("__p"), ok.alias("__ok"), sharp.cast("double").alias("__v"))
+    seen = frames.select(*dict.fromkeys([*stream, *order, key]), F.col(hash_col).alias("__h"), F.col(pixels).alias("__pixels"), ok.alias("__ok"), sharp.cast("double").alias("__v"))
 
     def step(state: tuple, frame: tuple):
         (kept, previous, n), (h, image, good, sharpness_of) = state, frame
@@ -58,8 +63,19 @@ def run_pipeline(
         state, result = step(state, frame)
         return state, dict(zip(("status", "reason", "motion_score", "batch_id"), result, strict=True))
 
+    def uncounted(state: tuple, frame: tuple):
+        (kept, previous, _), result = named((*state, 0), frame)
+        return (kept, previous), result
+
     kind = T.StructType([T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("motion_score", T.LongType()), T.StructField("batch_id", T.LongType())])
-    folded = ordered.ordered_fold(seen, stream, order, lambda: ([], None, 0), named, ["__h", "__p", "__ok", "__v"], "__r", kind)
+    if piece_rows:
+        folded, _ = ordered.fold_in_pieces(seen, stream, order, lambda: ([], None), uncounted, ["__h", "__pixels", "__ok", "__v"], "__r", kind, piece_rows, min(12 * window, piece_rows))
+        reached = F.col("__r.status") != "skipped"
+        n = ordered.running(folded, stream, order, {"__n": reached.cast("int")}, pieces)
+        status = F.when(reached, F.when(F.col("__n") % batch == 0, "batch_ready").otherwise("waiting_for_batch")).otherwise("skipped")
+        number = F.when(reached, F.floor((F.col("__n") - 1) / batch).cast("bigint"))
+        return n.select(*dict.fromkeys([*stream, key]), status.alias("status"), "__r.reason", "__r.motion_score", number.alias("batch_id"))
+    folded = ordered.ordered_fold(seen, stream, order, lambda: ([], None, 0), named, ["__h", "__pixels", "__ok", "__v"], "__r", kind)
     return folded.select(*dict.fromkeys([*stream, key]), "__r.*")
 
 

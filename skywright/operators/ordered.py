@@ -3,17 +3,21 @@
 A stream is the rows of one partition key in an order that must be total. Window operators are plain SQL windows. Greedy folds, where a
 row's outcome changes what later rows are compared with, run over partitions that are dealt by stream and sorted: state (at most a
 window of hashes, or one time) passes from batch to batch, so a stream of any length takes constant memory. One stream is one
-sequence and stays in one task; different streams run in parallel.
+sequence and stays in one task; different streams run in parallel. Few and long streams are folded in pieces (`piece_rows`): every piece
+starts from a guess, and only pieces whose guess was wrong are folded again.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skywright.sources.storage import written
+
 #: Defaults of the frame stages.
 DEDUP_WINDOW, DEDUP_BITS = 20, 5
 SAMPLE_SECONDS = 2
@@ -71,6 +75,110 @@ def ordered_fold(df: DataFrame, stream: list[str], order: list[str], start: Call
     return dealt.sortWithinPartitions(*stream, *order).mapInArrow(run, schema)
 
 
+def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, object], tuple[object, object]], value: list[str], out: str, kind: T.DataType, piece_rows: int, warm: int = 256, ranges: int = 32) -> tuple[DataFrame, int]:
+    """ordered_fold() with long streams in pieces of `piece_rows` rows, each folded in a task of its own; and the number of rounds it took.
+
+    A piece guesses the state at its first row by folding the `warm` rows before it from start(); greedy states forget, so the guess is
+    mostly right. Then every piece's first state is compared with the last one of the piece before. Pieces where they differ are folded again from
+    what came before, until none differs; the first wrong piece of a stream is right after each round, so rounds end. The result is that of one
+    fold in any case. States travel as bytes; a state that counts rows is never guessed right (use running() for counts).
+    """
+    import pickle
+
+    import pyarrow as pa
+
+    from skywright.functions.log import log_info
+
+    kept = [c for c in df.columns if c not in value or c in (*stream, *order)]
+    names = [*stream, "__piece"]
+    rows = numbered(df, stream, order, "__rn", ranges)
+    here, place = F.floor((F.col("__rn") - 1) / piece_rows), F.pmod(F.col("__rn") - 1, F.lit(piece_rows))
+    both = F.when(place >= piece_rows - warm, F.array(F.struct(here.alias("p"), F.lit(False).alias("w")), F.struct((here + 1).alias("p"), F.lit(True).alias("w")))).otherwise(F.array(F.struct(here.alias("p"), F.lit(False).alias("w"))))
+    rows = rows.withColumn("__x", F.explode(both)).select(*df.columns, "__rn", F.col("__x.p").alias("__piece"), F.col("__x.w").alias("__warm"), F.lit(None).cast("binary").alias("__state"))
+    rows = written(rows, "fold-rows")
+    fields = [df.schema[c] for c in kept]
+    schema = T.StructType([*fields, T.StructField(out, kind), T.StructField("__piece", T.LongType()), T.StructField("__first", T.BinaryType()), T.StructField("__last", T.BinaryType())])
+    columns = rows.columns
+    at, keys, stay = [columns.index(c) for c in value], [columns.index(c) for c in names], [columns.index(c) for c in kept]
+    warm_at, state_at = columns.index("__warm"), columns.index("__state")
+
+    def run(batches: Iterator) -> Iterator:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        now, state, fresh, held = None, None, True, None
+
+        def done(held: tuple):
+            batch, which, got, first, last = held
+            batch = batch.take(pa.array(which, pa.int64()))
+            extra = [pa.array(got, to_arrow_type(kind)), batch.column(keys[-1]), pa.array(first, pa.binary()), pa.array(last, pa.binary())]
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in stay), *extra], [*kept, out, "__piece", "__first", "__last"])
+
+        for batch in batches:
+            which, got, first, last = [], [], [], []
+            pieces = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            values = zip(*(_values(batch.column(k)) for k in at), strict=True)
+            for i, (p, v, warming, given) in enumerate(zip(pieces, values, batch.column(warm_at).to_pylist(), batch.column(state_at).to_pylist(), strict=True)):
+                if p != now:
+                    if now is not None and (last or held is not None):
+                        (last if last else held[4])[-1] = pickle.dumps(state, 5)
+                    now, state, fresh = p, start(), True
+                if given is not None:  # the row that brings the state of the piece before
+                    state = pickle.loads(given)
+                    continue
+                before = pickle.dumps(state, 5) if fresh and not warming else None
+                state, r = step(state, v if len(value) > 1 else v[0])
+                if not warming:
+                    fresh = False
+                    which.append(i)
+                    got.append(r)
+                    first.append(before)
+                    last.append(None)
+            if which:
+                if held is not None:
+                    yield done(held)
+                held = (batch, which, got, first, last)
+        if held is not None:
+            held[4][-1] = pickle.dumps(state, 5)
+            yield done(held)
+
+    def folded(part: DataFrame) -> DataFrame:
+        return written(part.repartition(*[F.col(c) for c in names]).sortWithinPartitions(*names, "__rn").mapInArrow(run, schema), "fold-part")
+
+    def borders(part: DataFrame) -> DataFrame:
+        ends = part.where(F.col("__first").isNotNull() | F.col("__last").isNotNull()).groupBy(*names)
+        return ends.agg(F.first("__first", True).alias("__first"), F.first("__last", True).alias("__last"))
+
+    parts, rounds = [folded(rows)], 1
+    known = written(borders(parts[0]), "fold-borders")
+    while True:
+        w = Window.partitionBy(*stream).orderBy("__piece")
+        wrong = known.withColumn("__given", F.lag("__last").over(w)).where("__given <> __first").select(*names, "__given")
+        wrong = written(wrong, "fold-wrong")
+        n = wrong.count()
+        log_info(f"fold in pieces of {piece_rows} rows, round {rounds}: {n} pieces to fold again")
+        if not n:
+            return functools.reduce(DataFrame.unionByName, parts).select(*kept, out), rounds
+        rounds += 1
+        few = F.broadcast(wrong) if n <= MOST_PIECES else wrong
+        again = _same(rows.where("not __warm"), few, names, "left_semi")
+        empty = [F.lit(None).cast(df.schema[c].dataType).alias(c) if c not in stream else F.col(c) for c in df.columns]
+        states = wrong.select(*empty, F.lit(0).cast("bigint").alias("__rn"), "__piece", F.lit(False).alias("__warm"), F.col("__given").alias("__state"))
+        new = folded(again.select(*columns).unionByName(states.select(*columns)))
+        parts = [*(_same(part, few, names, "left_anti") for part in parts), new]
+        known = written(_same(known, few, names, "left_anti").unionByName(borders(new)), "fold-borders")
+
+
+#: Pieces to fold again that are sent to all executors; counted first, more are joined with a shuffle.
+MOST_PIECES = 50_000
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    """A semi or anti join on columns that may hold nulls."""
+    a, b = left.alias("__a"), right.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(names)])
+    on = functools.reduce(lambda x, y: x & y, [F.col(f"__a.{c}").eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(names)])
+    return a.join(b, on, how)
+
+
 def is_near(kept: list[int], h: int, bits: int) -> bool:
     return any(((h ^ k) & 0xFFFFFFFFFFFFFFFF).bit_count() <= bits for k in kept)
 
@@ -80,18 +188,22 @@ def remembered(kept: list[int], h: int, window: int) -> list[int]:
     return [*kept, h][-window:] if window > 0 else []
 
 
-def dedup_window(df: DataFrame, stream: list[str], order: list[str], hash_col: str = "hash", window: int = DEDUP_WINDOW, bits: int = DEDUP_BITS, out: str = "is_duplicate") -> DataFrame:
+def dedup_window(df: DataFrame, stream: list[str], order: list[str], hash_col: str = "hash", window: int = DEDUP_WINDOW, bits: int = DEDUP_BITS, out: str = "is_duplicate", piece_rows: int | None = None) -> DataFrame:
     """A row is a duplicate if its hash is within `bits` of one of the last `window` accepted hashes; duplicates are not remembered."""
 
     def step(kept: list, h: int):
         return (kept, True) if is_near(kept, h, bits) else (remembered(kept, h, window), False)
 
+    if piece_rows:
+        return fold_in_pieces(df.withColumn("__h", F.col(hash_col)), stream, order, list, step, ["__h"], out, T.BooleanType(), piece_rows, min(12 * window, piece_rows))[0]
     return ordered_fold(df, stream, order, list, step, hash_col, out, T.BooleanType())
 
 
-def sample_interval(df: DataFrame, stream: list[str], order: list[str], seconds_col: str, interval: float = SAMPLE_SECONDS, out: str = "accepted") -> DataFrame:
+def sample_interval(df: DataFrame, stream: list[str], order: list[str], seconds_col: str, interval: float = SAMPLE_SECONDS, out: str = "accepted", piece_rows: int | None = None) -> DataFrame:
     """A row is accepted if at least `interval` has passed since the last accepted one; the first is."""
     step = lambda last, t: (t, True) if last is None or t - last >= interval else (last, False)
+    if piece_rows:
+        return fold_in_pieces(df.withColumn("__t", F.col(seconds_col)), stream, order, lambda: None, step, ["__t"], out, T.BooleanType(), piece_rows, min(256, piece_rows))[0]
     return ordered_fold(df, stream, order, lambda: None, step, seconds_col, out, T.BooleanType())
 
 

@@ -312,6 +312,19 @@ def sampler_interval(spark, d):
     return ordered.sample_interval(e, ["event_type"], ["us", "event_id"], "us", 3_600_000_000).select("event_type", "event_id", "accepted")
 
 
+@query("sampler_pieces", ORACLES["sampler_interval"])
+def sampler_pieces(spark, d):
+    """The same with every stream in pieces."""
+    e = _t(spark, d, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return ordered.sample_interval(e, ["event_type"], ["us", "event_id"], "us", 3_600_000_000, piece_rows=500).select("event_type", "event_id", "accepted")
+
+
+@query("dedup_pieces", ORACLES["dedup_window20_loose"])
+def dedup_pieces(spark, d):
+    f = _frames(spark, d).select("label", "vec_id", "hash")
+    return ordered.dedup_window(f, ["label"], ["vec_id"], bits=22, piece_rows=25).select("label", "vec_id", "is_duplicate")
+
+
 # Splits.
 
 _SPLIT = """WITH n AS (SELECT doc_id, 'doc_' || doc_id || '.jpg' AS name FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || name), name) AS rk, count(*) OVER () AS n FROM n),
@@ -370,8 +383,8 @@ _INTENDED = _CHAIN + f"""z AS (SELECT label, vec_id, CASE WHEN rn IS NULL THEN '
 _STRICT = _CHAIN + f"z AS (SELECT label, vec_id, 'skipped' AS status, CASE {_FIRST} ELSE 'duplicate' END AS reason, CAST(CASE WHEN moves = FALSE THEN score END AS BIGINT) AS motion_score FROM o) "
 
 
-def _pipeline(spark, d, mode) -> DataFrame:
-    return frames.run_pipeline(_frames(spark, d), ["label"], ["vec_id"], "vec_id", mode, valid=F.col("peak") >= 0.28, variance=F.col("var_num") / 4096, bits=20, least_motion=34, sharpness=1000)
+def _pipeline(spark, d, mode, **more) -> DataFrame:
+    return frames.run_pipeline(_frames(spark, d), ["label"], ["vec_id"], "vec_id", mode, valid=F.col("peak") >= 0.28, variance=F.col("var_num") / 4096, bits=20, least_motion=34, sharpness=1000, **more)
 
 
 @query("pipeline_intended", _INTENDED + "SELECT * FROM z")
@@ -379,6 +392,11 @@ def pipeline_intended(spark, d):
     return _pipeline(spark, d, "intended")
 
 
+@query("pipeline_pieces", _INTENDED + "SELECT * FROM z")
+def pipeline_pieces(spark, d):
+    return _pipeline(spark, d, "intended", piece_rows=25, pieces=4)
+
+
 @query("pipeline_strict", _STRICT + "SELECT * FROM z")
 def pipeline_strict(spark, d):
     return _pipeline(spark, d, "strict").drop("batch_id")

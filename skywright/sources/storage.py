@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def file_system(spark: SparkSession, path: str):
@@ -47,3 +48,10 @@ def run_dir(spark: SparkSession) -> str:
         fs.mkdirs(p)
         fs.deleteOnExit(p)
     return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+    path = f"{run_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from skywright.operators import frames, ordered
 
 
@@ -171,3 +173,34 @@ def test_pipeline_on_bytes_equals_a_model(spark):
                     want = ("waiting_for_batch" if n % 4 else "batch_ready", None, None, (n - 1) // 4)
         assert (got[i]["status"], got[i]["reason"], got[i]["motion_score"], got[i]["batch_id"]) == want, i
     assert n > 8
+
+
+def test_folds_in_pieces(spark):
+    """Streams in pieces give the rows of one fold, whether the guesses at the borders are right or never are."""
+    rng = random.Random(17)
+    rows, t = [], 0.0
+    for i in range(900):
+        t += rng.choice([0.0, 0.3, 0.9, 4.0])
+        rows.append((rng.choice("aab"), i, rng.choice([3, 2**40, rng.getrandbits(63)]) ^ (1 << rng.randrange(60)), t))
+    rows += [("c", 0, 5, 0.0), (None, 1, 5, 0.0), (None, 2, 5, 1.0)]
+    df = spark.createDataFrame(rows, "s string, i int, hash bigint, t double")
+    got = lambda d, c: sorted((r["s"] or "", r["i"], r[c]) for r in d.collect())
+    whole = got(ordered.dedup_window(df, ["s"], ["i"]), "is_duplicate")
+    for size in (1, 40, 5000):
+        if size > 1:
+            assert got(ordered.dedup_window(df, ["s"], ["i"], piece_rows=size), "is_duplicate") == whole
+        assert got(ordered.sample_interval(df.where("i < 60"), ["s"], ["i"], "t", 7.0, piece_rows=max(size, 7)), "accepted") == got(ordered.sample_interval(df.where("i < 60"), ["s"], ["i"], "t", 7.0), "accepted")
+    count = lambda state, v: (state + 1, state + 1)
+    few = df.where("i < 50 and s = 'a'")
+    counted, rounds = ordered.fold_in_pieces(few.withColumn("v", F.col("i")), ["s"], ["i"], int, count, ["v"], "n", T.LongType(), 6, 2)
+    assert [n for *_, n in got(counted, "n")] == list(range(1, few.count() + 1)) and rounds == -(-few.count() // 6)  # one piece a round
+    right, rounds = ordered.fold_in_pieces(df.withColumn("v", F.col("i")), ["s"], ["i"], lambda: None, lambda state, v: (v, state), ["v"], "before", T.LongType(), 100, 2)
+    assert rounds == 1 and got(right, "before") == got(df.withColumn("before", F.lag("i").over(Window.partitionBy("s").orderBy("i"))), "before")
+    assert ordered.dedup_window(df.limit(0), ["s"], ["i"], piece_rows=10).count() == 0
+
+
+def test_running_sums_in_ranges(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice("ab"), i, rng.randrange(9)) for i in range(300)] + [(None, 7, 1), ("a", None, 2)], "s string, i int, v int")
+    got = lambda p: sorted(map(repr, ordered.running(df, ["s"], ["i"], {"sum": F.col("v"), "n": F.lit(1)}, p).collect()))
+    assert got(1) == got(7) == got(40)
