@@ -118,6 +118,30 @@ def image_label_join(spark, d):
     return labels.labelled_images(_images(spark, d).select("file_name"), rows).select("file_name", "class_id", F.floor(F.col("xc") * F.lit(1e6)).cast("bigint").alias("xc_u"))
 
 
+def _large_document(spark, d):
+    """A document of all orders, line items and part types in one file, and its tables as many tasks read them."""
+    from skywright.sources import documents
+    from skywright.sources.storage import run_dir
+
+    path = f"{run_dir(spark)}/document-{uuid.uuid4().hex}"
+    kinds = _t(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
+    documents.write_document({"images": _images(spark, d), "annotations": _annotations(spark, d), "categories": kinds}, path)
+    return documents.annotation_tables(spark, path, 512 << 10)
+
+
+@query("large_document", "SELECT l_orderkey AS image_id, l_linenumber % 3 + 1 AS category_id, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN [l_extendedprice / 100, l_quantity * 2, l_discount * 1000 - 10] ELSE [l_extendedprice / 100, l_quantity * 2, l_discount * 1000 - 10, l_tax * 1000] END AS damage_bbox FROM lineitem")
+def large_document(spark, d):
+    return _large_document(spark, d)[1]
+
+
+@query("large_document_boxes", _YOLO + "SELECT image_id, class_id, CAST(floor(xc * 1e6) AS BIGINT) AS xc_u, CAST(floor(h * 1e6) AS BIGINT) AS h_u FROM y")
+def large_document_boxes(spark, d):
+    """Images and annotations of the document, joined and normalised."""
+    images, notes, _ = _large_document(spark, d)
+    u = lambda c: F.floor(F.col(c) * F.lit(1e6)).cast("bigint").alias(f"{c}_u")
+    return labels.to_yolo(notes, labels.image_lookup(images, "pos")).select("image_id", "class_id", u("xc"), u("h"))
+
+
 # Messages.
 
 _EXT = "CASE event_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPG' WHEN 2 THEN '.png' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.TIF' ELSE '.tiff' END"
