@@ -145,12 +145,12 @@ def annotation_tables(spark: SparkSession, path: str, size: int = RANGE) -> tupl
     for k in sorted(keys, key=lambda k: (k["path"], k["place"])):
         section = F.when((F.col("path") == k["path"]) & (F.col("place") > k["place"]), F.lit(json.loads(k["value"]))).otherwise(section)
     named = rows.where("kind = 'entry'").withColumn("section", section)
-    # The optimizer may parse before it filters, so other lists' entries are nulls to the parser.
-    own = lambda name: F.when(F.col("section") == name, F.col("value"))
     first = sorted({k["path"] for k in keys})
     file = F.coalesce(*[F.when(F.col("path") == p, F.lit(i)) for i, p in enumerate(first)], F.lit(0)).cast("bigint")
     pos = F.shiftleft(file, 48) + F.col("place")
-    part = lambda name: named.where(F.col("section") == name).select(pos.alias("pos"), F.from_json(own(name), kinds[name], {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
+    # The optimizer may move later filters, and the parser with them, below a filter; not below a number of rows.
+    own = F.when(F.monotonically_increasing_id() >= 0, F.col("value")).alias("value")
+    part = lambda name: named.where(F.col("section") == name).select(pos.alias("pos"), own).select("pos", F.from_json("value", kinds[name], {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
     return part("images"), part("annotations").drop("pos"), part("categories").drop("pos")
 
 
