@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -49,21 +50,77 @@ def envelope(results: DataFrame) -> DataFrame:
     return results.withColumn("status", F.when(F.col("status") == "batch_ready", "completed").otherwise(F.col("status")))
 
 
+#: Boxes of an image up to which plain loops are quicker than arrays.
+FEW = 24
+
+
+def _kept(classes: list, boxes: list, threshold: float) -> list[bool]:
+    """Which boxes of an image stay, in their order: those that no kept box of their class before them overlaps by more than threshold."""
+    import numpy as np
+
+    n = len(boxes)
+    if n <= FEW:
+        kept: list[int] = []
+        for i in range(n):
+            if not any(classes[k] == classes[i] and _overlap(boxes[k], boxes[i]) > threshold for k in kept):
+                kept.append(i)
+        stay = set(kept)
+        return [i in stay for i in range(n)]
+    no_box = [0.0] * 4
+    at = np.array([b if b is not None and len(b) == 4 else no_box for b in boxes], np.float64)
+    x1, y1, x2, y2 = at.T
+    codes = np.unique(np.array([str(c) for c in classes]), return_inverse=True)[1]
+    area, alive, out = (x2 - x1) * (y2 - y1), np.ones(n, bool), np.zeros(n, bool)
+    # By the left edge, so that a kept box meets only those that begin before it ends.
+    order = np.argsort(x1, kind="stable")
+    left, widest = x1[order], float((x2 - x1).max())
+    for i in range(n):
+        if not alive[i]:
+            continue
+        out[i] = True
+        near = order[np.searchsorted(left, x1[i] - widest) : np.searchsorted(left, x2[i], "right")]
+        near = near[alive[near] & (codes[near] == codes[i]) & (near > i)]
+        inter = np.maximum(np.minimum(x2[i], x2[near]) - np.maximum(x1[i], x1[near]), 0.0) * np.maximum(np.minimum(y2[i], y2[near]) - np.maximum(y1[i], y1[near]), 0.0)
+        union = area[i] + area[near] - inter
+        alive[near[(np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) > threshold)]] = False
+    return out.tolist()
+
+
+def _overlap(a: list | None, b: list | None) -> float:
+    if a is None or b is None or len(a) != 4 or len(b) != 4:
+        return 0.0
+    inter = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+    return inter / union if union > 0 else 0.0
+
+
 def suppress(boxes: DataFrame, image: str, order: list[str], threshold: float = NMS_IOU) -> DataFrame:
     """boxes with `kept`: greedy suppression in order within an image, among boxes of the same class. bbox: corners; class_id.
 
-    An image's boxes (what its detector gave) are one array, folded in order with the boxes kept so far.
+    Rows are dealt by image and sorted, one shuffle; a task holds the boxes of one image at a time. In a crowded image a kept box is compared
+    with the boxes that can reach it along the first axis. A box without four corners overlaps nothing.
     """
-    entry = F.struct(*order, F.col("class_id").alias("__c"), F.col("bbox").alias("__b"), F.struct(*[c for c in boxes.columns if c != image]).alias("__row"))
-    lists = boxes.groupBy(image).agg(F.sort_array(F.collect_list(entry)).alias("__all"))
-    slim = F.transform("__all", lambda x: F.struct(x["__c"].alias("c"), x["__b"].alias("b")))
-    start = F.struct(F.slice(slim, 1, 0).alias("kept"), F.array().cast("array<boolean>").alias("marks"))
-
-    def step(state, x):
-        clear = ~F.exists(state["kept"], lambda k: (k["c"] == x["c"]) & (exprs.iou(k["b"], x["b"]) > threshold))
-        return F.struct(F.when(clear, F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"), F.concat(state["marks"], F.array(clear)).alias("marks"))
-
-    marks = F.aggregate(slim, start, step, lambda state: state["marks"])
-    pairs = F.arrays_zip(F.transform("__all", lambda x: x["__row"]).alias("row"), marks.alias("kept"))
-    out = lists.select(image, F.explode(pairs).alias("__p"))
-    return out.select(image, "__p.row.*", F.col("__p.kept").alias("kept")).select(*boxes.columns, "kept")
+    import pyarrow as pa
+
+    names = boxes.columns
+    at = {c: names.index(c) for c in (image, "class_id", "bbox")}
+    schema = T.StructType([*boxes.schema.fields, T.StructField("kept", T.BooleanType())])
+
+    def run(batches):
+        left = None
+        for batch in itertools.chain(batches, [None]):  # the last image of a batch waits for the next batch
+            if batch is not None:
+                left = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            if left is None or not left.num_rows:
+                continue
+            left = left.combine_chunks()
+            keys, classes, corners = (left.column(at[c]).to_pylist() for c in (image, "class_id", "bbox"))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            if batch is not None:
+                cuts.pop()
+            marks = [m for a, b in itertools.pairwise(cuts) for m in _kept(classes[a:b], corners[a:b], threshold)]
+            for part in left.slice(0, cuts[-1]).append_column("kept", pa.array(marks, pa.bool_())).to_batches():
+                yield part
+            left = left.slice(cuts[-1])
+
+    return boxes.repartition(image).sortWithinPartitions(image, *order).mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 """Ordered operators against plain Python models, at their limits."""
 
 import random
+import time
 from collections import deque
 
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from skywright.operators import frames, ordered
+from skywright.operators import frames, ordered, vision
 
 
 def model_dedup(hashes, window=20, bits=5):
@@ -204,3 +205,30 @@ def test_running_sums_in_ranges(spark):
     df = spark.createDataFrame([(rng.choice("ab"), i, rng.randrange(9)) for i in range(300)] + [(None, 7, 1), ("a", None, 2)], "s string, i int, v int")
     got = lambda p: sorted(map(repr, ordered.running(df, ["s"], ["i"], {"sum": F.col("v"), "n": F.lit(1)}, p).collect()))
     assert got(1) == got(7) == got(40)
+
+
+def test_suppression_in_crowded_images(spark):
+    """Some thousand boxes in one image, and small images, against the plain rule."""
+    rng = random.Random(23)
+    rows = []
+    for image, n in [(1, 2500), (2, 30), (3, 5), (None, 3), (5, 1)]:
+        for k in range(n):
+            x, y = rng.uniform(0, 200), rng.uniform(0, 200)
+            rows.append((image, k, rng.choice([0, 1]), [x, y, x + rng.uniform(5, 30), y + rng.uniform(5, 30)] if k % 97 != 5 else None))
+    rows.append((3, 9, None, [0.0, 0.0, 0.0, 0.0]))
+    df = spark.createDataFrame(rows, "image int, rank int, class_id int, bbox array<double>")
+    got = {(r["image"], r["rank"]): r["kept"] for r in vision.suppress(df, "image", ["rank"], 0.3).collect()}
+    assert len(got) == len(rows)
+    kept = {}
+    for image, rank, c, box in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        clear = all(k != c or vision._overlap(b, box) <= 0.3 for k, b in kept.get(image, []))
+        assert got[image, rank] == clear, (image, rank)
+        if clear:
+            kept.setdefault(image, []).append((c, box))
+    assert 0 < sum(got.values()) < len(rows)
+    many = [(7, k, 0, [rng.uniform(0, 3000), 0.0, 0.0, 0.0]) for k in range(10_000)]
+    many = [(i, k, c, [b[0], b[0] % 977, b[0] + 40, b[0] % 977 + 40]) for i, k, c, b in many]
+    began = time.time()
+    vision._kept([0] * len(many), [b for *_, b in many], 0.7)
+    assert time.time() - began < 10
+    assert vision.suppress(df.limit(0), "image", ["rank"]).count() == 0
