@@ -263,9 +263,14 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     nodes = materialize(table.where(F.col("n_words") >= min_words).select("id", "node", "n_words").distinct(), "suffix-texts")
     one = F.struct(F.col("id").isNull().alias("none"), "id")
     firsts = materialize(nodes.groupBy("node").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("copies")), "suffix-nodes")
-    # One row stands for each text; its suffixes are compared with those of other texts, by the digest of its words.
-    slim = table.where(F.size("kept") > 0).select("node", F.explode(F.array_distinct("kept.h")).alias("h")).distinct()
-    shared = materialize(slim.groupBy("h").agg(F.count("*").alias("count")).where("count > 1"), "suffix-shared")
+    # One document stands for each text; its suffixes are compared with those of other texts, by the digest of its words.
+    copies = nodes.join(firsts.where("copies > 1"), "node").where(~F.col("id").eqNullSafe(F.col("first.id"))).select(F.col("id").alias("copy"), F.col("node").alias("of"))
+    copies = materialize(copies, "suffix-copies")
+    few = F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies
+    kept = table.where(F.size("kept") > 0).join(few, F.col("id").eqNullSafe(F.col("copy")) & (F.col("node") == F.col("of")), "left_anti")
+    slim = kept.select("node", F.explode("kept.h").alias("h"))
+    shared = slim.groupBy("h").agg(F.count("*").alias("count"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = materialize(shared.select("h", "count"), "suffix-shared")
     grams = F.broadcast(shared.select("h")) if shared.count() <= MOST_BROADCAST else shared.select("h")
     # Only the texts with a k-gram of another one are read again, for their windows.
     need = slim.join(grams, "h", "left_semi").select("node").distinct()
