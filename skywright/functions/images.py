@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-#: Luma weights of blue, green, red.
-LUMA = np.array([0.114, 0.587, 0.299])
+#: Integer luma weights of blue, green, red and their bits: of gray images for motion and blur, and of those for hashes.
+LUMA, LUMA_BITS = np.array([3735, 19235, 9798]), 15
+HASH_LUMA, HASH_LUMA_BITS = np.array([7471, 38470, 19595]), 16
+#: Bits of bilinear weights, bits of windowed-sinc weights, and lobes of the sinc.
+LINEAR_BITS, SINC_BITS, LOBES = 11, 22, 3
 #: Side of the motion image, and of the working image.
 MOTION_SIDE = 320
 WORK_SIDE = 640
@@ -30,28 +33,56 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def gray(image: np.ndarray) -> np.ndarray:
-    """Luma, rounded to bytes; one-channel images stay."""
+def gray(image: np.ndarray, weights: np.ndarray = LUMA, bits: int = LUMA_BITS) -> np.ndarray:
+    """Luma in integers, rounded by half a unit; one-channel images stay."""
     if image.ndim == 2 or image.shape[2] == 1:
         return image.reshape(image.shape[:2])
-    return np.clip(np.rint(image[..., :3].astype(np.float64) @ LUMA), 0, 255).astype(np.uint8)
+    return ((image[..., :3].astype(np.int64) @ weights + (1 << bits - 1)) >> bits).astype(np.uint8)
 
 
 def _axis(n: int, out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = np.clip((np.arange(out) + 0.5) * n / out - 0.5, 0, n - 1)
+    """(first place, second place, weight of the second in 1 / 2048) for each place of an axis that is resized bilinearly."""
+    at = (np.arange(out) + 0.5) * (n / out) - 0.5
     low = np.floor(at).astype(np.int64)
-    return low, np.minimum(low + 1, n - 1), at - low
+    part = np.where((low < 0) | (low >= n - 1), 0.0, at - low)
+    low = np.clip(low, 0, n - 1)
+    return low, np.minimum(low + 1, n - 1), np.rint(part * (1 << LINEAR_BITS)).astype(np.int64)
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear resize with half-pixel centres; the aspect ratio is not kept."""
+    """Bilinear resize with half-pixel centres in fixed point: rows first in 11 bits, then columns; the aspect ratio is not kept."""
     if image.ndim == 3:
         return np.stack([resize(image[..., c], height, width) for c in range(image.shape[2])], -1)
-    y0, y1, fy = _axis(image.shape[0], height)
+    one = 1 << LINEAR_BITS
     x0, x1, fx = _axis(image.shape[1], width)
-    rows = image[y0].astype(np.float64) * (1 - fy)[:, None] + image[y1] * fy[:, None]
-    out = rows[:, x0] * (1 - fx) + rows[:, x1] * fx
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    y0, y1, fy = _axis(image.shape[0], height)
+    wide = image.astype(np.int64)
+    wide = wide[:, x0] * (one - fx) + wide[:, x1] * fx >> 4
+    out = ((one - fy)[:, None] * wide[y0] >> 16) + (fy[:, None] * wide[y1] >> 16) + 2 >> 2
+    return np.clip(out, 0, 255).astype(np.uint8)
+
+
+def sinc_weights(n: int, out: int) -> np.ndarray:
+    """Integer weights (out, n) of a windowed-sinc reduction; the window spans LOBES places of the smaller of both sides."""
+    scale = n / out
+    stretch = max(scale, 1.0)
+    reach, weights = LOBES * stretch, np.zeros((out, n), np.int64)
+    for i in range(out):
+        centre = (i + 0.5) * scale
+        low, high = max(int(centre - reach + 0.5), 0), min(int(centre + reach + 0.5), n)
+        x = (np.arange(low, high) - centre + 0.5) / stretch
+        w = np.where((x >= -LOBES) & (x < LOBES), np.sinc(x) * np.sinc(x / LOBES), 0.0)
+        w = w / w.sum() * (1 << SINC_BITS)
+        weights[i, low:high] = np.trunc(w + np.where(w < 0, -0.5, 0.5)).astype(np.int64)
+    return weights
+
+
+def reduce(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A gray image at another size by windowed sincs: rows first, then columns, each rounded to bytes."""
+    half = 1 << SINC_BITS - 1
+    rows = np.clip(image.astype(np.int64) @ sinc_weights(image.shape[1], width).T + half >> SINC_BITS, 0, 255) if image.shape[1] != width else image.astype(np.int64)
+    out = np.clip(sinc_weights(image.shape[0], height) @ rows + half >> SINC_BITS, 0, 255) if image.shape[0] != height else rows
+    return out.astype(np.uint8)
 
 
 def laplacian_variance(image: np.ndarray) -> float:
@@ -62,8 +93,8 @@ def laplacian_variance(image: np.ndarray) -> float:
 
 
 def perceptual_hash(image: np.ndarray) -> int:
-    """64 bits of the low 8x8 cosine coefficients of the 32x32 luma image: set where above their median; as a signed integer."""
-    small = resize(gray(image), 32, 32).astype(np.float64)
+    """64 bits of the low 8x8 cosine coefficients of the luma image, reduced to 32x32: set where above their median; as a signed integer."""
+    small = reduce(gray(image, HASH_LUMA, HASH_LUMA_BITS), 32, 32).astype(np.float64)
     k, n = np.arange(32)[:, None], np.arange(32)[None, :]
     basis = np.cos(np.pi * k * (2 * n + 1) / 64)
     low = (basis @ small @ basis.T)[:8, :8]
@@ -110,3 +141,25 @@ def resized(images: DataFrame, height: int = WORK_SIDE, width: int = WORK_SIDE)
             yield pa.RecordBatch.from_arrays([pa.array(origin, pa.string()), pa.array([height] * len(origin), pa.int32()), pa.array([width] * len(origin), pa.int32()), pa.array(data, pa.binary())], ["origin", "height", "width", "data"])
 
     return images.select("image").mapInArrow(run, "origin string, height int, width int, data binary")
+
+
+def picture_numbers(pictures: DataFrame, key: str, data: str, height: int, width: int, channels: int, side: int) -> DataFrame:
+    """key, gray, laplacian (the variance times the squared number of pixels), small (bilinear, side x side), thumb (windowed sinc) and phash of raw pictures."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for raw in batch.column(1).to_pylist():
+                image = pixels(raw, height, width, channels)
+                g = gray(image)
+                pad = np.pad(g.astype(np.int64), 1, mode="reflect")
+                lap = pad[:-2, 1:-1] + pad[2:, 1:-1] + pad[1:-1, :-2] + pad[1:-1, 2:] - 4 * pad[1:-1, 1:-1]
+                thumb = reduce(gray(image, HASH_LUMA, HASH_LUMA_BITS), side, side)
+                rows.append((g.ravel().tolist(), int(lap.size * (lap * lap).sum() - lap.sum() ** 2), resize(g, side, side).ravel().tolist(), thumb.ravel().tolist(), perceptual_hash(image)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = [pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, "gray", "laplacian", "small", "thumb", "phash"])
+
+    kind = pictures.schema[key].dataType.simpleString()
+    return pictures.select(key, data).mapInArrow(run, f"{key} {kind}, gray array<int>, laplacian bigint, small array<int>, thumb array<int>, phash bigint")

@@ -307,6 +307,35 @@ def valid_size(spark, d):
     return _t(spark, d, "documents").select("doc_id", frames.valid_size(F.col("n_chars"), F.col("n_chars")).alias("valid"))
 
 
+# Pictures of 8 x 8 pixels: byte i of the embedding is blue there, the bytes 21 and 42 places on are green and red.
+
+_AXIS = "SELECT i, greatest(0, least(7, CAST(floor(z) AS BIGINT))) AS lo, least(7, greatest(0, least(7, CAST(floor(z) AS BIGINT))) + 1) AS hi, CASE WHEN floor(z) < 0 OR floor(z) >= 7 THEN 0 ELSE CAST(round_even((z - floor(z)) * 2048, 0) AS BIGINT) END AS f FROM (SELECT i, (i + 0.5::DOUBLE) * (8 / 5::DOUBLE) - 0.5::DOUBLE AS z FROM (SELECT unnest(range(5)) AS i))"
+_SINC = """SELECT i, list(CAST(trunc(w / s * 4194304 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END) AS BIGINT) ORDER BY x) AS k FROM (SELECT *, sum(w) OVER (PARTITION BY i) AS s FROM (
+  SELECT i, x, CASE WHEN x < greatest(0, CAST(trunc(c - r + 0.5) AS BIGINT)) OR x >= least(8, CAST(trunc(c + r + 0.5) AS BIGINT)) OR z < -3 OR z >= 3 THEN 0 WHEN z = 0 THEN 1.0::DOUBLE ELSE sin(pi() * z) / (pi() * z) * sin(pi() * (z / 3)) / (pi() * (z / 3)) END AS w
+  FROM (SELECT i, x, c, 3 * 1.6::DOUBLE AS r, (x - c + 0.5::DOUBLE) / 1.6::DOUBLE AS z FROM (SELECT i, x, (i + 0.5::DOUBLE) * 1.6::DOUBLE AS c FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(8)) AS x))))) GROUP BY i"""
+
+
+@query("picture_numbers", f"""WITH b AS (SELECT vec_id, [greatest(0, least(255, v + 128)) FOR v IN {_Q}] AS v FROM embeddings),
+g AS (SELECT vec_id, [(3735 * v[i] + 19235 * v[(i + 20) % 64 + 1] + 9798 * v[(i + 41) % 64 + 1] + 16384) >> 15 FOR i IN range(1, 65)] AS g, [(7471 * v[i] + 38470 * v[(i + 20) % 64 + 1] + 19595 * v[(i + 41) % 64 + 1] + 32768) >> 16 FOR i IN range(1, 65)] AS h FROM b),
+n AS (SELECT unnest(range(64)) AS p), w AS (SELECT p, p // 8 AS y, p % 8 AS x FROM n),
+l AS (SELECT vec_id, g[CASE WHEN y = 0 THEN 1 ELSE y - 1 END * 8 + x + 1] + g[CASE WHEN y = 7 THEN 6 ELSE y + 1 END * 8 + x + 1] + g[y * 8 + CASE WHEN x = 0 THEN 1 ELSE x - 1 END + 1] + g[y * 8 + CASE WHEN x = 7 THEN 6 ELSE x + 1 END + 1] - 4 * g[p + 1] AS l FROM g, w),
+v AS (SELECT vec_id, CAST(64 * sum(l * l) - sum(l) * sum(l) AS BIGINT) AS laplacian FROM l GROUP BY vec_id),
+a AS ({_AXIS}), k AS ({_SINC}),
+s AS (SELECT vec_id, list((((2048 - y.f) * ((g[y.lo * 8 + x.lo + 1] * (2048 - x.f) + g[y.lo * 8 + x.hi + 1] * x.f) >> 4)) >> 16) + ((y.f * ((g[y.hi * 8 + x.lo + 1] * (2048 - x.f) + g[y.hi * 8 + x.hi + 1] * x.f) >> 4)) >> 16) + 2 >> 2 ORDER BY y.i, x.i) AS small FROM g, a y, a x GROUP BY vec_id),
+r AS (SELECT vec_id, y, k.i, greatest(0, least(255, (list_sum([h[y * 8 + x + 1] * k.k[x + 1] FOR x IN range(8)]) + 2097152)::BIGINT >> 22)) AS p FROM g, k, (SELECT unnest(range(8)) AS y)),
+c AS (SELECT vec_id, i, list(p ORDER BY y) AS p FROM r GROUP BY vec_id, i),
+t AS (SELECT vec_id, list(greatest(0, least(255, (list_sum([c.p[y + 1] * k.k[y + 1] FOR y IN range(8)]) + 2097152)::BIGINT >> 22)) ORDER BY k.i, c.i) AS thumb FROM c, k GROUP BY vec_id)
+SELECT vec_id, CAST(g AS INTEGER[]) AS gray, laplacian, CAST(small AS INTEGER[]) AS small, CAST(thumb AS INTEGER[]) AS thumb FROM g JOIN v USING (vec_id) JOIN s USING (vec_id) JOIN t USING (vec_id)""")
+def picture_numbers(spark, d):
+    from skywright.functions import images
+
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    q = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 255).cast("int") + 128)))
+    e = _t(spark, d, "embeddings").select("vec_id", q.alias("v"))
+    pixel = F.transform("v", lambda v, i: F.concat(byte(v), byte(F.get("v", (i + 21) % 64)), byte(F.get("v", (i + 42) % 64))))
+    return images.picture_numbers(e.select("vec_id", F.unhex(F.array_join(pixel, "")).alias("data")), "vec_id", "data", 8, 8, 3, 5).drop("phash")
+
+
 # Batches.
 
 _RN = "(SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events)"

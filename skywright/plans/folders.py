@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from skywright.functions import exprs, images
 from skywright.operators import frames, labels, ordered, verify, vision
 from skywright.plans.catalogue import query
-from skywright.sources import files, schemas, sinks
+from skywright.sources import files, sinks
 from skywright.sources.storage import run_dir
 
 def _key():
@@ -219,16 +219,18 @@ def metrics_csv(spark, d):
     return verify.last_metric(files.csv_table(spark, path))
 
 
-def _descriptor(spark, path: str) -> None:
-    text = "path: /data\ntrain: images/train\nnames:\n" + "".join(f"  {k}: {v}\n" for k, v in schemas.CLASS_NAMES.items())
+def _descriptor(spark, d, path: str) -> None:
+    """A dataset descriptor whose classes are the regions."""
+    line = F.concat(F.lit("  "), F.col("r_regionkey").cast("string"), F.lit(": "), F.col("r_name"))
+    text = _region(spark, d).agg(F.concat(F.lit("path: /data\ntrain: images/train\nnames:\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n")).alias("text"))
     name, folder = path.rpartition("/")[2], path.rpartition("/")[0]
-    sinks.write_files(spark.range(1).select(F.lit(name).alias("name"), F.encode(F.lit(text), "UTF-8").alias("data")), folder)
+    sinks.write_files(text.select(F.lit(name).alias("name"), F.encode("text", "UTF-8").alias("data")), folder)
 
 
-@query("descriptor_names", "SELECT * FROM (VALUES (0, 'damage_class_1'), (1, 'damage_class_2'), (2, 'damage_class_3')) t(class_id, name)")
+@query("descriptor_names", "SELECT CAST(r_regionkey AS INTEGER) AS class_id, r_name AS name FROM region")
 def descriptor_names(spark, d):
     path = f"{_folder(spark, 'descriptor')}/data.yaml"
-    _descriptor(spark, path)
+    _descriptor(spark, d, path)
     return spark.createDataFrame(list(files.settings(spark, path)["names"].items()), "class_id int, name string")
 
 
@@ -262,7 +264,7 @@ def _report(spark, d) -> DataFrame:
     one("posts")
     one("weights")
     _region(spark, d).select(F.explode(F.array("r_name", F.lit(" "))).alias("value")).write.text(at.path("classes"))
-    _descriptor(spark, at.path("descriptor"))
+    _descriptor(spark, d, at.path("descriptor"))
     _metrics(spark, d, at.path("metrics"))
     return verify.report(spark, at)
 
