@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywright.llm import bpe, decontam, near_dedup, pii, quality_rules
-from skywright.llm.common import fresh, materialize, once, table, without_ids
+from skywright.llm.common import fresh, materialize, once, release, table, without_ids
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(*before)  # what a stage has read goes when its own rows are written
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
