@@ -119,7 +119,7 @@ def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Ca
             values = zip(*(_values(batch.column(k)) for k in at), strict=True)
             for i, (p, v, warming, given) in enumerate(zip(pieces, values, batch.column(warm_at).to_pylist(), batch.column(state_at).to_pylist(), strict=True)):
                 if p != now:
-                    if now is not None and (last or held is not None):
+                    if not fresh:  # the piece had rows of its own, and not only some before it
                         (last if last else held[4])[-1] = pickle.dumps(state, 5)
                     now, state, fresh = p, start(), True
                 if given is not None:  # the row that brings the state of the piece before
@@ -138,7 +138,8 @@ def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Ca
                     yield done(held)
                 held = (batch, which, got, first, last)
         if held is not None:
-            held[4][-1] = pickle.dumps(state, 5)
+            if not fresh:
+                held[4][-1] = pickle.dumps(state, 5)
             yield done(held)
 
     def folded(part: DataFrame) -> DataFrame:

@@ -369,7 +369,7 @@ def sampler_interval(spark, d):
 def sampler_pieces(spark, d):
     """The same with every stream in pieces."""
     e = _t(spark, d, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return ordered.sample_interval(e, ["event_type"], ["us", "event_id"], "us", 3_600_000_000, piece_rows=500).select("event_type", "event_id", "accepted")
+    return ordered.sample_interval(e, ["event_type"], ["us", "event_id"], "us", 3_600_000_000, piece_rows=1000).select("event_type", "event_id", "accepted")
 
 
 @query("dedup_pieces", ORACLES["dedup_window20_loose"])

@@ -200,6 +200,20 @@ def test_folds_in_pieces(spark):
     assert ordered.dedup_window(df.limit(0), ["s"], ["i"], piece_rows=10).count() == 0
 
 
+def test_pieces_without_rows_of_their_own(spark):
+    """Streams that end with a full piece: the rows before the next one, which does not exist, leave the other pieces' ends alone."""
+    rng, rows = random.Random(29), []
+    for s in "abcdefgh":
+        t = 0.0
+        for i in range(60):
+            t += rng.choice([0.0, 0.4, 1.1, 6.0])
+            rows.append((s, i, t))
+    df = spark.createDataFrame(rows, "s string, i int, t double")
+    got = lambda d: sorted(map(repr, d.select("s", "i", "accepted").collect()))
+    for size in (5, 10, 12):
+        assert got(ordered.sample_interval(df, ["s"], ["i"], "t", 7.0, piece_rows=size)) == got(ordered.sample_interval(df, ["s"], ["i"], "t", 7.0))
+
+
 def test_running_sums_in_ranges(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(rng.choice("ab"), i, rng.randrange(9)) for i in range(300)] + [(None, 7, 1), ("a", None, 2)], "s string, i int, v int")
