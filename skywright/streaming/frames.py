@@ -126,20 +126,20 @@ class _Motion(StatefulProcessor):
 class _Sample(StatefulProcessor):
     """State: the time of the last accepted row."""
 
-    def __init__(self, key: str, order: str, seconds: str, interval: float, idle_ms: int | None):
+    def __init__(self, key: str, order: list[str], seconds: str, interval: float, idle_ms: int | None):
         self.key, self.order, self.seconds, self.interval, self.idle_ms = key, order, seconds, interval, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "seconds double", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        last, found, marks = self.last.get()[0] if self.last.exists() else None, _rows(rows, [self.order]), []
+        last, found, marks = self.last.get()[0] if self.last.exists() else None, _rows(rows, self.order), []
         for t in map(float, found[self.seconds]):
             marks.append(last is None or t - last >= self.interval)
             last = t if marks[-1] else last
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame({self.key: found[self.key], self.order: found[self.order], "accepted": marks})
+        yield found[[self.key, *self.order]].assign(accepted=marks)
 
 
 class _Batches(StatefulProcessor):
@@ -199,10 +199,11 @@ def motion(df: DataFrame, key: str, order: str, pixels: str = "gray320", delta:
     return _stateful(df.select(key, order, pixels), key, _Motion(key, order, pixels, delta, least, first, idle_ms), out, idle_ms)
 
 
-def sample(df: DataFrame, key: str, order: str, seconds: str, interval: float = ordered.SAMPLE_SECONDS, idle_ms: int | None = None) -> DataFrame:
-    """key, order, accepted."""
-    out = T.StructType([df.schema[key], df.schema[order], T.StructField("accepted", T.BooleanType())])
-    return _stateful(df.select(key, order, seconds), key, _Sample(key, order, seconds, interval, idle_ms), out, idle_ms)
+def sample(df: DataFrame, key: str, order: str | list[str], seconds: str, interval: float = ordered.SAMPLE_SECONDS, idle_ms: int | None = None) -> DataFrame:
+    """key, order (one column or more), accepted."""
+    order = [order] if isinstance(order, str) else order
+    out = T.StructType([df.schema[key], *[df.schema[c] for c in order], T.StructField("accepted", T.BooleanType())])
+    return _stateful(df.select(*dict.fromkeys([key, *order, seconds])), key, _Sample(key, order, seconds, interval, idle_ms), out, idle_ms)
 
 
 def batches(df: DataFrame, key: str, order: str | list[str], members: str | dict[str, str], size: int = ordered.BATCH, time: str | None = None, gap: str = "0 seconds", late: str = "0 seconds", idle_ms: int | None = None) -> DataFrame:
