@@ -653,7 +653,7 @@ def stream_motion(spark, d):
     from skywright.streaming import frames as live
 
     byte = lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 255).cast("int") + 128))), 2, "0")
-    e = live.replay(spark, _t(spark, d, "embeddings").schema, f"{d}/embeddings.parque[t]").select("label", "vec_id", F.unhex(F.array_join(F.transform("embedding", byte), "")).alias("gray320"))
+    e = _replayed(_t(spark, d, "embeddings"), ["vec_id"], MOST_ROWS // 8).select("label", "vec_id", F.unhex(F.array_join(F.transform("embedding", byte), "")).alias("gray320"))
     return live.run_to_end(live.motion(e, "label", "vec_id", least=34))
 
 

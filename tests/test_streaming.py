@@ -179,7 +179,7 @@ def test_a_log_has_each_message_once(spark, tmp_path):
     assert sinks.read_log(spark, str(tmp_path / "no")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["stream_dedup", "stream_sampler", "stream_batch4"])
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_motion", "stream_sampler", "stream_batch4"])
 def test_tables_whose_files_are_out_of_order(spark, sf_dir, same, tmp_path, name):
     """A table of many files, the last rows in the file that changed first, gives what the table of one file gives."""
     from skywright.plans import catalogue
