@@ -80,8 +80,11 @@ def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Ca
 
     A piece guesses the state at its first row by folding the `warm` rows before it from start(); greedy states forget, so the guess is
     mostly right. Then every piece's first state is compared with the last one of the piece before. Pieces where they differ are folded again from
-    what came before, until none differs; the first wrong piece of a stream is right after each round, so rounds end. The result is that of one
-    fold in any case. States travel as bytes; a state that counts rows is never guessed right (use running() for counts).
+    what came before, until none differs. Few of them are folded side by side in the first rounds. Many, or later ones, go in runs: wrong pieces that
+    follow each other are folded one after the other in one task, with some pieces behind them, twice as many in each round. So rounds grow with the
+    logarithm of the pieces, and a state that never forgets costs about one more fold of the whole stream. The result is that of one
+    fold in any case. States travel as bytes; a state that counts rows is never guessed
+    right (use running() for counts).
     """
     import pickle
 
@@ -94,12 +97,13 @@ def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Ca
     rows = numbered(df, stream, order, "__rn", ranges)
     here, place = F.floor((F.col("__rn") - 1) / piece_rows), F.pmod(F.col("__rn") - 1, F.lit(piece_rows))
     both = F.when(place >= piece_rows - warm, F.array(F.struct(here.alias("p"), F.lit(False).alias("w")), F.struct((here + 1).alias("p"), F.lit(True).alias("w")))).otherwise(F.array(F.struct(here.alias("p"), F.lit(False).alias("w"))))
-    rows = rows.withColumn("__x", F.explode(both)).select(*df.columns, "__rn", F.col("__x.p").alias("__piece"), F.col("__x.w").alias("__warm"), F.lit(None).cast("binary").alias("__state"))
+    rows = rows.withColumn("__x", F.explode(both)).select(*df.columns, "__rn", F.col("__x.p").alias("__piece"), F.col("__x.w").alias("__warm"), F.lit(None).cast("binary").alias("__state"), F.col("__x.p").alias("__run"))
     rows = written(rows, "fold-rows")
     fields = [df.schema[c] for c in kept]
     schema = T.StructType([*fields, T.StructField(out, kind), T.StructField("__piece", T.LongType()), T.StructField("__first", T.BinaryType()), T.StructField("__last", T.BinaryType())])
     columns = rows.columns
-    at, keys, stay = [columns.index(c) for c in value], [columns.index(c) for c in names], [columns.index(c) for c in kept]
+    runs = [*stream, "__run"]
+    at, keys, stay = [columns.index(c) for c in value], [columns.index(c) for c in (*runs, "__piece")], [columns.index(c) for c in kept]
     warm_at, state_at = columns.index("__warm"), columns.index("__state")
 
     def run(batches: Iterator) -> Iterator:
@@ -121,7 +125,9 @@ def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Ca
                 if p != now:
                     if not fresh:  # the piece had rows of its own, and not only some before it
                         (last if last else held[4])[-1] = pickle.dumps(state, 5)
-                    now, state, fresh = p, start(), True
+                    if now is None or p[:-1] != now[:-1]:  # within a run the state goes on
+                        state = start()
+                    now, fresh = p, True
                 if given is not None:  # the row that brings the state of the piece before
                     state = pickle.loads(given)
                     continue
@@ -143,7 +149,7 @@ def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Ca
             yield done(held)
 
     def folded(part: DataFrame) -> DataFrame:
-        return written(part.repartition(*[F.col(c) for c in names]).sortWithinPartitions(*names, "__rn").mapInArrow(run, schema), "fold-part")
+        return written(part.repartition(*[F.col(c) for c in runs]).sortWithinPartitions(*runs, "__rn").mapInArrow(run, schema), "fold-part")
 
     def borders(part: DataFrame) -> DataFrame:
         ends = part.where(F.col("__first").isNotNull() | F.col("__last").isNotNull()).groupBy(*names)
@@ -153,31 +159,41 @@ def fold_in_pieces(df: DataFrame, stream: list[str], order: list[str], start: Ca
     known = written(borders(parts[0]), "fold-borders")
     while True:
         w = Window.partitionBy(*stream).orderBy("__piece")
-        wrong = known.withColumn("__given", F.lag("__last").over(w)).where("__given <> __first").select(*names, "__given")
-        wrong = written(wrong, "fold-wrong")
-        n = wrong.count()
+        wrong = known.withColumn("__given", F.lag("__last").over(w)).withColumn("__wrong", F.coalesce(F.col("__given") != F.col("__first"), F.lit(False)))
+        n = wrong.where("__wrong").count()
         log_info(f"fold in pieces of {piece_rows} rows, round {rounds}: {n} pieces to fold again")
         if not n:
             return functools.reduce(DataFrame.unionByName, parts).select(*kept, out), rounds
+        if n <= SIDE_BY_SIDE and rounds <= SIDE_BY_SIDE:
+            wrong = wrong.where("__wrong").withColumns({"__head": F.lit(True), "__run": F.col("__piece")})
+        else:
+            wrong = wrong.withColumn("__again", F.coalesce(F.col("__piece") - F.max(F.when(F.col("__wrong"), F.col("__piece"))).over(w) < 2**rounds, F.lit(False)))
+            wrong = wrong.withColumn("__head", F.col("__again") & ~F.lag("__again", 1, False).over(w))
+            wrong = wrong.withColumn("__run", F.max(F.when(F.col("__head"), F.col("__piece"))).over(w)).where("__again")
+        wrong = written(wrong.select(*names, "__run", F.when(F.col("__head"), F.col("__given")).alias("__given")), "fold-wrong")
         rounds += 1
-        few = F.broadcast(wrong) if n <= MOST_PIECES else wrong
-        again = _same(rows.where("not __warm"), few, names, "left_semi")
+        few = wrong.select(*names, "__run")
+        few = F.broadcast(few) if wrong.count() <= MOST_PIECES else few
+        again = _same(rows.where("not __warm").drop("__run"), few, names, "inner", "__run")
         empty = [F.lit(None).cast(df.schema[c].dataType).alias(c) if c not in stream else F.col(c) for c in df.columns]
-        states = wrong.select(*empty, F.lit(0).cast("bigint").alias("__rn"), "__piece", F.lit(False).alias("__warm"), F.col("__given").alias("__state"))
+        heads = wrong.where("__given is not null")
+        states = heads.select(*empty, F.lit(0).cast("bigint").alias("__rn"), "__piece", F.lit(False).alias("__warm"), F.col("__given").alias("__state"), "__run")
         new = folded(again.select(*columns).unionByName(states.select(*columns)))
         parts = [*(_same(part, few, names, "left_anti") for part in parts), new]
         known = written(_same(known, few, names, "left_anti").unionByName(borders(new)), "fold-borders")
 
 
+#: Wrong pieces, and rounds, up to which each piece is folded again on its own.
+SIDE_BY_SIDE = 8
 #: Pieces to fold again that are sent to all executors; counted first, more are joined with a shuffle.
 MOST_PIECES = 50_000
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
-    """A semi or anti join on columns that may hold nulls."""
-    a, b = left.alias("__a"), right.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(names)])
+def _same(left: DataFrame, right: DataFrame, names: list[str], how: str, *more: str) -> DataFrame:
+    """A join on columns that may hold nulls; of the right side only the columns `more` stay."""
+    a, b = left.alias("__a"), right.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(names)], *more)
     on = functools.reduce(lambda x, y: x & y, [F.col(f"__a.{c}").eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(names)])
-    return a.join(b, on, how)
+    return a.join(b, on, how).select("__a.*", *more)
 
 
 def is_near(kept: list[int], h: int, bits: int) -> bool:

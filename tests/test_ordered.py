@@ -200,6 +200,16 @@ def test_folds_in_pieces(spark):
     assert ordered.dedup_window(df.limit(0), ["s"], ["i"], piece_rows=10).count() == 0
 
 
+def test_many_wrong_pieces_take_few_rounds(spark):
+    """A state that never forgets: all pieces are wrong, or the wrong place wanders from piece to piece; rounds do not grow with the pieces."""
+    df = spark.createDataFrame([(s, i, i) for s in ("a", None) for i in range(240)], "s string, i int, v int")
+    counted, rounds = ordered.fold_in_pieces(df, ["s"], ["i"], int, lambda state, v: (state + 1, state + 1), ["v"], "n", T.LongType(), 6, 2)
+    assert sorted((r["s"] or "", r["i"], r["n"]) for r in counted.collect()) == sorted((s, i, i + 1) for s in ("", "a") for i in range(240)) and rounds <= 3
+    dense = df.withColumn("t", (F.col("i") * F.lit(1000.0) + F.col("i") % 7) / 50)  # pieces shorter than the interval, grids that never meet
+    got = lambda d: sorted(map(repr, d.select("s", "i", "accepted").collect()))
+    assert got(ordered.sample_interval(dense, ["s"], ["i"], "t", 333.0, piece_rows=5)) == got(ordered.sample_interval(dense, ["s"], ["i"], "t", 333.0))
+
+
 def test_pieces_without_rows_of_their_own(spark):
     """Streams that end with a full piece: the rows before the next one, which does not exist, leave the other pieces' ends alone."""
     rng, rows = random.Random(29), []
