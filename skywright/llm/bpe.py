@@ -92,6 +92,10 @@ class WordBPE:
             self.spelled.append(word)
         self.start = np.cumsum(self.length) - self.length
 
+    def forget(self) -> None:
+        """Drops the words in the memo; a worker that waits for other stages need not hold them."""
+        self._reset()
+
     def split(self, text: str | None) -> list[str]:
         """The pieces of a text that are encoded alone: between white space, and special strings behind a NUL and a blank.
 
@@ -218,7 +222,7 @@ def encode(docs, path: str, id_col: str = "doc_id", text_col: str = "text", with
     import pyarrow as pa
     from pyspark.sql import functions as F
 
-    from .common import chunks, prepare
+    from .common import chunks, give_back, prepare
 
     prepare(docs.sparkSession)
 
@@ -241,6 +245,8 @@ def encode(docs, path: str, id_col: str = "doc_id", text_col: str = "text", with
                     out += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        bpe.forget()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids

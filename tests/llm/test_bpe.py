@@ -67,3 +67,23 @@ def test_query_over_odd_rows(spark, library):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert {r["decoded"] for r in bpe.decode(bpe.encode(df, PATH), PATH).collect()} == {r["decoded"] for r in got}
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_workers_keep_no_words_behind_a_stage(spark):
+    """Python workers outlive their tasks: the memo of words is dropped when a task ends, and the next task encodes alike."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k}" for k in range(300))) for i in range(40)], "doc_id long, text string").repartition(4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = sorted(map(repr, bpe.encode(docs, path).collect()))
+
+    def held(batches):
+        import pyarrow as pa
+
+        from skywright.llm import bpe
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(b.memo) - len(b.special) for b in bpe._LOADED.values()], pa.int64())], ["n"])
+
+    got = [r["n"] for r in spark.range(0, 400, 1, 4).mapInArrow(held, "n long").collect()]
+    assert got and max(got) == 0
+    assert sorted(map(repr, bpe.encode(docs, path).collect())) == first
