@@ -119,14 +119,14 @@ def image_label_join(spark, d):
 
 
 def _large_document(spark, d):
-    """A document of all orders, line items and part types in one file, and its tables as many tasks read them."""
+    """A document of all orders, line items and part types as many tasks write its files, and its tables as many tasks read them."""
     from skywright.sources import documents
     from skywright.sources.storage import run_dir
 
     path = f"{run_dir(spark)}/document-{uuid.uuid4().hex}"
     kinds = _t(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
     documents.write_document({"images": _images(spark, d), "annotations": _annotations(spark, d), "categories": kinds}, path)
-    return documents.annotation_tables(spark, path, 512 << 10)
+    return documents.annotation_tables(spark, path, 512 << 10, parts=True)
 
 
 @query("large_document", "SELECT l_orderkey AS image_id, l_linenumber % 3 + 1 AS category_id, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN [l_extendedprice / 100, l_quantity * 2, l_discount * 1000 - 10] ELSE [l_extendedprice / 100, l_quantity * 2, l_discount * 1000 - 10, l_tax * 1000] END AS damage_bbox FROM lineitem")

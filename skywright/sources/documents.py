@@ -8,14 +8,16 @@ begin, reading on behind its end for the last one; Spark's JSON reader then pars
 
 Defined cases: entries are in the order of their place in the document (`pos`); lists of other names are left out; a list that is missing is an empty table;
 keys inside entries may be named as lists are; an entry that is no valid JSON is an error; several files are a document each, and their
-places follow each other by file name.
+places follow each other by file name. With `parts` all files below a folder, by their names, are the parts of one document, cut at any byte; their
+names are listed on the driver.
 """
 
 from __future__ import annotations
 
-import functools
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,8 @@ from skywright.sources.sinks import place_of
 from skywright.sources.storage import written
 
 RANGE = 4 << 20
+#: Rows of one file of a written document.
+ROWS_A_FILE = 200_000
 #: Top-level keys of a document; they are gathered on the driver.
 MOST_KEYS = 10_000
 
@@ -85,21 +89,66 @@ def entries(data: np.ndarray, size: int, state: int, depth: int) -> tuple[list[t
     return out, open_
 
 
-def _ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
-    found = files.listing(spark, path)
+class _Joined:
+    """Files one after the other, read as one; pieces: (path, place of its first byte, length)."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces, self.starts, self.at = pieces, [start for _, start, _ in pieces], 0
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, size: int) -> bytes:
+        out, k = [], bisect_right(self.starts, self.at) - 1
+        while size and k < len(self.pieces):
+            path, start, length = self.pieces[k]
+            if n := min(size, start + length - self.at):
+                place, at = place_of(path)
+                with place.open_input_file(at) as f:
+                    f.seek(self.at - start)
+                    out.append(f.read(n))
+                self.at, size = self.at + n, size - n
+            k += 1
+        return b"".join(out)
+
+
+@contextmanager
+def _opened(path: str, pieces: list[tuple[str, int, int]] | None):
+    if pieces is not None:
+        yield _Joined(pieces)
+        return
+    place, at = place_of(path)
+    with place.open_input_file(at) as f:
+        yield f
+
+
+def _pieces(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    out, start = [], 0
+    for r in sorted(files.listing(spark, path, recursive=True).collect()):
+        out.append((r["path"], start, r["length"]))
+        start += r["length"]
+    return out
+
+
+def _ranges(spark: SparkSession, path: str, size: int, pieces: list[tuple[str, int, int]] | None) -> DataFrame:
+    if pieces is None:
+        found = files.listing(spark, path)
+    else:
+        found = spark.createDataFrame([(path, sum(n for *_, n in pieces))] if pieces else [], "path string, length bigint")
     return found.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("k")).repartition("path", "k")
 
 
-def annotation_tables(spark: SparkSession, path: str, size: int = RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def annotation_tables(spark: SparkSession, path: str, size: int = RANGE, parts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """images (with `pos`), annotations and categories of a document of any size."""
     import pyarrow as pa
 
+    pieces = _pieces(spark, path) if parts else None
+
     def summed(batches: Iterator) -> Iterator:
         for batch in batches:
             rows = []
             for p, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                place, at = place_of(p)
-                with place.open_input_file(at) as f:
+                with _opened(p, pieces) as f:
                     f.seek(k * size)
                     data = np.frombuffer(f.read(size), np.uint8)
                 row = []
@@ -118,8 +167,7 @@ def annotation_tables(spark: SparkSession, path: str, size: int = RANGE) -> tupl
     def cut(batches: Iterator) -> Iterator:
         for batch in batches:
             for p, length, k, state, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place, at = place_of(p)
-                with place.open_input_file(at) as f:
+                with _opened(p, pieces) as f:
                     f.seek(k * size)
                     data, more = f.read(size), True
                     own = len(data)
@@ -131,7 +179,7 @@ def annotation_tables(spark: SparkSession, path: str, size: int = RANGE) -> tupl
                 place_, kind, text = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(found), pa.string()), pa.array([k * size + i for i in place_], pa.int64()), pa.array(kind, pa.string()), pa.array([t.decode() for t in text], pa.string())], ["path", "place", "kind", "value"])
 
-    ranges = _ranges(spark, path, size)
+    ranges = _ranges(spark, path, size, pieces)
     numbers = "e0 bigint, d0 bigint, e1 bigint, d1 bigint, e2 bigint, d2 bigint"
     sums = ranges.mapInArrow(summed, f"path string, length bigint, k bigint, {numbers}")
     # A row for each range of a document.
@@ -154,15 +202,35 @@ def annotation_tables(spark: SparkSession, path: str, size: int = RANGE) -> tupl
     return part("images"), part("annotations").drop("pos"), part("categories").drop("pos")
 
 
-def write_document(lists: dict[str, DataFrame], path: str) -> None:
-    """One JSON object with a list for each table, in one file, written row by row."""
-    from skywright.operators.ordered import numbered
+def write_document(lists: dict[str, DataFrame], path: str, rows_a_file: int = ROWS_A_FILE) -> None:
+    """One JSON object with a list for each table, cut into files: put together in the order of their names they are the document
+    (annotation_tables with `parts` reads it so). A list's rows are in the order of their text; every file is sorted and written by a task of its own."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def line(spark: SparkSession, text: str, place: int) -> None:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{place:04d}")
+
+    def separated(low: str):
+        def run(batches: Iterator) -> Iterator:
+            """A comma before every row but the first one of all: equal rows are in one range, and the lowest one begins its range."""
+            first = True
+            for batch in batches:
+                column = batch.column(0)
+                out = pc.binary_join_element_wise(",", column, "")
+                if first and len(column):
+                    first = False
+                    if column[0].as_py() == low:
+                        out = pa.concat_arrays([column.slice(0, 1).cast(out.type), out.slice(1)])
+                yield pa.RecordBatch.from_arrays([out], ["value"])
+
+        return run
 
-    parts = []
     for i, (name, rows) in enumerate(lists.items()):
-        text = rows.select(F.to_json(F.struct(*rows.columns)).alias("t"))
-        text = numbered(text, [], ["t"], "n", pieces=16).select(F.lit(2 * i + 1).alias("part"), "n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), "t").alias("value"))
-        head = f'{"{" if i == 0 else "],"}"{name}": ['
-        parts += [rows.sparkSession.createDataFrame([(2 * i, 0, head)], "part int, n bigint, value string"), text]
-    parts.append(lists[name].sparkSession.createDataFrame([(2 * len(lists), 0, "]}")], "part int, n bigint, value string"))
-    functools.reduce(DataFrame.unionByName, parts).orderBy("part", "n").select("value").coalesce(1).write.text(path)
+        line(rows.sparkSession, f'{"{" if i == 0 else "],"}{json.dumps(name)}: [', 2 * i)
+        text = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+        n, low = text.agg(F.count("*"), F.min("value")).first()
+        if n:
+            dealt = text.repartitionByRange(-(-n // rows_a_file), "value").sortWithinPartitions("value")
+            dealt.mapInArrow(separated(low), "value string").write.text(f"{path}/{2 * i + 1:04d}")
+    line(rows.sparkSession, "]}", 2 * len(lists))

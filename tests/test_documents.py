@@ -60,3 +60,21 @@ def test_states_of_a_range():
             else:
                 _, inside, end = documents.lexed(data, state)
                 assert (end, int(documents.depths(data, inside).sum())) == (now, depth), (text, state)
+
+
+def test_written_in_files(spark, tmp_path):
+    """The files of a written document are one JSON object, none holds more rows than asked for, and ranges that cut them anywhere give its rows."""
+    images = spark.createDataFrame([(i % 70, f"f{i % 70}\"{{", i % 70, 2) for i in range(140)], "id long, file_name string, width int, height int")
+    notes = spark.createDataFrame([(7, 1, [1.0, 2.0])] * 30 + [(i, 2, None) for i in range(60)], "image_id long, category_id long, damage_bbox array<double>")
+    kinds = spark.createDataFrame([], "name string")
+    path = str(tmp_path / "doc")
+    documents.write_document({"images": images, "annotations": notes, "categories": kinds}, path, 40)
+    texts = [p.read_text() for p in sorted((tmp_path / "doc").glob("*/*.txt"))]
+    doc = json.loads("".join(texts))
+    assert [len(doc[k]) for k in ("images", "annotations", "categories")] == [140, 90, 0]
+    assert len([t for t in texts if t.count("\n") > 1]) > 4
+    key = lambda d: sorted(map(repr, d.collect()))
+    for size in (97, 5000, 1 << 20):
+        got = documents.annotation_tables(spark, path, size, parts=True)
+        assert key(got[0].select(*images.columns)) == key(images) and key(got[1].select(*notes.columns)) == key(notes) and got[2].count() == 0
+        assert [r["id"] for r in got[0].orderBy("pos").collect()] == [x["id"] for x in doc["images"]]
