@@ -143,15 +143,19 @@ class _Sample(StatefulProcessor):
 
 
 class _Batches(StatefulProcessor):
-    """State: number of batches so far, and the members of the unfinished one. A timer at its last event time plus a gap ends a stream."""
+    """State: number of batches so far, when the stream ends (its last event time plus a gap), its timer, and the members of the unfinished batch.
+
+    All of it is one value, and a timer that is set stays: when it comes before the stream's end it is set anew. Each call of the state store is a
+    message, and with many short streams these are most of the work.
+    """
 
     def __init__(self, key: str, order: list[str], members: dict[str, str], schema: T.StructType, size: int, time: str | None, gap_ms: int, idle_ms: int | None):
         self.key, self.order, self.members, self.schema, self.size, self.time, self.gap_ms, self.idle_ms = key, order, members, schema, size, time, gap_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.done = handle.getValueState("done", "batches bigint", self.idle_ms)
-        self.pending = handle.getListState("pending", self.schema, self.idle_ms)
+        fields = [T.StructField(n, T.LongType()) for n in ("done", "ends", "timer")]
+        self.state = handle.getValueState("state", T.StructType([*fields, T.StructField("pending", T.ArrayType(self.schema))]), self.idle_ms)
 
     def _frame(self, key, batches: list[tuple[int, list[tuple]]]) -> pd.DataFrame:
         out = {self.key: [key[0]] * len(batches), "batch_id": [k for k, _ in batches]}
@@ -159,27 +163,30 @@ class _Batches(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         found = _rows(rows, self.order)
-        done = self.done.get()[0] if self.done.exists() else 0
-        pending = [*map(tuple, self.pending.get()), *zip(*(found[c].tolist() for c in self.members.values()), strict=True)]
+        done, ends, timer, pending = self.state.get() or (0, None, None, [])
+        pending = [*map(tuple, pending), *zip(*(found[c].tolist() for c in self.members.values()), strict=True)]
         full = len(pending) // self.size
         ready = [(done + k, pending[k * self.size : (k + 1) * self.size]) for k in range(full)]
-        self.done.update((done + full,))
-        rest = pending[full * self.size :]
-        self.pending.put(rest) if rest else self.pending.clear()
         if self.time is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(int(found[self.time].max().timestamp() * 1000) + self.gap_ms)
+            ends = int(found[self.time].max().timestamp() * 1000) + self.gap_ms
+            if timer is not None and ends < timer:
+                self.handle.deleteTimer(timer)
+                timer = None
+            if timer is None:
+                self.handle.registerTimer(timer := ends)
+        self.state.update((done + full, ends, timer, pending[full * self.size :]))
         if ready:
             yield self._frame(key, ready)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        rest = list(map(tuple, self.pending.get()))
+        done, ends, _, rest = self.state.get()
+        if ends > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)
+            self.state.update((done, ends, ends, rest))
+            return
+        self.state.update((done + bool(rest), ends, None, []))
         if rest:
-            done = self.done.get()[0]
-            self.done.update((done + 1,))
-            self.pending.clear()
-            yield self._frame(key, [(done, rest)])
+            yield self._frame(key, [(done, list(map(tuple, rest)))])
 
 
 def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, out: T.StructType, idle_ms: int | None) -> DataFrame:
