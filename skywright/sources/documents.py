@@ -29,29 +29,39 @@ from skywright.sources.sinks import place_of
 from skywright.sources.storage import written
 
 RANGE = 4 << 20
+#: Bytes of a document that one task reads (or one range).
+TASK_BYTES = 16 << 20
 #: Rows of one file of a written document.
 ROWS_A_FILE = 200_000
 #: Top-level keys of a document; they are gathered on the driver.
 MOST_KEYS = 10_000
 
 _OUTSIDE, _INSIDE, _ESCAPED = 0, 1, 2
+_CHANGE = np.array([(c in b"{[") - (c in b"}]") for c in range(256)], np.int8)
 
 
 def lexed(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(quotes that open or close strings, for every byte if it stands inside a string, end state) of a range entered in `state`."""
-    n = len(data)
-    plain = np.maximum.accumulate(np.where(data != 0x5C, np.arange(n), -1)) if n else np.empty(0, np.int64)
-    before = np.append(-1, plain)  # for each place and the end: the last byte before it that is no backslash
-    run = np.arange(n + 1) - 1 - before + ((before < 0) & (state == _ESCAPED))
-    quote = (data == 0x22) & (run[:-1] % 2 == 0)
-    passed = np.append(0, np.cumsum(quote)) + (state != _OUTSIDE)
-    end = _OUTSIDE if passed[-1] % 2 == 0 else _ESCAPED if run[-1] % 2 else _INSIDE
-    return quote, passed[:-1] % 2 == 1, end
+    slashes = np.flatnonzero(data == 0x5C)
+    first = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
+    run = np.diff(first, append=len(slashes))
+    behind = slashes[first] + run  # for each run of backslashes the place behind it
+    if state == _ESCAPED and len(behind) and slashes[0] == 0:
+        run[0] += 1
+    elif state == _ESCAPED:
+        behind, run = np.append(0, behind), np.append(1, run)
+    escaped = behind[run % 2 == 1]
+    quote = data == 0x22
+    quote[escaped[escaped < len(data)]] = False
+    passed = np.logical_xor.accumulate(quote) ^ (state != _OUTSIDE)
+    last = passed[-1] if len(data) else state != _OUTSIDE
+    end = _OUTSIDE if not last else _ESCAPED if len(escaped) and escaped[-1] == len(data) else _INSIDE
+    return quote, passed ^ quote, end
 
 
 def depths(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """Change of depth at every byte."""
-    return np.where(inside, 0, np.isin(data, (0x7B, 0x5B)).astype(np.int64) - np.isin(data, (0x7D, 0x5D)))
+    return _CHANGE[data] * ~inside
 
 
 def _starts(summaries: list[tuple]) -> list[tuple[int, int]]:
@@ -67,18 +77,16 @@ def entries(data: np.ndarray, size: int, state: int, depth: int) -> tuple[list[t
     """(place, kind, bytes) of the keys at depth one and the entries at depth two that begin in the first `size` bytes; and if any goes on behind data."""
     quote, inside, _ = lexed(data, state)
     change = depths(data, inside)
-    before = depth + np.append(0, np.cumsum(change))[:-1]
-    out, open_ = [], False
-    begin = np.flatnonzero((data == 0x7B) & ~inside & (before == 2))
-    end = np.flatnonzero((data == 0x7D) & ~inside & (before == 3))
-    for b in begin[begin < size]:
-        k = np.searchsorted(end, b)
-        if k == len(end):
-            open_ = True
-        else:
-            out.append((int(b), "entry", data[b : end[k] + 1].tobytes()))
-    strings = np.flatnonzero(quote & ~inside & (before == 1))
-    closing = np.flatnonzero(quote & inside)
+    at = np.flatnonzero(quote | (change != 0))  # quotes and brackets; all else is done for these alone
+    byte, inside, change = data[at], inside[at], change[at]
+    before = depth + np.cumsum(change) - change
+    begin, end = at[(byte == 0x7B) & (before == 2)], at[(byte == 0x7D) & (before == 3)]
+    begin = begin[begin < size]
+    k = np.searchsorted(end, begin)
+    open_, whole = bool((k == len(end)).any()), k < len(end)
+    text = data.tobytes()
+    out = [(b, "entry", text[b : e + 1]) for b, e in zip(begin[whole].tolist(), end[k[whole]].tolist(), strict=True)]
+    strings, closing = at[(byte == 0x22) & ~inside & (before == 1)], at[(byte == 0x22) & inside]
     for b in strings[strings < size]:
         k = np.searchsorted(closing, b)
         rest = data[closing[k] + 1 : closing[k] + 65].tobytes().lstrip() if k < len(closing) else b""
@@ -135,7 +143,14 @@ def _ranges(spark: SparkSession, path: str, size: int, pieces: list[tuple[str, i
         found = files.listing(spark, path)
     else:
         found = spark.createDataFrame([(path, sum(n for *_, n in pieces))] if pieces else [], "path string, length bigint")
-    return found.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("k")).repartition("path", "k")
+    return found.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("k"))
+
+
+def _tasks(ranges: DataFrame, size: int) -> int:
+    """Number of tasks that ranges are dealt to, by their bytes. Their rows are small whatever they stand for, so without a number adaptive
+    execution would put them all into one task."""
+    n, total = ranges.agg(F.count("*"), F.sum(F.least(F.lit(size), F.col("length") - F.col("k") * size))).first()
+    return max(1, min(n, max(2 * ranges.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // TASK_BYTES))))
 
 
 def annotation_tables(spark: SparkSession, path: str, size: int = RANGE, parts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -181,10 +196,11 @@ def annotation_tables(spark: SparkSession, path: str, size: int = RANGE, parts:
 
     ranges = _ranges(spark, path, size, pieces)
     numbers = "e0 bigint, d0 bigint, e1 bigint, d1 bigint, e2 bigint, d2 bigint"
-    sums = ranges.mapInArrow(summed, f"path string, length bigint, k bigint, {numbers}")
+    n = _tasks(ranges, size)
+    sums = ranges.repartition(n).mapInArrow(summed, f"path string, length bigint, k bigint, {numbers}")
     # A row for each range of a document.
     starts = written(sums.groupBy("path").applyInArrow(resolved, "path string, length bigint, k bigint, state bigint, depth bigint"), "document-ranges")
-    rows = written(starts.repartition("path", "k").mapInArrow(cut, "path string, place bigint, kind string, value string"), "document-entries")
+    rows = written(starts.repartition(n).mapInArrow(cut, "path string, place bigint, kind string, value string"), "document-entries")
     keys = rows.where("kind = 'key'").select("path", "place", "value").limit(MOST_KEYS + 1).collect()
     if len(keys) > MOST_KEYS:
         raise ValueError(f"the document has over {MOST_KEYS} top-level keys")

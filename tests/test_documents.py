@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skywright.sources import documents, files
 
@@ -78,3 +79,22 @@ def test_written_in_files(spark, tmp_path):
         got = documents.annotation_tables(spark, path, size, parts=True)
         assert key(got[0].select(*images.columns)) == key(images) and key(got[1].select(*notes.columns)) == key(notes) and got[2].count() == 0
         assert [r["id"] for r in got[0].orderBy("pos").collect()] == [x["id"] for x in doc["images"]]
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """The rows that stand for ranges are small, and still their bytes are dealt to tasks: no task writes more than its share of the entries."""
+    notes = [{"image_id": i, "category_id": 1, "damage_bbox": [1.5, 2.0, i, 0.25]} for i in range(3000)]
+    path = write(tmp_path / "doc", {"images": [], "annotations": notes, "categories": []})
+    read = documents.annotation_tables(spark, path, 2000)[1]
+    files_of = [r["count"] for r in read.groupBy(F.input_file_name().alias("file")).count().collect()]
+    assert len(files_of) == 2 * spark.sparkContext.defaultParallelism and sum(files_of) == 3000 and max(files_of) < 2 * 3000 / len(files_of)
+    assert sorted(r["image_id"] for r in read.collect()) == list(range(3000))
+
+
+def test_a_task_reads_so_many_bytes(spark, monkeypatch, tmp_path):
+    """The number of tasks grows with the document."""
+    monkeypatch.setattr(documents, "TASK_BYTES", 4000)
+    notes = [{"image_id": i, "category_id": 1, "damage_bbox": None} for i in range(1500)]
+    path = write(tmp_path / "doc", {"annotations": notes})
+    read = documents.annotation_tables(spark, path, 1000)[1]
+    assert len(read.inputFiles()) == -(-(tmp_path / "doc" / "part-0.json").stat().st_size // 4000) and read.count() == 1500
