@@ -212,9 +212,9 @@ def annotation_tables(spark: SparkSession, path: str, size: int = RANGE, parts:
     first = sorted({k["path"] for k in keys})
     file = F.coalesce(*[F.when(F.col("path") == p, F.lit(i)) for i, p in enumerate(first)], F.lit(0)).cast("bigint")
     pos = F.shiftleft(file, 48) + F.col("place")
-    # The optimizer may move later filters, and the parser with them, below a filter; not below a number of rows.
-    own = F.when(F.monotonically_increasing_id() >= 0, F.col("value")).alias("value")
-    part = lambda name: named.where(F.col("section") == name).select(pos.alias("pos"), own).select("pos", F.from_json("value", kinds[name], {"mode": "FAILFAST"}).alias("x")).select("pos", "x.*")
+    # The optimizer may move later filters below a filter, and a copy of the parser for each of their columns; not below a number of rows.
+    parsed = lambda name: F.when(F.monotonically_increasing_id() >= 0, F.from_json("value", kinds[name], {"mode": "FAILFAST"}))
+    part = lambda name: named.where(F.col("section") == name).select(pos.alias("pos"), parsed(name).alias("x")).select("pos", "x.*")
     return part("images"), part("annotations").drop("pos"), part("categories").drop("pos")
 
 

@@ -98,3 +98,11 @@ def test_a_task_reads_so_many_bytes(spark, monkeypatch, tmp_path):
     path = write(tmp_path / "doc", {"annotations": notes})
     read = documents.annotation_tables(spark, path, 1000)[1]
     assert len(read.inputFiles()) == -(-(tmp_path / "doc" / "part-0.json").stat().st_size // 4000) and read.count() == 1500
+
+
+def test_entries_are_parsed_once(spark, tmp_path):
+    """Filters on several columns of an entry bring no copies of the parser."""
+    notes = [{"image_id": i, "category_id": 1, "damage_bbox": [1.5, 2.0, i, 0.25]} for i in range(9)]
+    read = documents.annotation_tables(spark, write(tmp_path / "doc", {"annotations": notes}))[1].where("image_id > 3 AND category_id = 1 AND damage_bbox[2] > 5")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(r["image_id"] for r in read.collect()) == [6, 7, 8]
